@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pagegrid.functions.urls import let
+
 # Lower and upper bound of each cron field, in order.
 CRON_FIELDS = [("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("dow", 0, 7)]
 
@@ -68,14 +70,18 @@ def list_retry_delay_ms(base: Column, factor: Column, attempt: Column, jitter: C
 
 def _base_values(token: Column, low: int, high: int) -> Column:
     """Array for '*', 'a-b' or 'a'; null when malformed or out of bounds."""
-    start = F.split_part(token, F.lit("-"), F.lit(1)).try_cast("int")
-    end = F.split_part(token, F.lit("-"), F.lit(2)).try_cast("int")
-    single = token.try_cast("int")
-    return (
-        F.when(token == "*", F.sequence(F.lit(low), F.lit(high)))
-        .when(token.contains("-") & (start <= end) & (start >= low) & (end <= high), F.sequence(start, F.greatest(start, end)))
-        .when(~token.contains("-") & (single >= low) & (single <= high), F.array(single))
+
+    def build(p: Column) -> Column:
+        start, end = p["start"], p["end"]
+        inside = (start >= low) & (end <= high) & (start <= end)
+        return F.when(p["token"] == "*", F.sequence(F.lit(low), F.lit(high))).when(inside, F.sequence(start, F.greatest(start, end)))
+
+    pieces = F.struct(
+        token.alias("token"),
+        F.split_part(token, F.lit("-"), F.lit(1)).try_cast("int").alias("start"),
+        F.when(token.contains("-"), F.split_part(token, F.lit("-"), F.lit(2))).otherwise(token).try_cast("int").alias("end"),
     )
+    return let(pieces, build)
 
 
 def cron_values(field: Column, low: int, high: int, weekday: bool = False) -> Column:
@@ -84,28 +90,41 @@ def cron_values(field: Column, low: int, high: int, weekday: bool = False) -> Co
     def norm(values: Column) -> Column:
         return F.transform(values, lambda v: F.when(v == 7, 0).otherwise(v)) if weekday else values
 
-    def segment(s: Column) -> Column:
-        has_step = s.contains("/")
-        step = F.split_part(s, F.lit("/"), F.lit(2)).try_cast("int")
-        base = F.trim(F.when(has_step, F.split_part(s, F.lit("/"), F.lit(1))).otherwise(s))
-        base = F.when(has_step & (base == ""), F.lit("*")).otherwise(base)
-        values = norm(_base_values(base, low, high))
+    def stepped(values: Column, step: Column) -> Column:
         ordered = F.array_sort(F.array_distinct(values))
-        stepped = F.filter(ordered, lambda _, i: i % F.greatest(F.lit(1), step) == 0)
-        return F.when(~has_step, values).when(step > 0, stepped)
+        return F.when(step > 0, F.filter(ordered, lambda _, i: i % F.greatest(F.lit(1), step) == 0))
+
+    def segment(s: Column) -> Column:
+        pieces = F.split(s, "/", -1)
+        base = let(F.trim(F.get(pieces, F.lit(0))), lambda b: F.when((b == "") & s.contains("/"), F.lit("*")).otherwise(b))
+        step = F.trim(F.get(pieces, F.lit(1))).try_cast("int")
+        return let(
+            F.struct(norm(let(base, lambda b: _base_values(b, low, high))).alias("values"), step.alias("step")),
+            lambda p: F.when(~s.contains("/"), p["values"]).otherwise(stepped(p["values"], p["step"])),
+        )
+
+    def merge(expanded: Column) -> Column:
+        ok = (F.size(expanded) > 0) & ~F.exists(expanded, lambda a: a.isNull())
+        return F.when(ok, F.array_sort(F.array_distinct(F.flatten(expanded))))
 
     segments = F.filter(F.transform(F.split(F.trim(field), ",", -1), F.trim), lambda s: s != "")
-    expanded = F.transform(segments, segment)
-    ok = (F.size(segments) > 0) & ~F.exists(expanded, lambda a: a.isNull())
-    return F.when(ok, F.array_sort(F.array_distinct(F.flatten(expanded))))
+    return let(F.transform(segments, segment), merge)
 
 
 def cron_fields(expr: Column) -> Column:
     """Struct of five arrays plus ``valid``; arrays are null where a field is malformed."""
+
+    def build(tokens: Column) -> Column:
+        return F.struct(
+            (F.size(tokens) == 5).alias("five"),
+            *[cron_values(F.get(tokens, F.lit(i)), lo, hi, name == "dow").alias(name) for i, (name, lo, hi) in enumerate(CRON_FIELDS)],
+        )
+
+    def judge(k: Column) -> Column:
+        valid = k["five"]
+        for name, _, _ in CRON_FIELDS:
+            valid = valid & k[name].isNotNull()
+        return F.struct(*[k[name].alias(name) for name, _, _ in CRON_FIELDS], F.coalesce(valid, F.lit(False)).alias("valid"))
+
     tokens = F.split(F.trim(F.regexp_replace(F.coalesce(expr, F.lit("")), r"\s+", " ")), " ", -1)
-    cols = [cron_values(F.get(tokens, F.lit(i)), lo, hi, name == "dow").alias(name) for i, (name, lo, hi) in enumerate(CRON_FIELDS)]
-    bag = F.struct(*cols)
-    valid = F.size(tokens) == 5
-    for i, (name, lo, hi) in enumerate(CRON_FIELDS):
-        valid = valid & cron_values(F.get(tokens, F.lit(i)), lo, hi, name == "dow").isNotNull()
-    return bag.withField("valid", F.coalesce(valid, F.lit(False)))
+    return let(let(tokens, build), judge)

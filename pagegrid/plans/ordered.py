@@ -14,20 +14,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLICE = "__slice"
 _SAMPLE_PER_SLICE = 60
+_ROWS_PER_SLICE = 1_000_000
+_MAX_SLICES = 4096
 
 
-def cut_points(df: DataFrame, order: Sequence[str], slices: int) -> list:
+def cut_points(df: DataFrame, order: Sequence[str], slices: int | None) -> list:
     """Slice borders from a bounded sample of the sort keys (only borders are sampled, never results).
 
     The sample is a hash range sized from a row count, so it holds about
     ``slices * _SAMPLE_PER_SLICE`` keys however large the table is, and is the same on a rerun.
     """
     keys = df.select(F.struct(*[F.col(c) for c in order]).alias("k"))
-    total, target = df.count(), slices * _SAMPLE_PER_SLICE
+    total = df.count()
+    if slices is None:
+        # at least one slice per shuffle partition, about a million rows each, borders bounded in number
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        slices = min(_MAX_SLICES, max(partitions, total // _ROWS_PER_SLICE))
+    slices = max(2, slices)
+    target = slices * _SAMPLE_PER_SLICE
     if total < 2 * slices:
         return []
     share = min(1.0, target / total)
-    bound = int(-(2**63) + share * (2**64 - 1))
+    bound = min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))
     sample = sorted_keys(keys.filter(F.xxhash64("k", F.lit(17)) <= F.lit(bound)), 4 * target)
     picked, last = [], None
     for i in range(1, slices):
@@ -48,9 +56,7 @@ def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None)
     Borders are kept in two levels (about the square root of the slice count each), so a row is
     placed with few comparisons however many slices there are.
     """
-    if slices is None:
-        slices = min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    points = cut_points(df, order, max(2, slices))
+    points = cut_points(df, order, slices)
     if not points:
         return df.withColumn(SLICE, F.lit(0))
     width = max(1, int(len(points) ** 0.5))

@@ -107,7 +107,7 @@ def cron_values(field: Column, low: int, high: int, weekday: bool = False) -> Co
         ok = (F.size(expanded) > 0) & ~F.exists(expanded, lambda a: a.isNull())
         return F.when(ok, F.array_sort(F.array_distinct(F.flatten(expanded))))
 
-    segments = F.filter(F.transform(F.split(F.trim(field), ",", -1), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(F.trim(field), ",", -1), lambda x: F.trim(x)), lambda s: s != "")
     return let(F.transform(segments, segment), merge)
 
 

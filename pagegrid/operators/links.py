@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegrid.functions import contacts
 from pagegrid.functions.urls import harvestable, let, origin, parts, resolve_on, serialise
-from pagegrid.plans.lineage import cut
+from pagegrid.plans.lineage import cut, stage
 
 c = F.col
 _HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""
@@ -40,7 +40,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     depth = max(1, min(3, int(depth)))
     frontier = cut(seeds.select(c("url").alias("seed"), c("url")).distinct())
     reached = frontier.select("seed", "url", F.lit(0).alias("depth"))
-    links = cut(edges.select("url", "link").distinct())  # every hop joins it: extract links once
+    links = stage(edges.select("url", "link").distinct(), "edges")  # every hop joins it: extract links once
     for hop in range(1, depth + 1):
         step = frontier.join(links, "url").select("seed", c("link").alias("url")).distinct()
         frontier = cut(step.join(reached, ["seed", "url"], "left_anti"))

@@ -131,7 +131,7 @@ def _(t):
     return runs.status_counts(runs.run_artifacts(t.v_lifecycle))
 
 
-_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, client_id, ts, epoch_ms(ts) AS tm FROM v_requests),
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, client_id, ts, (epoch_us(ts) // 1000) AS tm FROM v_requests),
   w AS (SELECT client_id, min(tm) AS start FROM e GROUP BY 1 UNION ALL SELECT w.client_id, (SELECT min(e.tm) FROM e WHERE e.client_id = w.client_id AND e.tm >= w.start + 7200000) FROM w WHERE w.start IS NOT NULL),
   p AS (SELECT e.*, (SELECT max(w.start) FROM w WHERE w.client_id = e.client_id AND w.start <= e.tm) AS start FROM e),
   n AS (SELECT *, row_number() OVER (PARTITION BY client_id, start ORDER BY tm, event_id) AS request_no FROM p)"""

@@ -52,21 +52,117 @@ def _(t):
     return n.select("page_id", nt.absolute_selector().alias("selector")).select("page_id", "selector", nt.generalise(c("selector")).alias("general"))
 
 
-@query("x04_load_more")
+# -- order pages: each order's lines as a card list, since the stored pages hold no cards ------------------
+
+_LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+def _lines(t):
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", c("l_quantity").cast("int").alias("qty"), "l_returnflag", "l_linestatus")
+    # an order's lines are few by nature, so one row per order holds them
+    return t.lineitem.groupBy(c("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(one)).alias("lines"))
+
+
+def _order_pages(t):
+    card = F.transform("lines", lambda x: F.concat(F.lit('<li class="card hot x'), x["l_returnflag"], F.lit('"><a href="/p/'), x["l_partkey"], F.lit('">Part '), x["l_partkey"], F.lit("</a><b>"), x["qty"], F.lit(" pcs</b></li>")))
+    button = F.when(c("page_id") % 2 == 0, F.lit("<button> Load  more</button>")).otherwise("")
+    html = F.concat(F.lit("<html><body><nav><ul><li>One</li><li>Two</li><li>Three</li></ul></nav><div><ul>"), F.array_join(card, ""), F.lit("</ul></div>"), button, F.lit('<a href="/n">Next page</a></body></html>'))
+    return _lines(t).select("page_id", F.lit("https://shop.example.com/o").alias("url"), html.alias("html"))
+
+
+def _order_nodes(t):
+    return stage(nt.node_table(_order_pages(t)), "nodes")
+
+
+_CARDS = f"""WITH l AS (SELECT l_orderkey AS page_id, l_partkey, CAST(l_quantity AS INT) AS qty, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}, CAST(l_quantity AS INT), l_returnflag, l_linestatus) AS pos FROM lineitem),
+  g AS (SELECT page_id, count(*) AS n, avg(length('Part ' || l_partkey || ' ' || qty || ' pcs')) FILTER (WHERE pos <= 6) AS chars, least(8, count(*)) AS sampled,
+    count(DISTINCT l_partkey) FILTER (WHERE pos <= 3) AS ua, count(DISTINCT qty) FILTER (WHERE pos <= 3) AS ub, max('https_shop_example_com_p_' || l_partkey) FILTER (WHERE pos = 1) AS na, max(qty || '_pcs') FILTER (WHERE pos = 1) AS nb FROM l GROUP BY 1),
+  f AS (SELECT page_id, n, 2 * sampled + ua AS sa, 2 * sampled + ub + 0.5 AS sb, na, nb FROM g WHERE n >= 3),
+  r AS (SELECT page_id, na AS name, 'a' AS selector, 'link_url' AS mode, CASE WHEN sa >= sb THEN 0 ELSE 1 END AS rank FROM f UNION ALL SELECT page_id, nb, 'b', 'text', CASE WHEN sa >= sb THEN 1 ELSE 0 END FROM f)"""
+_NAV_SCORE = "6 + (11.0 / 3) / 8 - 0.6"
+
+
+@query("x04_load_more", "SELECT DISTINCT l_orderkey AS page_id, CASE WHEN l_orderkey % 2 = 0 THEN 'click_button' ELSE 'navigate' END AS method, CASE WHEN l_orderkey % 2 = 0 THEN 'body > button' ELSE '' END AS button_selector, CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'body > a' END AS next_link_selector, CAST(1 AS DOUBLE) / 3 AS confidence FROM lineitem")
+def _(t):
+    return auto.load_more(_order_pages(t), _order_nodes(t))
+
+
+@query("a26_repeating_groups", f"{_CARDS} SELECT page_id, 'li|card.hot' AS signature, n AS item_count, {s.round2('2 * least(40, n) + least(35, chars / 8) + 1 - 0.6', 4)} AS score, CAST(1 AS INT) AS place FROM g WHERE n >= 3 UNION ALL SELECT page_id, 'li|', 3, {s.round2(_NAV_SCORE, 4)}, CASE WHEN n >= 3 THEN 2 ELSE 1 END FROM g")
 def _(t):
-    return auto.load_more(t.pages, _nodes(t))
+    from pagegrid.functions.numbers import round_half_up
+
+    groups, _items = auto.repeating_groups(_order_nodes(t))
+    return groups.select("page_id", "signature", "item_count", round_half_up(c("score"), 4).alias("score"), "place")
+
+
+def _fields(t, **options):
+    pages, nodes = _order_pages(t), _order_nodes(t)
+    groups, items = auto.repeating_groups(nodes)
+    best = stage(auto.best_group(groups, items), "best")
+    return auto.group_fields(pages, nodes, best, items, **options)[0]
 
 
-@query("a26_repeating_groups")
+@query("a27_field_coverage", f"{_CARDS} SELECT page_id, CAST(rank AS INT) AS rank, name, selector, mode, CAST(1 AS DOUBLE) AS confidence FROM r")
 def _(t):
-    groups, _items = auto.repeating_groups(_nodes(t))
-    return groups.select("page_id", "parent_id", "signature", "item_count", "score", "place")
+    return _fields(t).select("page_id", "rank", "name", "selector", "mode", "confidence")
 
 
-@query("a28_autodetect")
+@query("t05_top_fields", f"{_CARDS} SELECT page_id, name, selector, mode FROM r WHERE rank = 0")
 def _(t):
-    d = auto.detect(t.pages)
-    return d.select("page_id", "ok", "error", "container_selector", "item_count", F.to_json("fields").alias("fields"), F.to_json("preview_rows").alias("preview_rows"), "load_more", "confidence")
+    return _fields(t, max_fields=1).select("page_id", "name", "selector", "mode")
+
+
+@query(
+    "a28_autodetect",
+    f"""{_CARDS} SELECT page_id, n >= 3 AS ok, CASE WHEN n < 3 THEN 'Container detected but no stable repeating fields were found.' END AS error, CASE WHEN n >= 3 THEN 'body > div > ul > li.card.hot' ELSE 'body > nav > ul > li' END AS container_selector,
+      CASE WHEN n >= 3 THEN n ELSE 3 END AS item_count, CASE WHEN n >= 3 THEN least(5, n) ELSE 0 END AS previews, CASE WHEN page_id % 2 = 0 THEN 'click_button' ELSE 'navigate' END AS load_more, CASE WHEN n >= 3 THEN {s.round2('(least(1, n / 12.0) + 2 / 6.0) / 2', 4)} END AS confidence FROM g""",
+)
+def _(t):
+    from pagegrid.functions.numbers import round_half_up
+
+    d = auto.detect(_order_pages(t))
+    return d.select(
+        "page_id", "ok", "error", "container_selector", "item_count", F.coalesce(F.when(c("preview_rows").isNotNull(), F.size("preview_rows")), F.lit(0)).cast("long").alias("previews"), "load_more", round_half_up(c("confidence"), 4).alias("confidence")
+    )
+
+
+@query("j11_anchor_group", f"{_CARDS} SELECT page_id, 'li|' AS signature FROM g")
+def _(t):
+    nodes = _order_nodes(t)
+    groups, items = auto.repeating_groups(nodes)
+    hit = nt.select(nodes, "nav li")
+    anchors = hit.join(nt.first_match(hit), ["page_id", "node_id"]).select("page_id", c("node_id").alias("anchor_id"), c("post").alias("anchor_post"))
+    return auto.best_group(groups, items, anchors).select("page_id", "signature")
+
+
+@query(
+    "u05_shared_classes",
+    f"""{_CARDS}, k AS (SELECT page_id, count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linestatus) AS b, count(DISTINCT qty % 3) AS d, max(l_returnflag) FILTER (WHERE pos = 1) AS fa, max(l_linestatus) FILTER (WHERE pos = 1) AS fb, max('q' || (qty % 3)) FILTER (WHERE pos = 1) AS fd FROM l WHERE pos <= 8 GROUP BY 1)
+      SELECT page_id, array_to_string(list_slice(list_filter([CASE WHEN a = 1 THEN fa END, CASE WHEN b = 1 AND (a > 1 OR fa <> fb) THEN fb END, CASE WHEN d = 1 THEN fd END], lambda x: x IS NOT NULL), 1, 2), '.') AS shared FROM k""",
+)
+def _(t):
+    x = _lines(t).select("page_id", F.posexplode("lines").alias("i", "x"))
+    items = x.select("page_id", F.lit(0).alias("parent_id"), F.lit("li|").alias("signature"), (c("i") + 1).alias("pos"), F.array("x.l_returnflag", "x.l_linestatus", F.concat(F.lit("q"), c("x.qty") % 3)).alias("classes"))
+    return auto.shared_classes(items).select("page_id", F.array_join("shared", ".").alias("shared"))
+
+
+@query("w06_unique_names", f"{_CARDS}, u AS (SELECT page_id, pos, l_returnflag, row_number() OVER (PARTITION BY page_id, l_returnflag ORDER BY pos) AS k FROM l) SELECT page_id, string_agg(l_returnflag || CASE WHEN k = 1 THEN '' ELSE '_' || k END, ',' ORDER BY pos) AS names FROM u GROUP BY 1")
+def _(t):
+    return _lines(t).select("page_id", F.array_join(auto.unique_names(F.transform("lines", lambda x: x["l_returnflag"])), ",").alias("names"))
+
+
+@query(
+    "p09_blank_rows",
+    """SELECT l_orderkey AS page_id, CASE WHEN l_linestatus = 'F' THEN CAST(l_partkey AS VARCHAR) ELSE '' END AS part, CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END AS flag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag <> 'A' GROUP BY ALL""",
+)
+def _(t):
+    li = F.transform(
+        "lines",
+        lambda x: F.concat(F.lit("<li><i>"), F.when(x["l_linestatus"] == "F", x["l_partkey"].cast("string")).otherwise("  "), F.lit("</i><b>"), F.when(x["l_returnflag"] == "A", "").otherwise(x["l_returnflag"]), F.lit("</b></li>")),
+    )
+    pages = _lines(t).select("page_id", F.lit("https://shop.example.com/o").alias("url"), F.concat(F.lit("<body><ul>"), F.array_join(li, ""), F.lit("</ul></body>")).alias("html"))
+    rows = nt.extract_list(pages, "ul li", [{"name": "part", "selector": "li > i"}, {"name": "flag", "selector": "b"}])
+    return rows.groupBy("page_id", "part", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _rounds(t):

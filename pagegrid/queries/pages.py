@@ -68,7 +68,7 @@ def _(t):
 def _(t):
     ld = F.concat(
         F.lit('<script type="application/ld+json">{"aggregateRating":{"reviewCount":'), c("page_id"), F.lit('},"@type":"Shop"}</script>'),
-        F.lit('<script type="application/ld+json">[{"@type":"review"'.replace("review", "Review")), F.lit('},[{"@type":["Offer","Review"],"aggregateRating":{"ratingCount":'), F.char_length("html"),
+        F.lit('<script type="application/ld+json">[{"@type":"Review"'), F.lit('},[{"@type":["Offer","Review"],"aggregateRating":{"ratingCount":'), F.char_length("html"),
         F.lit('}}]]</script><script type="application/ld+json">[{"name":"'), c("page_id"), F.lit('"}, 5, null]</script>'),
     )
     r = pages.jsonld_rollup(t.pages.withColumn("html", F.concat("html", ld)))
@@ -168,3 +168,70 @@ def _(t):
 @query("x07_runner_registry", f"SELECT page_id, {s.count_tag('html', 'a')} AS link_count, {s.words(s.strip('html'))} AS word_count FROM pages")
 def _(t):
     return pages.run("EXTRACT_SUMMARY", t.pages).select("page_id", "link_count", "word_count")
+
+
+@query("f30_jsonld_nodes", "SELECT page_id, '0' AS path, CAST(NULL AS VARCHAR) AS kind FROM pages UNION ALL SELECT page_id, '0.0', 'WebPage' FROM pages UNION ALL SELECT page_id, '0.1', CAST(page_id AS VARCHAR) FROM pages UNION ALL SELECT page_id, '2.0.0', 'Deep' FROM pages")
+def _(t):
+    ld = F.concat(
+        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":"'), c("page_id"), F.lit('"}, 7]}</script><script type="application/ld+json">{bad</script>'),
+        F.lit("<script data-x type='application/ld+json'>[[{\"@type\":\"Deep\"}],null]</script>"),
+    )
+    n = pages.jsonld_nodes(t.pages.withColumn("html", F.concat("html", ld)))
+    return n.select("page_id", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), F.try_variant_get("node", "$['@type']", "string").alias("kind"))
+
+
+_USER = r"[A-Z][a-z]+ [a-z]+ing\b"
+
+
+@query(
+    "x05_user_patterns",
+    f"""WITH m AS (SELECT doc_id, list_concat(list_transform(regexp_extract_all(text, {s.q(s.PHONE)}), lambda m: trim(regexp_replace(m, {s.q(s.WS + '+')}, ' ', 'g'), ' ')), regexp_extract_all(text, {s.q(_USER)})) AS found FROM documents)
+      SELECT doc_id, array_to_string({s.first_of_each('found')}, '|') AS phones FROM m""",
+)
+def _(t):
+    from pagegrid.functions import contacts
+
+    return t.documents.select("doc_id", F.array_join(contacts.phones(c("text"), patterns=["([", _USER], validate=False), "|").alias("phones"))
+
+
+def _place_pages(t):
+    """Part rows as place pages: even keys are detail pages, odd keys search pages with one card."""
+    name, price = c("p_name"), F.format_number(c("p_partkey") * 7 + 1000, 0)
+    detail = F.concat(
+        F.lit("<html><body><h1>"), name, F.lit("</h1><span aria-label='4."), c("p_size") % 10, F.lit(" stars'></span><button jsaction='pane.reviewChart.moreReviews'>"), price, F.lit(" reviews</button><button jsaction='x.category'>"), "p_type",
+        F.lit("</button><button data-item-id='address'>"), "p_brand", F.lit(" St</button><button data-item-id='phone:tel:1'> +1 555 </button><a data-item-id='authority' href='/w/"), "p_partkey", F.lit("'>site</a><div aria-label='Hours'>Mon <b>9-5</b></div><img src='a'><img src='b'></body></html>"),
+    )
+    card = F.concat(
+        F.lit("<html><body><div role='feed'><div role='article' class='Nv2PK'><a aria-label='"), name, F.lit("' href='/maps/place/"), "p_partkey", F.lit("/@1.25,-2.5?entry=ttu&amp;x=1'></a><span class='MW4etd'>4.5</span>("), price, F.lit(") · "), "p_type", F.lit(" · "), "p_brand",
+        F.lit("<img src='i'></div></div></body></html>"),
+    )
+    even = c("p_partkey") % 2 == 0
+    url = F.when(even, F.concat(F.lit("https://maps.example.com/maps/place/"), "p_partkey", F.lit("/@3.5,-"), c("p_partkey") % 90, F.lit(".25,17z"))).otherwise("https://maps.example.com/maps/search/x")
+    return t.part.select(c("p_partkey").alias("page_id"), url.alias("url"), F.when(even, detail).otherwise(card).alias("html"))
+
+
+@query(
+    "f17_place_details",
+    """SELECT p_partkey AS page_id, p_name AS map_name, '4.' || (p_size % 10) || ' stars' AS map_rating, p_type AS map_category, p_brand || ' St' AS map_address, '3.5' AS map_latitude, '-' || (p_partkey % 90) || '.25' AS map_longitude, '+1 555' AS map_phone, 'https://maps.example.com/w/' || p_partkey AS map_website,
+      'Mon 9-5' AS map_hours, CAST(p_partkey * 7 + 1000 AS DOUBLE) AS map_review_count, CAST(2 AS BIGINT) AS map_image_count FROM part WHERE p_partkey % 2 = 0""",
+)
+def _(t):
+    from pagegrid.operators import nodes as nt
+    from pagegrid.plans.lineage import stage
+
+    p = _place_pages(t).filter("page_id % 2 = 0")
+    return places.detail_rows(p, stage(nt.node_table(p), "nodes")).drop("url")
+
+
+@query(
+    "f17_place_cards",
+    """SELECT p_partkey AS page_id, 'https://maps.example.com/maps/place/' || p_partkey || '/@1.25,-2.5?x=1' AS url, p_name AS map_name, '4.5' AS map_rating, p_type || ' · ' || p_brand AS map_address, '1.25' AS map_latitude,
+      CAST(p_partkey * 7 + 1000 AS DOUBLE) AS map_review_count, CAST(1 AS BIGINT) AS map_image_count FROM part WHERE p_partkey % 2 = 1""",
+)
+def _(t):
+    from pagegrid.operators import nodes as nt
+    from pagegrid.plans.lineage import stage
+
+    p = _place_pages(t).filter("page_id % 2 = 1")
+    r = places.result_cards(p, stage(nt.node_table(p), "nodes"))
+    return r.select("page_id", "url", "map_name", "map_rating", "map_address", "map_latitude", "map_review_count", "map_image_count")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegrid.functions import times
 from pagegrid.functions.text import to_text, trim_ws
-from pagegrid.functions.urls import is_http, target_signature
+from pagegrid.functions.urls import is_http, let, target_signature
 
 c = F.col
 OPEN = ["queued", "retrying"]
@@ -163,12 +163,12 @@ def duplicate_members(schedules: DataFrame, keep: str = "oldest") -> DataFrame:
 
 def pause_plan(members: DataFrame, apply: bool = False, batch_size: int = 20, max_pause: int = 0, force: bool = False) -> DataFrame:
     """Members to pause, labelled and numbered into batches; blocked when the plan exceeds the limit."""
-    from pagegrid.plans.lineage import cut
+    from pagegrid.plans.lineage import stage
     from pagegrid.plans.ordered import running
 
     size = max(1, min(100, int(batch_size)))
-    plan = cut(members.filter(~c("keeps")).select("signature", "created_at", "id", "is_active"))  # read several times below
-    numbered = running(plan, [], ["signature", "created_at", "id"], number="place")
+    plan = stage(members.filter(~c("keeps")).select("signature", "created_at", "id", "is_active"), "plan")  # read several times below
+    numbered = running(plan, [], ["signature", "created_at", "id"], number="place", cheap=True)
     label = F.when(~c("is_active"), "already_inactive").when(F.lit(not apply), "dry_run").otherwise("to_pause")
     out = numbered.select("id", label.alias("action"), F.ceil(c("place") / size).cast("long").alias("batch"))
     total = plan.agg(F.count(F.lit(1)).alias("attempted"))  # one row
@@ -206,24 +206,41 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     local0 = F.to_date(F.from_utc_timestamp("__start", c("timezone")))
     local1 = F.to_date(F.from_utc_timestamp("__end", c("timezone")))
     k = c("k")
-    days = F.filter(
-        F.sequence(local0, local1),
-        lambda d: F.array_contains(k["month"], F.month(d)) & F.array_contains(k["day"], F.dayofmonth(d)) & F.array_contains(k["dow"], F.dayofweek(d) - 1),
-    )
+
+    def matching(first: Column, last: Column) -> Column:
+        return F.filter(
+            F.sequence(first, F.greatest(first, last)),
+            lambda d: F.array_contains(k["month"], F.month(d)) & F.array_contains(k["day"], F.dayofmonth(d)) & F.array_contains(k["dow"], F.dayofweek(d) - 1),
+        )
+
     # within a year only the start day and at most two days whose times a zone change skips can
-    # match without giving a run, so the fourth matching day always decides
-    f = f.withColumn("__days", F.slice(days, 1, 4))
+    # match without giving a run, so the fourth matching day always decides; most expressions have
+    # it within weeks, the rest look through the whole span
+    near = matching(local0, F.least(local1, F.date_add(local0, 34)))
+    f = f.withColumn("__near", near)
+    f = f.withColumn("__days", F.slice(F.when(F.size("__near") >= 4, c("__near")).otherwise(matching(local0, local1)), 1, 4))
     minutes_of_day = F.flatten(F.transform(k["hour"], lambda h: F.transform(k["minute"], lambda m: h * 60 + m)))
-    walls = F.flatten(F.transform("__days", lambda d: F.transform(minutes_of_day, lambda m: d.cast("timestamp") + F.make_interval(mins=m))))
+    f = f.withColumn("__minutes", minutes_of_day)
+    zone = c("timezone")
+
+    def walls_of(d: Column) -> Column:
+        # a day of other than 24 hours has a zone change: its wall times may repeat or be skipped
+        plain = F.unix_seconds(F.to_utc_timestamp(F.date_add(d, 1), zone)) - F.unix_seconds(F.to_utc_timestamp(d, zone)) == 86_400
+        return let(plain, lambda p: F.transform("__minutes", lambda m: F.struct((d.cast("timestamp") + F.make_interval(mins=m)).alias("w"), p.alias("plain"))))
+
     # wall times from three hours before the start (clock changes are shorter); fewer than 600 minutes
     # of them can lie before the start, repeat or be skipped, so the answer is among the first 600
-    from_wall = F.from_utc_timestamp("__start", c("timezone")) - F.expr("INTERVAL 3 HOURS")
-    f = f.withColumn("__all", walls).withColumn("__walls", F.slice(F.filter("__all", lambda w: w >= from_wall), 1, 600))
-    # a wall time that occurs twice (clock set back) has two instants; one that is skipped has none
-    instants = F.flatten(
-        F.transform("__walls", lambda w: F.transform(F.array(*[F.lit(x) for x in (0, -120, -60, -30, 30, 60, 120)]), lambda off: F.struct(w.alias("w"), (F.to_utc_timestamp(w, c("timezone")) + F.make_interval(mins=off)).alias("t"))))
-    )
-    good = F.filter(instants, lambda x: (F.from_utc_timestamp(x["t"], c("timezone")) == x["w"]) & (x["t"] >= c("__start")) & (x["t"] <= c("__end")))
+    from_wall = F.from_utc_timestamp("__start", zone) - F.expr("INTERVAL 3 HOURS")
+    f = f.withColumn("__low", from_wall).withColumn("__all", F.flatten(F.transform("__days", walls_of)))
+    f = f.withColumn("__walls", F.slice(F.filter("__all", lambda x: x["w"] >= c("__low")), 1, 600))
+    shifts = F.array(*[F.lit(x) for x in (0, -120, -60, -30, 30, 60, 120)])
+
+    def instants(x: Column) -> Column:
+        offsets = F.when(x["plain"], F.array(F.lit(0))).otherwise(shifts)
+        return F.transform(offsets, lambda off: F.struct(x["w"].alias("w"), (F.to_utc_timestamp(x["w"], zone) + F.make_interval(mins=off)).alias("t")))
+
+    every = F.flatten(F.transform("__walls", instants))
+    good = F.filter(every, lambda x: (x["t"] >= c("__start")) & (x["t"] <= c("__end")) & (F.from_utc_timestamp(x["t"], zone) == x["w"]))
     solved = f.select("cron_expr", "timezone", "__from", F.array_min(F.transform(good, lambda x: x["t"])).alias("next_run_at"))
     keyed = schedules.withColumn("__from", c(from_ts))
     return keyed.join(solved, ["cron_expr", "timezone", "__from"], "left").select("id", "next_run_at")

@@ -80,33 +80,53 @@ class _Tree(HTMLParser):
             self._add("#text", {}, data)
 
 
-def _rows(page_id: int, html: str):
+_COLUMNS = ["page_id", "node_id", "parent_id", "post", "depth", "tag", "id", "classes", "attrs", "visible", "nth", "same_tag", "path", "trail", "spots", "text"]
+
+
+def _append(out: dict[str, list], page_id: int, html: str) -> None:
+    """Add one page's nodes to column lists."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree._close(0)
     nodes = tree.nodes
     totals: dict[tuple, int] = {}
+    nth = []
     for n in nodes:
         key = (n["parent"], n["tag"])
         totals[key] = totals.get(key, 0) + 1
-        n["nth"] = totals[key]
+        nth.append(totals[key])
+    paths: list[list] = []
+    trails: list[list] = []
+    spots: list[list] = []
+    seen: list[bool] = []
     for i, n in enumerate(nodes):
-        up = nodes[n["parent"]] if n["parent"] is not None else None
-        same = totals[(n["parent"], n["tag"])]
-        spot = f"{n['tag']}:{n['nth']}"
-        name = n["tag"] if up is None or same <= 1 else f"{n['tag']}:nth-of-type({n['nth']})"
-        a = n["attrs"]
-        shown = n["tag"] not in UNSEEN and "hidden" not in a and not _HIDING.search(a.get("style", ""))
-        n["visible"] = shown and (up is None or up["visible"])
-        n["path"] = (up["path"] if up else []) + [i]
-        n["trail"] = (up["trail"] if up else []) + [name]
-        n["spots"] = (up["spots"] if up else []) + [spot]
-        yield {
-            "page_id": page_id, "node_id": i, "parent_id": n["parent"], "post": n["post"], "depth": len(n["path"]) - 1, "tag": n["tag"], "id": a.get("id", ""),
-            "classes": a.get("class", "").split(), "attrs": list(a.items()), "visible": n["visible"], "nth": n["nth"], "same_tag": same,
-            "path": n["path"], "trail": n["trail"], "spots": n["spots"], "text": n["text"],
-        }
+        parent, tag, a = n["parent"], n["tag"], n["attrs"]
+        same = totals[(parent, tag)]
+        name = tag if parent is None or same <= 1 else f"{tag}:nth-of-type({nth[i]})"
+        spot = f"{tag}:{nth[i]}"
+        shown = tag not in UNSEEN and "hidden" not in a and not ("style" in a and _HIDING.search(a["style"]))
+        if parent is None:
+            paths.append([i]), trails.append([name]), spots.append([spot]), seen.append(shown)
+        else:
+            paths.append(paths[parent] + [i]), trails.append(trails[parent] + [name]), spots.append(spots[parent] + [spot])
+            seen.append(shown and seen[parent])
+        out["same_tag"].append(same)
+        out["parent_id"].append(parent)
+        out["post"].append(n["post"])
+        out["tag"].append(tag)
+        out["id"].append(a.get("id", ""))
+        out["classes"].append(a["class"].split() if "class" in a else [])
+        out["attrs"].append(list(a.items()))
+        out["text"].append(n["text"])
+    out["page_id"] += [page_id] * len(nodes)
+    out["node_id"] += range(len(nodes))
+    out["depth"] += [len(p) - 1 for p in paths]
+    out["visible"] += seen
+    out["nth"] += nth
+    out["path"] += paths
+    out["trail"] += trails
+    out["spots"] += spots
 
 
 _ARROW = pa.schema(
@@ -123,15 +143,18 @@ def node_table(pages: DataFrame) -> DataFrame:
     """One row per element and per text run of each page; batches are flushed by node count."""
 
     def parse(batches):
+        def flush(columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in _ARROW], schema=_ARROW)
+
+        pending = {n: [] for n in _COLUMNS}
         for batch in batches:
-            pending: list[dict] = []
-            for page_id, html in zip(batch.column("page_id"), batch.column("html")):
-                pending.extend(_rows(page_id.as_py(), html.as_py()))
-                if len(pending) >= _FLUSH:
-                    yield pa.RecordBatch.from_pylist(pending, schema=_ARROW)
-                    pending = []
-            if pending:
-                yield pa.RecordBatch.from_pylist(pending, schema=_ARROW)
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                _append(pending, page_id, html)
+                if len(pending["tag"]) >= _FLUSH:
+                    yield flush(pending)
+                    pending = {n: [] for n in _COLUMNS}
+        if pending["tag"]:
+            yield flush(pending)
 
     return pages.select(c("page_id").cast("long").alias("page_id"), "html").mapInArrow(parse, NODE_SCHEMA)
 

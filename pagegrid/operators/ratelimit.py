@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pagegrid.plans.lineage import stage
 from pagegrid.plans.ordered import SLICE, running, with_slices
 
 c = F.col
@@ -42,7 +43,7 @@ def _steps(pdf: pd.DataFrame, length: int) -> list[tuple[int, int]]:
 def window_starts(df: DataFrame, key: str, at_ms: str, length_ms: int, slices: int | None = None) -> DataFrame:
     """Distinct (key, request time) with the start of the window it falls in."""
     times = df.select(c(key).alias("key"), c(at_ms).cast("long").alias("at")).distinct()
-    sliced = with_slices(times, ["key", "at"], slices)
+    sliced = with_slices(stage(times, "times"), ["key", "at"], slices)
     key_type = times.schema["key"].dataType.simpleString()
 
     def reduce(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -74,7 +74,7 @@ def status_counts(artifacts: DataFrame) -> DataFrame:
 
 def running_progress(df: DataFrame) -> DataFrame:
     progress = F.when(c("event_type") == "automation.progress", clamp_progress(c("progress")))
-    out = running(df, ["automation_id"], ["emitted_at", "event_id"], maxima={"progress_max": F.coalesce(progress, F.lit(0.0))})
+    out = running(df, ["automation_id"], ["emitted_at", "event_id"], maxima={"progress_max": F.coalesce(progress, F.lit(0.0))}, cheap=True)
     return out.select("event_id", "automation_id", "progress_max")
 
 
@@ -94,7 +94,7 @@ TRANSITIONS = [
 
 def check_transitions(df: DataFrame) -> DataFrame:
     """Flag state changes outside the allowed table. Needs columns (automation_id, emitted_at, event_id, state)."""
-    out = running(df, ["automation_id"], ["emitted_at", "event_id"], lags={"previous": "state"})
+    out = running(df, ["automation_id"], ["emitted_at", "event_id"], lags={"previous": "state"}, cheap=True)
     allowed = df.sparkSession.createDataFrame([(a, b) for a, _, b in TRANSITIONS], "previous string, state string").withColumn("legal", F.lit(True))
     out = out.withColumn("previous", F.coalesce("previous", F.lit("idle")))
     return out.join(F.broadcast(allowed), ["previous", "state"], "left").select("event_id", "automation_id", "previous", "state", F.coalesce("legal", F.lit(False)).alias("legal"))

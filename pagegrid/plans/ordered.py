@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pagegrid.plans.lineage import stage
+
 SLICE = "__slice"
 _SAMPLE_PER_SLICE = 60
 _ROWS_PER_SLICE = 1_000_000
@@ -88,12 +90,16 @@ def running(
     lags: dict[str, str] | None = None,
     number: str | None = None,
     slices: int | None = None,
+    cheap: bool = False,
 ) -> DataFrame:
     """Running sums / maxima / last non-null values, lags and row numbers per key, in order.
 
     Equivalent to windows over ``partitionBy(keys).orderBy(order)`` with a frame from the
     start to the current row, but a key may span any number of tasks. ``order`` must make
     rows unique within a key for the result to be deterministic.
+
+    The input is read a few times (count, borders, rows, carries), so it is staged in the shared
+    folder first unless it is ``cheap`` to read again, such as a plain scan.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     last_known, lags = dict(last_known or {}), dict(lags or {})
@@ -103,7 +109,7 @@ def running(
     base = df
     for name, col in {**sums, **maxima, **last_known}.items():
         base = base.withColumn(f"__in_{name}", col)
-    base = with_slices(base, [*keys, *order], slices)
+    base = with_slices(base if cheap else stage(base, "ordered"), [*keys, *order], slices)
 
     local = Window.partitionBy(SLICE, *keys).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)

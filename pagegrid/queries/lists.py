@@ -59,8 +59,10 @@ _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 def _lines(t):
     one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", c("l_quantity").cast("int").alias("qty"), "l_returnflag", "l_linestatus")
-    # an order's lines are few by nature, so one row per order holds them
-    return t.lineitem.groupBy(c("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(one)).alias("lines"))
+    # an order's lines are few by nature, so one row per order holds them; the explicit partition
+    # count keeps the page parsing that follows spread out
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return t.lineitem.repartition(n, "l_orderkey").groupBy(c("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(one)).alias("lines"))
 
 
 def _order_pages(t):

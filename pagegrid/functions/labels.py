@@ -189,17 +189,21 @@ def goal_flags(text: Column) -> dict[str, Column]:
     }
 
 
+# Leading words dropped from a request, each tried once in this order.
+INSTRUCTION_PATTERNS = [
+    r"(?i)^(please|can you|could you|would you)\s+",
+    r"(?i)^(show|give|find|get)\s+me\b",
+    r"(?i)^i\s+(want|need|would like)\s+",
+    r"(?i)^looking\s+for\s+",
+    r"(?i)^(info|information|data)\s+(for|of|on|about)\s+",
+    r"(?i)^(" + "|".join(VERBS) + r")\b",
+    r"(?i)^(all|everything|results)\b",
+    r"(?i)^(from|for|about|on)\b",
+]
+
+
 def _strip_instruction(c: Column) -> Column:
-    for p in [
-        r"(?i)^(please|can you|could you|would you)\s+",
-        r"(?i)^(show|give|find|get)\s+me\b",
-        r"(?i)^i\s+(want|need|would like)\s+",
-        r"(?i)^looking\s+for\s+",
-        r"(?i)^(info|information|data)\s+(for|of|on|about)\s+",
-        r"(?i)^(" + "|".join(VERBS) + r")\b",
-        r"(?i)^(all|everything|results)\b",
-        r"(?i)^(from|for|about|on)\b",
-    ]:
+    for p in INSTRUCTION_PATTERNS:
         c = F.trim(F.regexp_replace(c, p, ""))
     return clean_text(c)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pagegrid.operators import profile as prof
-from pagegrid.operators import rows, seeds
+from pagegrid.operators import recovery, rows, seeds
 from pagegrid.plans.ordered import running
 from pagegrid.plans.registry import query
 from pagegrid.queries import sqltext as s
@@ -360,13 +360,36 @@ def _(t):
     return p.select("p_partkey", "n", seeds.fill_template("https://example.com/{seed}/{n}", c("p_brand"), c("n_text")).alias("url"))
 
 
+def _run_summaries(t):
+    """One small summary per job: detailed failures, plain failed urls, or a checkpoint, by status."""
+    base = F.concat(F.lit("https://example.com/"), "account_id", F.lit("/"))
+    detail = F.struct(F.concat(F.lit(" "), base, F.lit("a")).alias("url"), F.when(c("attempts") > 2, "HTTP error").otherwise(" ").alias("error"), F.concat(F.lit("E"), "attempts").alias("code"), c("attempts"))
+    none = F.array().cast("array<struct<url:string,error:string,code:string,attempts:int>>")
+    urls = F.array(F.concat(base, F.lit("b ")), F.concat(base, F.lit("b")), F.concat(base, F.lit("c")), F.lit(" "))
+    return t.v_jobs.select(
+        c("id").alias("run_id"), F.when(c("status") == "failed", F.array(detail, detail)).otherwise(none).alias("failures"), urls.alias("failed_urls"),
+        F.when(c("status") == "queued", F.array(F.concat(base, F.lit("u")), F.concat(base, F.lit("u")))).alias("unresolved_urls"), F.when(c("status") == "retrying", F.array(F.concat(base, F.lit("r")))).alias("remaining_urls"),
+    )
+
+
+_BASE = "'https://example.com/' || account_id || '/'"
+
+
 @query(
     "p19_failure_entries",
-    """SELECT DISTINCT account_id, 'https://example.com/job/' || job_type AS url, CASE WHEN status = 'failed' THEN 'E' || attempts ELSE '' END AS code FROM v_jobs WHERE status IN ('failed', 'dead_letter')""",
+    f"""SELECT id AS run_id, CAST(p AS INT) AS pos, {_BASE} || 'a' AS url, CASE WHEN attempts > 2 THEN 'HTTP error' ELSE 'Extraction failed' END AS error, 'E' || attempts AS code, nullif(attempts, 0) AS attempts FROM v_jobs, (SELECT unnest([0, 1]) AS p) WHERE status = 'failed'
+      UNION ALL SELECT id, p, {_BASE} || CASE p WHEN 0 THEN 'b' ELSE 'c' END, 'Extraction failed', '', NULL FROM v_jobs, (SELECT unnest([0, 1]) AS p) WHERE status <> 'failed'""",
+)
+def _(t):
+    return recovery.failure_entries(_run_summaries(t))
+
+
+@query(
+    "p19_resume_urls",
+    f"""SELECT id AS run_id, {_BASE} || CASE status WHEN 'queued' THEN 'u' WHEN 'retrying' THEN 'r' WHEN 'failed' THEN 'a' ELSE 'b' END AS url FROM v_jobs UNION ALL SELECT id, {_BASE} || 'c' FROM v_jobs WHERE status NOT IN ('queued', 'retrying', 'failed')""",
 )
 def _(t):
-    j = t.v_jobs.filter(c("status").isin("failed", "dead_letter"))
-    return j.select("account_id", F.concat(F.lit("https://example.com/job/"), "job_type").alias("url"), F.when(c("status") == "failed", F.concat(F.lit("E"), "attempts")).otherwise("").alias("code")).distinct()
+    return recovery.resume_urls(_run_summaries(t)).select("run_id", "url")
 
 
 @query(

@@ -265,7 +265,33 @@ def _(t):
     return t.conversations.select("conv_id", "turn", *[f[k].alias(k) for k in keep])
 
 
-@query("f40_goal_strategy")
+def _instruction_sql(expr: str) -> str:
+    for p in labels.INSTRUCTION_PATTERNS:
+        expr = f"trim(regexp_replace({expr}, {s.q(p)}, ''))"
+    return s.clean(expr)
+
+
+_FOR = r"(?i)\b(?:for|about|on)\s+(.+)$"
+_FRESH = r"regexp_matches(raw, '(?i)\bup[-\s]?to[-\s]?date\b')"
+_VERB = r"regexp_matches(low, '\b(" + "|".join(labels.VERBS) + r")\b')"
+_AFTER_SEARCH = r"regexp_replace(raw, '(?i)^.*?\bsearch\b\s*', '')"
+_ENCODED = "replace(replace(replace(replace(replace(replace(url_encode(intent_query), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%7E', '~'), '%20', '+')"
+
+
+@query(
+    "f40_goal_strategy",
+    f"""WITH r AS (SELECT conv_id, turn, {s.clean('text')} AS raw FROM conversations), l AS (SELECT *, lower(raw) AS low, regexp_extract(raw, {s.q(labels.FIRST_URL)}) AS explicit_url FROM r),
+      f AS (SELECT *, {_H['access']} AS wants_access, {_H['export']} AS wants_export, {_H['maps']} OR {_H['local_leads']} AS maps, {_H['email']} OR {_H['phone']} OR {_H['text']} OR {_H['metadata']} AS page, {_H['data']} AS hinted,
+        contains(low, 'fresh') OR {_FRESH} OR contains(low, 'latest') OR contains(low, 'today') OR contains(low, 'recent') OR contains(low, 'newly') AS fresh FROM l),
+      q AS (SELECT *, {_VERB} OR contains(low, 'quick extract') OR (raw <> '' AND NOT wants_access AND NOT wants_export AND (regexp_matches(raw, {s.q(labels.CONVERSATIONAL)}) OR hinted OR maps OR page)) AS wants_extract,
+        CASE WHEN explicit_url <> '' THEN '' WHEN regexp_extract(raw, {s.q(_FOR)}, 1) <> '' THEN {s.clean(f"regexp_extract(raw, {s.q(_FOR)}, 1)")}
+          WHEN contains(low, 'search') THEN {_instruction_sql(_AFTER_SEARCH)} ELSE {_instruction_sql('raw')} END AS intent_query FROM f),
+      e AS (SELECT *, {_ENCODED} AS enc FROM q),
+      d AS (SELECT *, CASE WHEN explicit_url <> '' THEN explicit_url WHEN intent_query = '' THEN '' WHEN maps THEN 'https://www.google.com/maps/search/' || enc ELSE 'https://www.google.com/search?q=' || enc || CASE WHEN fresh THEN '&tbs=qdr:d' ELSE '' END END AS discovery_url FROM e),
+      m AS (SELECT *, maps OR contains(lower(discovery_url), 'google.com/maps') OR contains(lower(discovery_url), 'maps.google.') AS map_mode, contains(low, 'point') AND contains(low, 'follow') AS pointing FROM d)
+      SELECT conv_id, turn, intent_query, discovery_url, CASE WHEN wants_access AND NOT wants_extract AND NOT pointing AND NOT wants_export THEN 'access_only' WHEN wants_export AND NOT wants_extract THEN 'export_only' WHEN pointing THEN 'point_follow_guided'
+        WHEN wants_extract AND map_mode THEN 'maps_autopilot' WHEN wants_extract AND page THEN 'page_autopilot' WHEN wants_extract THEN 'list_autodetect_autopilot' ELSE 'idle' END AS strategy FROM m""",
+)
 def _(t):
     raw = t.conversations.select("conv_id", "turn", "text")
     flags = labels.goal_flags(c("text"))

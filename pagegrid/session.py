@@ -14,6 +14,8 @@ def build_session(app: str = "pagegrid", master: str | None = None, partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # regex-heavy expressions make small partitions worth their own task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -68,6 +68,14 @@ def tool_type(runner: Column, action: Column) -> Column:
     )
 
 
+# A word edge between ASCII word characters only; the JVM's own edge also counts accented letters.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
 def _any(text: Column, tokens: list[str]) -> Column:
     found = F.lit(False)
     for t in tokens:
@@ -163,12 +171,12 @@ def goal_flags(text: Column) -> dict[str, Column]:
     raw = clean_text(text)
     low = F.lower(raw)
     flag = {name: _any(low, words) for name, words in HINTS.items()}
-    verb = low.rlike(r"\b(" + "|".join(VERBS) + r")\b")
-    talk = raw.rlike(CONVERSATIONAL)
+    verb = low.rlike(ascii_edges(r"\b(" + "|".join(VERBS) + r")\b"))
+    talk = raw.rlike(ascii_edges(CONVERSATIONAL))
     any_topic = flag["data"] | flag["maps"] | flag["local_leads"] | flag["email"] | flag["phone"] | flag["text"] | flag["metadata"]
     extract = verb | low.contains("quick extract") | ((raw != "") & ~flag["access"] & ~flag["export"] & (talk | any_topic))
-    fresh = _any(low, ["fresh", "latest", "today", "recent", "newly"]) | raw.rlike(r"(?i)\bup[-\s]?to[-\s]?date\b")
-    by_words, by_top = F.regexp_extract(raw, TARGET_WORDS, 1), F.regexp_extract(raw, TARGET_TOP, 1)
+    fresh = _any(low, ["fresh", "latest", "today", "recent", "newly"]) | raw.rlike(ascii_edges(r"(?i)\bup[-\s]?to[-\s]?date\b"))
+    by_words, by_top = F.regexp_extract(raw, ascii_edges(TARGET_WORDS), 1), F.regexp_extract(raw, ascii_edges(TARGET_TOP), 1)
     target = F.when(by_words != "", by_words).when(by_top != "", by_top).otherwise("0").cast("int")
     return {
         "explicit_url": F.regexp_extract(raw, FIRST_URL, 0),
@@ -204,15 +212,15 @@ INSTRUCTION_PATTERNS = [
 
 def _strip_instruction(c: Column) -> Column:
     for p in INSTRUCTION_PATTERNS:
-        c = F.trim(F.regexp_replace(c, p, ""))
+        c = F.trim(F.regexp_replace(c, ascii_edges(p), ""))
     return clean_text(c)
 
 
 def goal_query(text: Column) -> Column:
     """What the request is about, '' when it names a URL."""
     raw = clean_text(text)
-    by_for = F.regexp_extract(raw, r"(?i)\b(?:for|about|on)\s+(.+)$", 1)
-    after_search = F.regexp_replace(raw, r"(?i)^.*?\bsearch\b\s*", "")
+    by_for = F.regexp_extract(raw, ascii_edges(r"(?i)\b(?:for|about|on)\s+(.+)$"), 1)
+    after_search = F.regexp_replace(raw, ascii_edges(r"(?i)^.*?\bsearch\b\s*"), "")
     body = (
         F.when(by_for != "", clean_text(by_for))
         .when(F.lower(raw).contains("search"), _strip_instruction(after_search))

@@ -234,4 +234,6 @@ def drop_query_keys(url: Column, keys: list[str], drop_viewport: bool = False) -
 
 
 def query_value(url: Column, key: str) -> Column:
-    return F.regexp_extract(F.coalesce(parts(url)["query"], F.lit("")), rf"[?&]{key}=([^&]*)", 1)
+    """Decoded value of the first query parameter of that name, '' when absent."""
+    raw = F.regexp_extract(F.coalesce(parts(url)["query"], F.lit("")), rf"[?&]{key}=([^&]*)", 1)
+    return F.coalesce(F.try_url_decode(raw), raw)

@@ -49,33 +49,24 @@ def flatten_paths(df: DataFrame, value: str, keys: list[str], depth: int = 8, op
     inner keys they pass. Null members are kept in diffs. All levels open inside the row.
     """
 
-    def kind(x: Column) -> Column:
-        return F.coalesce(F.schema_of_variant(x["v"]), F.lit("VOID"))
-
-    def is_open(x: Column) -> Column:
-        k = kind(x)
-        return k.startswith("OBJECT") | (k.startswith("ARRAY") if open_arrays else F.lit(False))
+    def members(x: Column) -> Column:
+        return F.try_variant_get(x["v"], "$", "map<string,variant>")  # null unless an object
 
     def children(x: Column) -> Column:
-        members = F.map_entries(F.coalesce(F.try_variant_get(x["v"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-        named = F.transform(
-            members,
-            lambda m: F.struct(
-                F.when(x["path"] == "", m["key"]).otherwise(F.concat(x["path"], F.lit("."), m["key"])).alias("path"), m["key"].alias("key"), m["value"].alias("v")
-            ),
-        )
+        prefix = F.when(x["path"] == "", F.lit("")).otherwise(F.concat(x["path"], F.lit(".")))
+        named = F.transform(F.map_entries(members(x)), lambda m: F.struct(F.concat(prefix, m["key"]).alias("path"), m["key"].alias("key"), m["value"].alias("v")))
+        none = F.array().cast("array<struct<path:string,key:string,v:variant>>")
         if not open_arrays:
-            return named
-        items = F.coalesce(F.try_variant_get(x["v"], "$", "array<variant>"), F.array().cast("array<variant>"))
+            return F.coalesce(named, none)
         indexed = F.transform(
-            items,
+            F.try_variant_get(x["v"], "$", "array<variant>"),
             lambda v, i: F.struct(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.lit(None).cast("string").alias("key"), v.alias("v")),
         )
-        return F.when(kind(x).startswith("ARRAY"), indexed).otherwise(named)
+        return F.coalesce(named, indexed, none)
 
     step = df.select(*keys, F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), c(value).alias("v"))).alias("p0"))
     for k in range(1, depth + 1):
-        step = step.withColumn(f"p{k}", F.flatten(F.transform(F.filter(f"p{k - 1}", is_open), children)))
+        step = step.withColumn(f"p{k}", F.flatten(F.transform(f"p{k - 1}", children)))
     every = F.concat(*[c(f"p{k}") for k in range(1, depth + 1)])
-    kept = every if open_arrays else F.filter(every, lambda x: ~is_open(x))
+    kept = every if open_arrays else F.filter(every, lambda x: members(x).isNull())
     return step.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.path", "x.key", c("x.v").alias("value"))

@@ -197,7 +197,9 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     day and weekday match is tried with its hours × minutes; times a zone skips do not match, as in a
     minute-by-minute walk. No calendar table, no minute loop.
     """
-    cases = schedules.select("cron_expr", "timezone", c(from_ts).alias("__from")).distinct()
+    # few cases, much work each: a fixed partition count keeps them spread after the fold
+    n = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cases = schedules.select("cron_expr", "timezone", c(from_ts).alias("__from")).distinct().repartition(n, "cron_expr", "timezone", "__from")
     parsed = schedules.select("cron_expr").distinct().select("cron_expr", times.cron_fields(c("cron_expr")).alias("k"))
     f = cases.join(parsed.filter("k.valid"), "cron_expr")
     start = F.date_trunc("minute", c("__from")) + F.expr("INTERVAL 1 MINUTE")
@@ -224,24 +226,26 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     zone = c("timezone")
 
     def walls_of(d: Column) -> Column:
-        # a day of other than 24 hours has a zone change: its wall times may repeat or be skipped
-        plain = F.unix_seconds(F.to_utc_timestamp(F.date_add(d, 1), zone)) - F.unix_seconds(F.to_utc_timestamp(d, zone)) == 86_400
-        return let(plain, lambda p: F.transform("__minutes", lambda m: F.struct((d.cast("timestamp") + F.make_interval(mins=m)).alias("w"), p.alias("plain"))))
+        # times of day as seconds; a day of other than 24 hours has a zone change: its wall times may
+        # repeat or be skipped, all others share the shift of the day's start
+        begin = F.unix_date(d).cast("long") * 86_400
+        utc, after = F.unix_seconds(F.to_utc_timestamp(d, zone)), F.unix_seconds(F.to_utc_timestamp(F.date_add(d, 1), zone))
+        day = F.struct(begin.alias("begin"), (utc - begin).alias("shift"), (after - utc == 86_400).alias("plain"))
+        return let(day, lambda p: F.transform("__minutes", lambda m: F.struct((p["begin"] + m * 60).alias("w"), p["shift"].alias("shift"), p["plain"].alias("plain"))))
 
     # wall times from three hours before the start (clock changes are shorter); fewer than 600 minutes
     # of them can lie before the start, repeat or be skipped, so the answer is among the first 600
-    from_wall = F.from_utc_timestamp("__start", zone) - F.expr("INTERVAL 3 HOURS")
-    f = f.withColumn("__low", from_wall).withColumn("__all", F.flatten(F.transform("__days", walls_of)))
-    f = f.withColumn("__walls", F.slice(F.filter("__all", lambda x: x["w"] >= c("__low")), 1, 600))
-    shifts = F.array(*[F.lit(x) for x in (0, -120, -60, -30, 30, 60, 120)])
+    f = f.withColumn("__bounds", F.struct(F.unix_seconds("__start").alias("low"), F.unix_seconds("__end").alias("high"), (F.unix_seconds(F.from_utc_timestamp("__start", zone)) - 10_800).alias("wall")))
+    f = f.withColumn("__walls", F.slice(F.filter(F.flatten(F.transform("__days", walls_of)), lambda x: x["w"] >= c("__bounds")["wall"]), 1, 600))
+    shifts = F.array(*[F.lit(x) for x in (0, -7200, -3600, -1800, 1800, 3600, 7200)])
 
     def instants(x: Column) -> Column:
-        offsets = F.when(x["plain"], F.array(F.lit(0))).otherwise(shifts)
-        return F.transform(offsets, lambda off: F.struct(x["w"].alias("w"), (F.to_utc_timestamp(x["w"], zone) + F.make_interval(mins=off)).alias("t")))
+        tried = F.transform(shifts, lambda off: F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(x["w"]), zone)) + off)
+        real = F.filter(tried, lambda t: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(t), zone)) == x["w"])
+        return F.when(x["plain"], F.array(x["w"] + x["shift"])).otherwise(real)
 
-    every = F.flatten(F.transform("__walls", instants))
-    good = F.filter(every, lambda x: (x["t"] >= c("__start")) & (x["t"] <= c("__end")) & (F.from_utc_timestamp(x["t"], zone) == x["w"]))
-    solved = f.select("cron_expr", "timezone", "__from", F.array_min(F.transform(good, lambda x: x["t"])).alias("next_run_at"))
+    good = F.filter(F.flatten(F.transform("__walls", instants)), lambda t: (t >= c("__bounds")["low"]) & (t <= c("__bounds")["high"]))
+    solved = f.select("cron_expr", "timezone", "__from", F.timestamp_seconds(F.array_min(good)).alias("next_run_at"))
     keyed = schedules.withColumn("__from", c(from_ts))
     return keyed.join(solved, ["cron_expr", "timezone", "__from"], "left").select("id", "next_run_at")
 

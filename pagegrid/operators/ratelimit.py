@@ -43,43 +43,47 @@ def _steps(pdf: pd.DataFrame, length: int) -> list[tuple[int, int]]:
 def window_starts(df: DataFrame, key: str, at_ms: str, length_ms: int, slices: int | None = None) -> DataFrame:
     """Distinct (key, request time) with the start of the window it falls in."""
     times = df.select(c(key).alias("key"), c(at_ms).cast("long").alias("at")).distinct()
-    sliced = with_slices(stage(times, "times"), ["key", "at"], slices)
+    sliced = stage(with_slices(stage(times, "times"), ["key", "at"], slices), "sliced")
     key_type = times.schema["key"].dataType.simpleString()
+    # slices are ranges of (key, time), so at most one key continues over each border
+    spans = sliced.groupBy("key").agg(F.min(SLICE).alias("lo"), F.max(SLICE).alias("hi")).filter("lo < hi").select("key")
+    crossing = sliced.join(F.broadcast(spans), "key", "left_semi")
 
     def reduce(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _steps(pdf, length_ms)
-        return pd.DataFrame({SLICE: group[0], "key": group[1], "bound": [r[0] for r in rows], "leave": [r[1] for r in rows], "high": int(pdf["at"].max())})
+        return pd.DataFrame({SLICE: group[0], "key": group[1], "bound": [r[0] for r in rows], "leave": [r[1] for r in rows]})
 
-    steps = sliced.groupBy(SLICE, "key").applyInPandas(reduce, f"{SLICE} int, key {key_type}, bound long, leave long, high long")
+    steps = crossing.groupBy(SLICE, "key").applyInPandas(reduce, f"{SLICE} int, key {key_type}, bound long, leave long")
 
     def walk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, start = [], _NONE
         for slice_id, part in pdf.sort_values([SLICE, "bound"]).groupby(SLICE, sort=True):
             out.append((slice_id, start))
-            bounds = part["bound"].to_numpy()
             # first step whose bound covers the entering start; beyond the last the window just goes on
-            i = int(np.searchsorted(bounds, start, side="left"))
-            if i < len(bounds):
+            i = int(np.searchsorted(part["bound"].to_numpy(), start, side="left"))
+            if i < len(part):
                 start = int(part["leave"].to_numpy()[i])
         return pd.DataFrame({SLICE: [o[0] for o in out], "key": group[0], "entering": [o[1] for o in out]})
 
     entering = steps.groupBy("key").applyInPandas(walk, f"{SLICE} int, key {key_type}, entering long")
 
     def resolve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        t = pdf["at"].to_numpy()
+        pdf = pdf.sort_values(["key", "at"], ignore_index=True)
+        t, keys, entered = pdf["at"].to_numpy(), pdf["key"].to_numpy(), pdf["entering"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         starts = np.empty(len(t), dtype=np.int64)
-        current, i = int(pdf["entering"].iloc[0]), 0
-        while i < len(t):
-            if t[i] >= current + length_ms:
-                current = int(t[i])
-            j = int(np.searchsorted(t, current + length_ms, side="left"))
-            starts[i:j] = current
-            i = j
-        return pd.DataFrame({"key": group[1], "at": t, "start": starts})
-
-    joined = sliced.join(entering, [SLICE, "key"])
-    return joined.groupBy(SLICE, "key").applyInPandas(resolve, f"key {key_type}, at long, start long")
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            mine, current, i = t[lo:hi], int(entered[lo]), 0
+            while i < len(mine):
+                if mine[i] >= current + length_ms:
+                    current = int(mine[i])
+                j = int(np.searchsorted(mine, current + length_ms, side="left"))
+                starts[lo + i : lo + j] = current
+                i = j
+        return pd.DataFrame({"key": keys, "at": t, "start": starts})
+
+    joined = sliced.join(F.broadcast(entering), [SLICE, "key"], "left").withColumn("entering", F.coalesce("entering", F.lit(_NONE)))
+    return joined.groupBy(SLICE).applyInPandas(resolve, f"key {key_type}, at long, start long")
 
 
 def fixed_window_limit(df: DataFrame, key: str, ts: str, order: str, window_ms: int = 60_000, max_requests: int = 60) -> DataFrame:

@@ -80,6 +80,20 @@ SELECT CAST(ts AS DATE) AS day, SUM(CAST(value AS DECIMAL(18,2))) AS usd FROM {e
 NOW = "2024-02-01 00:00:00"
 
 
+#: tables of heavy rows, with the key they are spread by when they come in too few partitions
+HEAVY = {"pages": "page_id", "documents": "doc_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a plain scan over all cores when it has fewer partitions than cores.
+
+    Heavy per-row work on a small file would otherwise sit in one task. A large table already has
+    more partitions than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to base tables and views as DataFrames: ``t.events``, ``t.v_jobs``."""
 
@@ -88,7 +102,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df, HEAVY[name]) if name in HEAVY else df
         if name in VIEWS:
             text = VIEWS[name]
             sources = {s: getattr(self, s) for s in set(re.findall(r"\{(\w+)\}", text))}

@@ -8,7 +8,7 @@ from pagegrid.functions.jsonx import canonical, content_hash, flatten_paths, req
 from pagegrid.functions.urls import target_signature
 from pagegrid.operators import accounts, jobs
 from pagegrid.plans.registry import query
-from pagegrid.plans.tables import NOW
+from pagegrid.plans.tables import NOW, spread
 from pagegrid.queries import sqltext as s
 from pagegrid.sources import records
 
@@ -218,7 +218,7 @@ def _(t):
 
 
 def _sched(t):
-    return t.v_schedules.select(
+    return spread(t.v_schedules, "id").select(
         "*", F.lit("UTC").alias("timezone"), F.lit(5).alias("max_attempts"), F.array("target_url").alias("target_urls"), F.lit(None).cast("double").alias("max_urls"), F.to_json(F.struct(c("target_url").alias("targetUrl"))).alias("payload"),
         F.concat(F.lit("Watch "), c("account_id") % 50).alias("name"), c("created_at").alias("updated_at"),
     )

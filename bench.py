@@ -1,7 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores.
-Each query runs once to warm up, then up to three times; the median is reported.
+Each query runs once to warm up, then up to twice; the median is reported.
 """
 from __future__ import annotations
 
@@ -38,13 +38,13 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in wanted:
         runs: list[float] = []
-        for attempt in range(4):
+        for attempt in range(3):
             start = time.perf_counter()
             run(queries[name](spark, sf_dir))
             took = time.perf_counter() - start
             if attempt or took > 20:
                 runs.append(took)
-            if sum(runs) > 12:
+            if sum(runs) > 6:
                 break
         times[name] = round(statistics.median(runs), 3)
         print(f"{name} {times[name]}", file=sys.stderr)

@@ -171,9 +171,8 @@ def pause_plan(members: DataFrame, apply: bool = False, batch_size: int = 20, ma
     numbered = running(plan, [], ["signature", "created_at", "id"], number="place", cheap=True)
     label = F.when(~c("is_active"), "already_inactive").when(F.lit(not apply), "dry_run").otherwise("to_pause")
     out = numbered.select("id", label.alias("action"), F.ceil(c("place") / size).cast("long").alias("batch"))
-    total = plan.agg(F.count(F.lit(1)).alias("attempted"))  # one row
-    blocked = F.lit(apply and max_pause > 0 and not force) & (c("attempted") > max_pause)
-    return out.crossJoin(F.broadcast(total)).withColumn("blocked", blocked)
+    attempted = plan.count()  # the plan is staged: a count of its file footers
+    return out.withColumn("attempted", F.lit(attempted).cast("long")).withColumn("blocked", F.lit(apply and 0 < max_pause < attempted and not force))
 
 
 def filter_schedules(df: DataFrame, job_type: str = "", name: str = "", interval_lte: int = 0, min_age: int = 0, now: Column | None = None) -> DataFrame:

@@ -30,12 +30,15 @@ def mean2(col: str) -> Column:
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str) -> DataFrame:
     """Exact nearest-rank percentile per key without holding a key's values in one task.
 
-    Values are counted first (combinable), then accumulated in order over range slices.
+    Values are counted first (combinable), then accumulated in order over range slices. Without
+    keys the whole frame is one group.
     """
+    if not keys:
+        return nearest_rank(df.withColumn("__all", F.lit(1)), ["__all"], value, p, name).drop("__all")
     counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cumulative = running(counts, keys, [value], sums={"upto": c("n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = cumulative.join(totals, list(keys)) if keys else cumulative.crossJoin(F.broadcast(totals))
+    joined = cumulative.join(totals, list(keys))
     rank = F.greatest(F.lit(1), F.ceil(F.lit(p) * c("total")))
     return joined.filter((c("upto") >= rank) & (c("upto") - c("n") < rank)).select(*keys, round_half_up(c(value)).alias(name))
 

@@ -37,7 +37,10 @@ def _(t):
     return r.select("seed", c("url").alias("node"), "depth")
 
 
-@query("j10_deep_scan")
+@query(
+    "j10_deep_scan",
+    f"SELECT {s.url_full('url')} AS url, CAST(0 AS BIGINT) AS scanned_pages, CAST(len(list_distinct({s.emails('html')})) AS BIGINT) AS email_count FROM pages",
+)
 def _(t):
     return links.deep_scan(t.pages, depth=2, cap=20)
 

@@ -26,8 +26,11 @@ def append(df: DataFrame, path: str) -> None:
 
 def run_summary(fetched: DataFrame, matched: DataFrame, groups: DataFrame, filters: dict[str, object], generated_at: str) -> DataFrame:
     """One row describing a run; written through the commit protocol, so readers never see half a file."""
-    n = lambda frame, name: frame.agg(F.count(F.lit(1)).alias(name))
-    out = n(fetched, "fetched").crossJoin(n(matched, "matched")).crossJoin(n(groups, "duplicate_groups"))  # three single rows
+    counts = None
+    for name, frame in (("fetched", fetched), ("matched", matched), ("duplicate_groups", groups)):
+        one = frame.agg(F.count(F.lit(1)).alias("n")).withColumn("measure", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    out = counts.agg(*[F.sum(F.when(c("measure") == m, c("n"))).alias(m) for m in ("fetched", "matched", "duplicate_groups")])
     fixed = [F.lit(v if v not in ("", 0) else None).cast("string").alias(k) for k, v in sorted(filters.items())]
     return out.select(F.lit(generated_at).alias("generated_at"), "*", F.to_json(F.struct(*fixed), {"ignoreNullFields": "false"}).alias("filters"))
 

@@ -69,3 +69,12 @@ def test_profile_signature_tells_equal_columns(spark):
     df = spark.createDataFrame([(i, f"v{i % 3}", f" v{i % 3} ", f"v{(i + 1) % 3}") for i in range(30)], "id int, a string, b string, z string")
     sig = {r["column"]: r["sig"] for r in profile.profile(df, ["a", "b", "z"], "id").collect()}
     assert sig["a"] == sig["b"] != sig["z"]
+
+
+def test_nearest_rank_without_keys(spark):
+    from pagegrid.operators.metrics import nearest_rank
+
+    df = spark.range(1, 21).select(c("id").cast("double").alias("v"))
+    assert nearest_rank(df, [], "v", 0.95, "p").first()["p"] == 19.0
+    assert nearest_rank(df.limit(1), [], "v", 0.95, "p").first()["p"] in {float(i) for i in range(1, 21)}
+    assert nearest_rank(df.limit(0), [], "v", 0.95, "p").count() == 0

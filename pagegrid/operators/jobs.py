@@ -196,9 +196,7 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     day and weekday match is tried with its hours × minutes; times a zone skips do not match, as in a
     minute-by-minute walk. No calendar table, no minute loop.
     """
-    # few cases, much work each: a fixed partition count keeps them spread after the fold
-    n = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cases = schedules.select("cron_expr", "timezone", c(from_ts).alias("__from")).distinct().repartition(n, "cron_expr", "timezone", "__from")
+    cases = schedules.select("cron_expr", "timezone", c(from_ts).alias("__from")).distinct()
     parsed = schedules.select("cron_expr").distinct().select("cron_expr", times.cron_fields(c("cron_expr")).alias("k"))
     f = cases.join(parsed.filter("k.valid"), "cron_expr")
     start = F.date_trunc("minute", c("__from")) + F.expr("INTERVAL 1 MINUTE")
@@ -206,7 +204,13 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     f = f.withColumn("__start", start).withColumn("__end", end)
     local0 = F.to_date(F.from_utc_timestamp("__start", c("timezone")))
     local1 = F.to_date(F.from_utc_timestamp("__end", c("timezone")))
-    k = c("k")
+    zone, k = c("timezone"), c("k")
+    f = f.withColumn("__bounds", F.struct(F.unix_seconds("__start").alias("low"), F.unix_seconds("__end").alias("high"), (F.unix_seconds(F.from_utc_timestamp("__start", zone)) - 10_800).alias("wall")))
+    f = f.withColumn("__minutes", F.flatten(F.transform(k["hour"], lambda h: F.transform(k["minute"], lambda m: h * 60 + m)))).withColumn("__first", local0).withColumn("__last", local1)
+    # one expression may serve most cases: after the join they are spread again by their whole key;
+    # the exchange also keeps the columns above from being folded into the lambdas below
+    n = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = f.select("cron_expr", "timezone", "__from", "k", "__bounds", "__minutes", "__first", "__last").repartition(n, "cron_expr", "timezone", "__from")
 
     def matching(first: Column, last: Column) -> Column:
         return F.filter(
@@ -217,12 +221,9 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     # within a year only the start day and at most two days whose times a zone change skips can
     # match without giving a run, so the fourth matching day always decides; most expressions have
     # it within weeks, the rest look through the whole span
-    near = matching(local0, F.least(local1, F.date_add(local0, 34)))
+    near = matching(c("__first"), F.least("__last", F.date_add("__first", 34)))
     f = f.withColumn("__near", near)
-    f = f.withColumn("__days", F.slice(F.when(F.size("__near") >= 4, c("__near")).otherwise(matching(local0, local1)), 1, 4))
-    minutes_of_day = F.flatten(F.transform(k["hour"], lambda h: F.transform(k["minute"], lambda m: h * 60 + m)))
-    f = f.withColumn("__minutes", minutes_of_day)
-    zone = c("timezone")
+    f = f.withColumn("__days", F.slice(F.when(F.size("__near") >= 4, c("__near")).otherwise(matching(c("__first"), c("__last"))), 1, 4))
 
     def walls_of(d: Column) -> Column:
         # times of day as seconds; a day of other than 24 hours has a zone change: its wall times may
@@ -234,7 +235,6 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
 
     # wall times from three hours before the start (clock changes are shorter); fewer than 600 minutes
     # of them can lie before the start, repeat or be skipped, so the answer is among the first 600
-    f = f.withColumn("__bounds", F.struct(F.unix_seconds("__start").alias("low"), F.unix_seconds("__end").alias("high"), (F.unix_seconds(F.from_utc_timestamp("__start", zone)) - 10_800).alias("wall")))
     f = f.withColumn("__walls", F.slice(F.filter(F.flatten(F.transform("__days", walls_of)), lambda x: x["w"] >= c("__bounds")["wall"]), 1, 600))
     shifts = F.array(*[F.lit(x) for x in (0, -7200, -3600, -1800, 1800, 3600, 7200)])
 

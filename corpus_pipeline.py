@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrid.llm import exact_dedup, mixing, quality_rules
+from pagegrid.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from pagegrid.llm.queries import TOKENIZER
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +21,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (linked SimHash fingerprints) the row with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or thinned to their target weights."""
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("quality_rules", rules_stage), ("exact_dedup", exact_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of at most 2048 tokens, each with its place in a sequence; token ids come along."""
+    return packing.packed_documents(docs, TOKENIZER, with_ids=True)
+
+
+STAGES = [("quality_rules", rules_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 #: the verdict of learned rules and token ids are beyond SQL
 ORACLE_SQL = None
 

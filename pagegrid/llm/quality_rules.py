@@ -181,47 +181,46 @@ def learn(
     def binned_column(c: tuple[str, bool, int]) -> Column:
         return F.col(c[0]) > c[2] if c[1] else F.col(c[0]) <= c[2]
 
-    def grow(remaining: Column) -> tuple[list[tuple[str, bool, int]], int]:
-        """Conditions of a rule, already pruned; none when no rule is confirmed."""
+    def confirmed(grow_bad: int, grow_good: int, prune_bad: int, prune_good: int) -> bool:
+        return grow_bad >= least and prune_bad > 0 and grow_bad >= precision * (grow_bad + grow_good) and prune_bad >= precision * (prune_bad + prune_good)
+
+    def grow(remaining: Column) -> list[tuple[str, bool, int]]:
+        """Conditions of the next rule, pruned; none when the pruning rows confirm no rule.
+
+        A step adds the condition with the best information gain. As soon as some condition would make the rule precise
+        enough on both sets, the one of these that covers most ends it.
+        """
         chosen: list[tuple[str, bool, int]] = []
-        history: list[tuple[int, int, int, int]] = []
         active = remaining
         for _ in range(max_conditions):
             table = counts(active)
-            any_feature = table[features[0]]
-            all_n, all_p = (sum(b[0][k] for b in any_feature) for k in (0, 1))
-            if not all_p or not all_n:
-                break
-            best, gain = None, 1e-9
+            total = [[sum(b[s][k] for b in table[features[0]]) for k in (0, 1)] for s in (0, 1)]
+            if not total[0][1]:
+                return []
+            done, done_cover, best, gain = None, 0, None, 1e-9
             for f in features:
                 low = [[0, 0], [0, 0]]
-                total = [[sum(b[s][k] for b in table[f]) for k in (0, 1)] for s in (0, 1)]
                 for i in range(len(thresholds[f])):
-                    for s in (0, 1):
-                        for k in (0, 1):
-                            low[s][k] += table[f][i][s][k]
+                    low = [[low[s][k] + table[f][i][s][k] for k in (0, 1)] for s in (0, 1)]
                     for above in (True, False):
                         (gn, gp), (pn, pp) = [[total[s][k] - low[s][k] if above else low[s][k] for k in (0, 1)] for s in (0, 1)]
-                        if gp >= least and (g := _entropy_gain(all_p, all_n, gp, gn)) > gain:
-                            best, gain, seen = (f, above, i), g, (gp, gn, pp, pn)
+                        if confirmed(gp, gn, pp, pn) and gp + pp - gn - pn > done_cover:
+                            done, done_cover = (f, above, i), gp + pp - gn - pn
+                        if gp >= least and (g := _entropy_gain(*total[0][::-1], gp, gn)) > gain:
+                            best, gain = (f, above, i), g
+            if done is not None:
+                return [*chosen, done]
             if best is None:
-                break
+                return []
             chosen.append(best)
-            history.append(seen)
             active = active & binned_column(best)
-        # prune: the prefix that does best on the pruning rows
-        worth = [(pp - pn) / (pp + pn) if pp + pn else -1.0 for _, _, pp, pn in history]
-        for k in sorted(range(len(history)), key=lambda k: (-worth[k], k)):
-            gp, gn, pp, pn = history[k]
-            if pp and gp >= precision * (gp + gn) and pp >= precision * (pp + pn):
-                return chosen[: k + 1], gp + pp
-        return [], 0
+        return []
 
     rules: list[Rule] = []
     remaining = F.lit(True)
     while len(rules) < max_rules:
-        conditions, covered = grow(remaining)
-        if not covered:
+        conditions = grow(remaining)
+        if not conditions:
             break
         rules.append(Rule(tuple(Condition(f, above, float(thresholds[f][i])) for f, above, i in conditions)))
         matched = F.lit(True)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrid.llm import exact_dedup, license_scan, mixing, quality_rules
+import public_tokenizers
+
+from pagegrid.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: ranks and split pattern of the byte-level vocabulary that documents are packed with
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_balanced_shards")
+def shards(spark, sf_dir):
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_quality_classifier")
+def classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_suffix_dedup")
+def suffixes(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op4_source_mixing")
 def source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +58,22 @@ def licenses(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op6_simhash")
+def near(spark, sf_dir):
+    grouped = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return grouped.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_packing")
+def packed(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op8_language_id")
+def languages(spark, sf_dir):
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op9_quality_rules")
 def rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,9 +1,12 @@
 """Sharding by Karmarkar-Karp differencing: near equal bytes for groups that must not be split.
 
 A partial partition is a list of byte sums, one per shard. Differencing takes the two partial partitions with the largest
-spread (largest minus smallest sum), adds them oppositely ordered, and puts the result back, until one is left. Tasks
-difference a bounded number of groups each; the partial partitions they leave are differenced again, a bounded number per
-task, level by level, until one remains. So no task and no driver holds more than ``leaf`` groups or ``fan`` partitions.
+spread (largest minus smallest sum), adds them oppositely ordered, and puts the result back, until one is left.
+
+Groups heavier than 1 / (``grain`` x shards) of all bytes are fewer than ``grain`` x shards; they are differenced first.
+Tasks then difference at most about ``leaf`` light groups each, together with one more partial partition: their part of
+the sums that the heavy groups left. So each task fills up what the heavy groups leave uneven, and its shards are tied
+to theirs. No task and not the driver ever holds more groups than that.
 
 Defined results: null texts weigh the overhead only and share the group of empty texts; ids may be null or repeat (rows
 count each); an empty table gives an empty result; columns beyond id and text are not read. A group heavier than its even
@@ -52,40 +55,40 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return out
 
 
-def balance(groups: DataFrame, key: str, weight: str, shards: int, leaf: int = 8192, fan: int = 512) -> DataFrame:
+def balance(groups: DataFrame, key: str, weight: str, shards: int, leaf: int = 8192, grain: int = 32) -> DataFrame:
     """(key, shard) for ``groups``, a row per key with its weight."""
     groups = cut(groups.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("weight")))
-    nodes = slices_for(groups.count(), leaf)
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    heavy = F.col("weight") * (grain * shards) > total
+    first = groups.where(heavy).orderBy(F.desc("weight"), "key").collect()  # fewer than grain * shards rows
+    loads, placed = np.zeros(shards, np.int64), []
+    if first:
+        sums = np.zeros((len(first), shards), np.int64)
+        sums[:, 0] = [r["weight"] for r in first]
+        home = difference(sums)[:, 0]
+        np.add.at(loads, home, sums[:, 0])
+        placed = [(r["key"], int(h)) for r, h in zip(first, home, strict=True)]
+    rest, nodes = max(total - int(loads.sum()), 1), slices_for(count, leaf)
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "key"], ascending=False, kind="stable")
-        sums = np.zeros((len(pdf), shards), dtype=np.int64)
-        sums[:, 0] = pdf["weight"]
-        return pd.DataFrame({"key": pdf["key"], "weight": pdf["weight"], "node": pdf["node"], "part": difference(sums)[:, 0]})
+        # shards change places from task to task, so that what is left uneven does not add up
+        turn = np.random.default_rng(int(pdf["node"].iloc[0])).permutation(shards)
+        sums = np.zeros((len(pdf) + 1, shards), dtype=np.int64)
+        sums[1:, 0] = pdf["weight"]
+        sums[0] = (loads[turn] * (float(pdf["weight"].sum()) / rest)).astype(np.int64)
+        went = difference(sums)
+        named = np.empty(shards, np.int64)
+        named[went[0]] = turn  # columns are named by where the heavy groups' part went
+        return pd.DataFrame({"key": pdf["key"], "shard": named[went[1:, 0]].astype(np.int32)})
 
     kind = groups.schema["key"].dataType.simpleString()
-    dealt = groups.withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
-    placed = cut(dealt.groupBy("node").applyInPandas(leaves, f"key {kind}, weight long, node long, part int"))
-    assigned = placed.select("key", "node", "part")
-    sums = placed.groupBy("node", "part").agg(F.sum("weight").alias("weight"))
-
-    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="node", columns="part", values="weight", aggfunc="sum").reindex(columns=range(shards)).fillna(0).astype(np.int64)
-        went = difference(table.to_numpy())
-        node = np.repeat(table.index.to_numpy(), shards)
-        return pd.DataFrame({
-            "node": node, "part": np.tile(np.arange(shards), len(table)), "weight": table.to_numpy().ravel(), "parent": int(pdf["parent"].iloc[0]), "to": went.ravel(),
-        })
-
-    while nodes > 1:
-        up = cut(sums.withColumn("parent", F.expr(f"node div {fan}")).groupBy("parent").applyInPandas(inner, "node long, part int, weight long, parent long, to int"))
-        assigned = assigned.join(up.select("node", "part", "parent", "to"), ["node", "part"]).select("key", F.col("parent").alias("node"), F.col("to").alias("part"))
-        sums = up.groupBy(F.col("parent").alias("node"), F.col("to").alias("part")).agg(F.sum("weight").alias("weight"))
-        nodes = -(-nodes // fan)
-    return assigned.select("key", F.col("part").alias("shard"))
+    dealt = groups.where(~heavy).withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
+    light = dealt.groupBy("node").applyInPandas(leaves, f"key {kind}, shard int")
+    return light.unionByName(groups.sparkSession.createDataFrame(placed, f"key {kind}, shard int"))
 
 
-def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text", leaf: int = 8192, fan: int = 512) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text", leaf: int = 8192, grain: int = 32) -> DataFrame:
     """Per row: id, size, text_crc32, shard, slot (gapless in its shard)."""
     text = text_of(F.col(text_col))
     rows = cut(docs.select(
@@ -93,6 +96,6 @@ def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col: str = "d
         F.monotonically_increasing_id().alias("row"),
     ))
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"))
-    assigned = cut(rows.join(balance(groups, "key", "weight", shards, leaf, fan), "key").drop("key").withColumn("order", F.xxhash64("row")))
+    assigned = cut(rows.join(balance(groups, "key", "weight", shards, leaf, grain), "key").drop("key").withColumn("order", F.xxhash64("row")))
     sliced = assigned.withColumn("slice", spread_position(F.col("order"), slices_for(assigned.count())))
     return running_before(sliced, ["shard"], ["order"], F.lit(1), "slot", "slice").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")

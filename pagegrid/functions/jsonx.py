@@ -42,31 +42,80 @@ def request_hash(json_text: Column, ignored: str = "idempotencyKey") -> Column:
     return F.sha2(F.coalesce(pruned, text), 256)
 
 
-def flatten_paths(df: DataFrame, value: str, keys: list[str], depth: int = 8, open_arrays: bool = False) -> DataFrame:
-    """(keys.., path, value) leaves of a VARIANT column.
-
-    Arrays stay whole (change diffs) or open as ``[i]`` (policy audits); audits also report the
-    inner keys they pass. Null members are kept in diffs. All levels open inside the row.
+class _Number(str):
+    """A number as it is written, so that it comes out unchanged."""
+
+
+def _load(text: str):
+    return json.loads(text, parse_int=_Number, parse_float=_Number)
+
+
+def _dump(v) -> str:
+    if isinstance(v, _Number):
+        return v
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_dump, v)) + "]"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _per_text(walk, kind: str):
+    """A function of one JSON text as an Arrow-batched column function; null texts stay null."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else walk(_load(t))), kind)
+
+
+def _field_leaves(value) -> list[dict]:
+    """Members that are not objects, at any depth; arrays stay whole."""
+    found, todo = [], [("", None, value)]
+    while todo:
+        path, key, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}" if path else k, k, x) for k, x in reversed(v.items())]
+        elif key is not None:
+            found.append({"path": path, "key": key, "value": _dump(v)})
+    return found
+
+
+def _all_paths(value) -> list[dict]:
+    """Every member and array item, at any depth, without values."""
+    found, todo = [], [("", value)]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            inner = [(f"{path}.{k}" if path else k, k, x) for k, x in v.items()]
+        elif isinstance(v, list):
+            inner = [(f"{path}[{i}]", None, x) for i, x in enumerate(v)]
+        else:
+            continue
+        found += [{"path": p, "key": k, "value": None} for p, k, _ in inner]
+        todo += [(p, x) for p, _, x in reversed(inner)]
+    return found
+
+
+def flatten_paths(df: DataFrame, value: str, keys: list[str], open_arrays: bool = False) -> DataFrame:
+    """(keys.., path, key, value) of a VARIANT column, at any depth, in one pass inside the row.
+
+    Arrays stay whole (change diffs) and only leaves are given; with ``open_arrays`` (policy audits) arrays open as ``[i]``
+    and the inner members are given too, without values. Null members are kept.
     """
-
-    def members(x: Column) -> Column:
-        return F.try_variant_get(x["v"], "$", "map<string,variant>")  # null unless an object
-
-    def children(x: Column) -> Column:
-        prefix = F.when(x["path"] == "", F.lit("")).otherwise(F.concat(x["path"], F.lit(".")))
-        named = F.transform(F.map_entries(members(x)), lambda m: F.struct(F.concat(prefix, m["key"]).alias("path"), m["key"].alias("key"), m["value"].alias("v")))
-        none = F.array().cast("array<struct<path:string,key:string,v:variant>>")
-        if not open_arrays:
-            return F.coalesce(named, none)
-        indexed = F.transform(
-            F.try_variant_get(x["v"], "$", "array<variant>"),
-            lambda v, i: F.struct(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.lit(None).cast("string").alias("key"), v.alias("v")),
-        )
-        return F.coalesce(named, indexed, none)
-
-    step = df.select(*keys, F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), c(value).alias("v"))).alias("p0"))
-    for k in range(1, depth + 1):
-        step = step.withColumn(f"p{k}", F.flatten(F.transform(f"p{k - 1}", children)))
-    every = F.concat(*[c(f"p{k}") for k in range(1, depth + 1)])
-    kept = every if open_arrays else F.filter(every, lambda x: members(x).isNull())
-    return step.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.path", "x.key", c("x.v").alias("value"))
+    walk = _per_text(_all_paths if open_arrays else _field_leaves, "array<struct<path:string,key:string,value:string>>")
+    opened = df.select(*keys, F.explode(walk(F.to_json(c(value)))).alias("x"))
+    return opened.select(*keys, "x.path", "x.key", F.parse_json("x.value").alias("value"))
+
+
+def _graph_objects(value) -> list[dict]:
+    found, todo = [], [([], value)]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            found.append({"path": path, "node": _dump(v)})
+            v = v.get("@graph")
+        if isinstance(v, list):
+            todo += [([*path, i], x) for i, x in reversed(list(enumerate(v)))]
+    return found
+
+
+def graph_objects(value: Column) -> Column:
+    """Objects of a VARIANT that stand in arrays and ``@graph`` lists, at any depth, with their places."""
+    return _per_text(_graph_objects, "array<struct<path:array<int>,node:string>>")(F.to_json(value))

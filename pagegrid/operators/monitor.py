@@ -100,20 +100,22 @@ def upsert_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def clip(value: Column, size: int = 280) -> Column:
-    """Cut long text values of a diff; other JSON values stay whole."""
+def clip(value: Column, size: int | None = None) -> Column:
+    """Cut text values of a diff that are longer than ``size``; none: whole."""
+    if size is None:
+        return value
     return F.when(F.char_length(value) > size, F.concat(F.left(value, F.lit(size)), F.lit("..."))).otherwise(value)
 
 
 def fields_of(df: DataFrame, keys: Sequence[str], snapshot: str) -> DataFrame:
     """(keys, field, value): snapshot leaves; texts unquoted, other values as JSON."""
-    flat = flatten_paths(df.select(*keys, F.parse_json(snapshot).alias("v")), "v", list(keys), depth=4)
+    flat = flatten_paths(df.select(*keys, F.parse_json(snapshot).alias("v")), "v", list(keys))
     text = F.try_variant_get("value", "$", "string")
     is_text = F.schema_of_variant("value") == "STRING"
     return flat.select(*keys, c("path").alias("field"), F.when(is_text, text).otherwise(F.coalesce(F.to_json("value"), F.lit("null"))).alias("value"))
 
 
-def field_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str], changed_only: bool = True) -> DataFrame:
+def field_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str], changed_only: bool = True, clip_at: int | None = None) -> DataFrame:
     """Field changes between two snapshots per key: one-sided fields read null.
 
     A full outer join on (keys, field); monitors without a previous snapshot are a first run and
@@ -125,10 +127,10 @@ def field_diff(current: DataFrame, previous: DataFrame, keys: Sequence[str], cha
     j = now.join(old, [*keys, "field"], "full_outer")
     if changed_only:
         j = j.filter(~c("current").eqNullSafe(c("previous")))
-    return j.select(*keys, "field", clip(c("previous")).alias("previous"), clip(c("current")).alias("current"))
+    return j.select(*keys, "field", clip(c("previous"), clip_at).alias("previous"), clip(c("current"), clip_at).alias("current"))
 
 
-def diff_lists(diff: DataFrame, keys: Sequence[str], keep: int = 100) -> DataFrame:
-    """First ``keep`` changes per key in field order, with the full count; fields per snapshot are few."""
+def diff_lists(diff: DataFrame, keys: Sequence[str], keep: int | None = None) -> DataFrame:
+    """Changes per key in field order (all, or the first ``keep``), with the full count; a snapshot bounds them."""
     changes = F.sort_array(F.collect_list(F.struct("field", "previous", "current")))
-    return diff.groupBy(*keys).agg(F.count(F.lit(1)).alias("diff_count"), F.slice(changes, 1, keep).alias("diff"))
+    return diff.groupBy(*keys).agg(F.count(F.lit(1)).alias("diff_count"), (changes if keep is None else F.slice(changes, 1, keep)).alias("diff"))

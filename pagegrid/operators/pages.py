@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegrid.functions import contacts
+from pagegrid.functions.jsonx import graph_objects
 from pagegrid.functions.text import canonical_url, clean_text, count_tag, decode_entities, html_lang, meta_content, strip_html, tag_inner, tag_text, visible_text, word_count
 
 c = F.col
@@ -108,30 +109,14 @@ def phone_rows(pages: DataFrame, **options) -> DataFrame:
 _LD = r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
-def jsonld_nodes(pages: DataFrame, levels: int = 6) -> DataFrame:
+def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """Flattened JSON-LD nodes (page_id, path, node); bad JSON is skipped.
 
-    Arrays and ``@graph`` lists open one level per step, all inside the row and in one pass;
-    ``levels`` covers a graph nested in lists nested in graphs three deep.
+    Arrays and ``@graph`` lists open at any depth, inside the row and in one pass.
     """
-
-    def is_object(x: Column) -> Column:
-        return F.schema_of_variant(x["v"]).startswith("OBJECT")
-
-    def children(x: Column) -> Column:
-        listed = F.when(F.schema_of_variant(x["v"]).startswith("ARRAY"), x["v"]).otherwise(
-            F.when(is_object(x), F.try_variant_get(x["v"], "$['@graph']", "variant"))
-        )
-        items = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
-        return F.transform(items, lambda v, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), v.alias("v")))
-
     scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all(c("html"), F.lit(_LD), F.lit(1))).alias("s", "body"))
-    step = scripts.select("page_id", F.array(F.struct(F.array(c("s")).alias("path"), F.try_parse_json("body").alias("v"))).alias("p0"))
-    for k in range(1, levels):
-        opened = F.flatten(F.transform(F.filter(f"p{k - 1}", lambda x: x["v"].isNotNull()), children))
-        step = step.withColumn(f"p{k}", opened)
-    found = F.concat(*[F.filter(F.filter(f"p{k}", lambda x: x["v"].isNotNull()), is_object) for k in range(levels)])
-    return step.select("page_id", F.explode(found).alias("x")).select("page_id", "x.path", c("x.v").alias("node"))
+    opened = scripts.select("page_id", "s", F.explode(graph_objects(F.try_parse_json("body"))).alias("x"))
+    return opened.select("page_id", F.concat(F.array("s"), c("x.path")).alias("path"), F.parse_json("x.node").alias("node"))
 
 
 def _types(node: Column) -> Column:
@@ -141,13 +126,14 @@ def _types(node: Column) -> Column:
     return F.filter(F.transform(raw, clean_text), lambda x: x != "")
 
 
-def jsonld_rollup(pages: DataFrame) -> DataFrame:
-    """Per page: script and node counts, sorted types, review count, rating count, first nodes."""
+def jsonld_rollup(pages: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per page: script and node counts, sorted types, review count, rating count, nodes (all, or the first ``keep``)."""
     n = jsonld_nodes(pages).select("page_id", "path", "node", _types(c("node")).alias("types"))
     count = F.coalesce(
         F.try_variant_get("node", "$.aggregateRating.reviewCount", "string"), F.try_variant_get("node", "$.aggregateRating.ratingCount", "string")
     ).try_cast("double")
-    first = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("path", F.to_json("node").alias("j")))), 1, 5), lambda x: x["j"])
+    placed = F.sort_array(F.collect_list(F.struct("path", F.to_json("node").alias("j"))))
+    first = F.transform(placed if keep is None else F.slice(placed, 1, keep), lambda x: x["j"])
     per_page = n.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("node_count"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("schema_types"),

@@ -35,10 +35,10 @@ def run_summary(fetched: DataFrame, matched: DataFrame, groups: DataFrame, filte
     return out.select(F.lit(generated_at).alias("generated_at"), "*", F.to_json(F.struct(*fixed), {"ignoreNullFields": "false"}).alias("filters"))
 
 
-def notification_bodies(changes: DataFrame, webhooks: DataFrame, default_event: str = "monitor.page.changed", keep: int = 25) -> DataFrame:
+def notification_bodies(changes: DataFrame, webhooks: DataFrame, default_event: str = "monitor.page.changed", keep: int | None = None) -> DataFrame:
     """Outbox rows for changed monitors that have a webhook.
 
-    ``changes``: (account_id, monitor_key, target_url, previous_hash, snapshot_hash, changed, diff array).
+    ``changes``: (account_id, monitor_key, target_url, previous_hash, snapshot_hash, changed, diff_count, diff array).
     ``webhooks``: (account_id, monitor_key, webhook_url, event_type, metadata map, body map). Fields of the
     user's metadata, then body, win over the built ones.
     """
@@ -47,10 +47,10 @@ def notification_bodies(changes: DataFrame, webhooks: DataFrame, default_event:
         F.lit("source"), F.lit("monitor.page.diff"),
         F.lit("monitorKey"), c("monitor_key"),
         F.lit("monitoredUrl"), c("target_url"),
-        F.lit("diffCount"), F.size("diff").cast("string"),
+        F.lit("diffCount"), c("diff_count").cast("string"),
         F.lit("previousSnapshotHash"), c("previous_hash"),
         F.lit("snapshotHash"), c("snapshot_hash"),
-        F.lit("changes"), F.to_json(F.slice("diff", 1, keep)),
+        F.lit("changes"), F.to_json(c("diff") if keep is None else F.slice("diff", 1, keep)),
     )
 
     def over(base: Column, extra: Column) -> Column:

@@ -85,7 +85,7 @@ def test_monitor_runs_fixture(spark):
     d = [(r["field"], r["previous"], r["current"]) for r in monitor.field_diff(cur, prev, monitor.KEYS).collect()]
     assert d == [("title", "T", None)]
     assert monitor.field_diff(cur, prev.limit(0), monitor.KEYS).count() == 0
-    long = spark.createDataFrame([("x" * 281,), ("x" * 280,)], "v string").select(F.length(monitor.clip(c("v"))).alias("n"))
+    long = spark.createDataFrame([("x" * 281,), ("x" * 280,)], "v string").select(F.length(monitor.clip(c("v"), 280)).alias("n"))
     assert [r["n"] for r in long.collect()] == [283, 280]
 
 
@@ -145,3 +145,29 @@ def test_due_schedule_with_unsolvable_cron(spark):
     new, moved = jobs.trigger_due(df, F.lit("2024-01-01 00:10:00").cast("timestamp"), "t", "w")
     row = moved.first()
     assert new.count() == 0 and row["next_run_at"] == ts("2024-01-01 00:15:00") and row["last_error"]
+
+
+def nested(depth, inner):
+    text = inner
+    for k in range(depth):
+        text = f'{{"o{k}": {text}}}' if k % 3 else f'[{text}]'
+    return text
+
+
+def test_policy_sees_every_depth(spark):
+    df = spark.createDataFrame([(d, nested(d, '{"csv": 1}')) for d in range(31)], "id int, payload string")
+    got = {r["id"]: r for r in jobs.policy_audit(df, "id").collect()}
+    assert [d for d in range(31) if got[d]["ok"]] == []
+    assert all(len(got[d]["blocked_paths"]) == 1 and got[d]["blocked_paths"][0].endswith("csv") for d in range(31))
+
+
+def test_field_diff_sees_every_depth(spark):
+    def snap(v):
+        text = v
+        for k in range(30):
+            text = f'{{"k{k}": {text}}}'
+        return text
+
+    now, old = (spark.createDataFrame([(1, "m", snap(v))], "account_id int, monitor_key string, snapshot string") for v in ('[1.50, {"a": 2}]', '"x"'))
+    (row,) = monitor.field_diff(now, old, monitor.KEYS).collect()
+    assert row["field"].count(".") == 29 and row["previous"] == "x" and row["current"] == '[1.5,{"a":2}]'

@@ -59,29 +59,51 @@ def queue_breaches(stats: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(limits), "measure").filter(c("value") > c("bound"))
 
 
+def stored(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """A stored column, or nulls where the table lacks it."""
+    return c(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def changed(df: DataFrame, table: DataFrame, hit: Column, values: dict[str, Column]) -> DataFrame:
+    """The columns of ``table``, with ``values`` where ``hit``; all else, and every other row, stays as stored.
+
+    Columns the table lacks are added, but for locks and ``updated_at``, which only a table that has them keeps.
+    """
+    kinds = {"next_run_at": "timestamp", "completed_at": "timestamp", "last_run_at": "timestamp"}
+    optional = ("locked_at", "locked_by", "updated_at")
+    values = {n: v for n, v in values.items() if n in table.columns or n not in optional}
+    new = {n: F.when(hit, v).otherwise(stored(table, n, kinds.get(n, "string"))).alias(n) for n, v in values.items()}
+    return df.select(*[new.pop(n) if n in new else c(n) for n in table.columns], *new.values(), *[n for n in df.columns if n not in table.columns and n in ("recovered", "canceled")])
+
+
+def _letters(df: DataFrame, table: DataFrame, code: Column, message: Column, now: Column) -> DataFrame:
+    snapshot = [c("payload").alias("payload_snapshot")] if "payload" in table.columns else []
+    return df.select(c("id").alias("job_id"), "account_id", code.alias("reason_code"), message.alias("reason_message"), now.alias("created_at"), *snapshot)
+
+
 def apply_outcomes(jobs: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(jobs, dead letters) after outcomes (id, ok, retryable, error_code, error_message, jitter).
 
     Terminal when not retryable or attempts are used up; otherwise retrying after the back-off.
-    Several outcomes of one job: the last by ``at`` counts.
+    Several outcomes of one job: the last by ``at`` counts. Jobs without an outcome stay as they are.
     """
-    last = outcomes.groupBy("id").agg(F.max_by(F.struct("ok", "retryable", "error_code", "error_message", "jitter"), "at").alias("o")).select("id", "o.*")
+    last = outcomes.groupBy("id").agg(F.max_by(F.struct("ok", "retryable", "error_code", "error_message", "jitter"), "at").alias("__o"))
     j = jobs.join(last, "id", "left")
-    failed = ~c("ok")
-    terminal = failed & (~c("retryable") | (c("attempts") >= c("max_attempts")))
-    wait = times.job_backoff_seconds(c("attempts"), F.coalesce("jitter", F.lit(0.0)))
-    none = F.lit(None).cast("string")
-    out = j.select(
-        *[n for n in jobs.columns if n not in ("status", "next_run_at", "completed_at", "last_error_code", "last_error", "updated_at")],
-        F.when(c("ok").isNull(), c("status")).when(c("ok"), "succeeded").when(terminal, "dead_letter").otherwise("retrying").alias("status"),
-        F.when(c("ok").isNull() | c("ok") | terminal, c("next_run_at")).otherwise(now + F.make_interval(secs=wait)).alias("next_run_at"),
-        F.when(c("ok") | terminal, now).alias("completed_at"),
-        F.when(failed, F.coalesce("error_code", F.when(terminal, "JOB_FAILED").otherwise("RETRYABLE_FAILURE"))).otherwise(none).alias("last_error_code"),
-        F.when(failed, F.coalesce("error_message", F.when(terminal, "Unknown job failure").otherwise("Retryable job failure"))).otherwise(none).alias("last_error"),
-    )
-    letters = j.filter(F.coalesce(terminal, F.lit(False))).select(
-        c("id").alias("job_id"), "account_id", F.coalesce("error_code", F.lit("JOB_FAILED")).alias("reason_code"),
-        F.coalesce("error_message", F.lit("Job moved to dead letter queue")).alias("reason_message"), now.alias("created_at"),
+    ok, hit = c("__o.ok"), c("__o.ok").isNotNull()
+    terminal = ~ok & (~c("__o.retryable") | (c("attempts") >= c("max_attempts")))
+    wait = times.job_backoff_seconds(c("attempts"), F.coalesce("__o.jitter", F.lit(0.0)))
+    code = F.coalesce("__o.error_code", F.when(terminal, "JOB_FAILED").otherwise("RETRYABLE_FAILURE"))
+    message = F.coalesce("__o.error_message", F.when(terminal, "Unknown job failure").otherwise("Retryable job failure"))
+    out = changed(j, jobs, hit, {
+        "status": F.when(ok, "succeeded").when(terminal, "dead_letter").otherwise("retrying"),
+        "next_run_at": F.when(ok | terminal, c("next_run_at")).otherwise(now + F.make_interval(secs=wait)),
+        "completed_at": F.when(ok | terminal, now),
+        "last_error_code": F.when(~ok, code), "last_error": F.when(~ok, message),
+        "locked_at": F.lit(None), "locked_by": F.lit(None), "updated_at": now,
+    })
+    letters = _letters(
+        j.filter(F.coalesce(terminal, F.lit(False))), jobs, F.coalesce("__o.error_code", F.lit("JOB_FAILED")),
+        F.coalesce("__o.error_message", F.lit("Job moved to dead letter queue")), now,
     )
     return out, letters
 
@@ -93,29 +115,27 @@ def upsert_dead_letters(stored: DataFrame, letters: DataFrame) -> DataFrame:
     return kept.select(*cols).unionByName(letters.select(*cols))
 
 
-def recover_locks(jobs: DataFrame, now: Column, timeout_s: int = 300) -> DataFrame:
-    """Expired running locks: dead letter when attempts are used up, else retry at once."""
+def recover_locks(jobs: DataFrame, now: Column, timeout_s: int = 300) -> tuple[DataFrame, DataFrame]:
+    """(jobs, dead letters): expired running locks become dead letters when attempts are used up, else retry at once."""
     timeout_s = max(60, int(timeout_s))
     expired = (c("status") == "running") & c("locked_at").isNotNull() & (c("locked_at") < now - F.make_interval(secs=F.lit(timeout_s)))
-    expired = F.coalesce(expired, F.lit(False))
+    j = jobs.withColumn("recovered", F.coalesce(expired, F.lit(False)))
     used_up = c("attempts") >= c("max_attempts")
-    return jobs.select(
-        *[n for n in jobs.columns if n not in ("status", "next_run_at", "locked_at")],
-        F.when(expired & used_up, "dead_letter").when(expired, "retrying").otherwise(c("status")).alias("status"),
-        F.when(expired & ~used_up, now).otherwise(c("next_run_at")).alias("next_run_at"),
-        F.when(expired, F.lit(None).cast("timestamp")).otherwise(c("locked_at")).alias("locked_at"),
-        F.when(expired, "LOCK_TIMEOUT").alias("last_error_code"),
-        expired.alias("recovered"),
-    )
+    lost = "Job lock expired and attempts exhausted"
+    out = changed(j, jobs, c("recovered"), {
+        "status": F.when(used_up, "dead_letter").otherwise("retrying"), "next_run_at": F.when(used_up, c("next_run_at")).otherwise(now),
+        "completed_at": F.when(used_up, now).otherwise(stored(jobs, "completed_at", "timestamp")), "locked_at": F.lit(None), "locked_by": F.lit(None),
+        "last_error_code": F.lit("LOCK_TIMEOUT"), "last_error": F.when(used_up, lost).otherwise("Recovered from expired lock"), "updated_at": now,
+    })
+    return out, _letters(j.filter(c("recovered") & used_up), jobs, F.lit("LOCK_TIMEOUT"), F.lit(lost), now)
 
 
 def cancel(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Cancel queued, retrying or running jobs of the given (account_id, id) pairs."""
     hit = ids.select("account_id", "id").distinct().withColumn("__hit", F.lit(True))
     j = jobs.join(hit, ["account_id", "id"], "left")
-    go = F.coalesce(c("__hit"), F.lit(False)) & c("status").isin("queued", "retrying", "running")
-    rest = [n for n in jobs.columns if n != "status"]
-    return j.select(*rest, F.when(go, "canceled").otherwise(c("status")).alias("status"), go.alias("canceled"), F.when(go, now).alias("completed_at"))
+    j = j.withColumn("canceled", F.coalesce(c("__hit") & c("status").isin("queued", "retrying", "running"), F.lit(False)))
+    return changed(j, jobs, c("canceled"), {"status": F.lit("canceled"), "completed_at": now, "locked_at": F.lit(None), "locked_by": F.lit(None), "updated_at": now})
 
 
 # -- schedules ------------------------------------------------------------------------------------
@@ -268,14 +288,35 @@ def trigger_due(schedules: DataFrame, now: Column, now_text: str, worker: str, b
     )
     moves = d.select("id", F.lit(True).alias("__swept"), F.coalesce("__next", now + F.expr("INTERVAL 5 MINUTES")).alias("__n"), c("__next").isNull().alias("__bad"))
     s = schedules.join(moves, "id", "left")
-    swept, ok = c("__swept").isNotNull(), c("__swept").isNotNull() & ~c("__bad")
-    updated = s.select(
-        *[n for n in schedules.columns if n != "next_run_at"], F.when(swept, c("__n")).otherwise(c("next_run_at")).alias("next_run_at"),
-        F.when(ok, now).alias("last_run_at"), F.when(c("__bad"), "Unable to calculate next cron run").alias("last_error"),
-    )
+    # a schedule that has no next run keeps its last run and says why
+    updated = changed(s, schedules, c("__swept").isNotNull(), {
+        "next_run_at": c("__n"), "last_run_at": F.when(c("__bad"), stored(schedules, "last_run_at", "timestamp")).otherwise(now),
+        "last_error": F.when(c("__bad"), "Unable to calculate next cron run"), "updated_at": now,
+    })
     return jobs, updated
 
 
+def first_run(definitions: DataFrame, now: Column) -> DataFrame:
+    """Adds next_run_at to new or changed schedule definitions (id, is_active, schedule_kind, interval_minutes, cron_expr,
+    timezone): the next run of an active one, 365 days ahead for an inactive one.
+    """
+    d = definitions.drop("next_run_at").withColumn("__now", now)
+    cron = next_cron_runs(d.filter(c("is_active") & (c("schedule_kind") == "cron")).select("id", "cron_expr", "timezone", "__now"), "__now").withColumnRenamed("next_run_at", "__cron_next")
+    nxt = F.when(c("schedule_kind") == "interval", times.add_minutes(now, times.valid_interval(c("interval_minutes")))).otherwise(c("__cron_next"))
+    d = d.join(cron, "id", "left")
+    return d.withColumn("next_run_at", F.when(c("is_active"), nxt).otherwise(now + F.expr("INTERVAL 365 DAYS"))).drop("__now", "__cron_next")
+
+
+def save_schedules(stored_rows: DataFrame, definitions: DataFrame, now: Column) -> DataFrame:
+    """Schedules after definitions: ids the table lacks are created, others updated; columns a definition does not name stay."""
+    fresh = first_run(definitions, now).withColumn("__d", F.struct("*")).select("id", "__d")
+    given = fresh.schema["__d"].dataType.names
+    j = stored_rows.join(fresh, "id", "full_outer")
+    new = lambda n: F.when(c("__d").isNotNull(), c(f"__d.{n}")).otherwise(c(n)) if n in given else c(n)
+    stamp = {"created_at": F.coalesce(c("created_at"), now), "updated_at": F.when(c("__d").isNotNull(), now).otherwise(c("updated_at"))} if {"created_at", "updated_at"} <= set(stored_rows.columns) else {}
+    return j.select(*[stamp[n].alias(n) if n in stamp else c("id") if n == "id" else new(n).alias(n) for n in stored_rows.columns])
+
+
 def toggle(schedules: DataFrame, switches: DataFrame, now: Column) -> DataFrame:
     """Set is_active per (account_id, id); activation recomputes the next run, pausing keeps it."""
     sw = switches.groupBy("account_id", "id").agg(F.max_by("active", "at").alias("__on"))

@@ -182,15 +182,33 @@ _EXP = "15 * pow(2, greatest(0, attempts - 1))"
 _OUT = f"""WITH o AS (SELECT *, status = 'running' AS hit, id % 2 = 0 AS ok, account_id % 3 <> 0 AS retryable, CASE WHEN id % 5 = 0 THEN 'HTTP_500' END AS code FROM v_jobs), d AS (SELECT *, hit AND NOT ok AND (NOT retryable OR attempts >= max_attempts) AS terminal FROM o)"""
 
 
+# jobs as stored, with the columns that outcomes, locks and cancellation touch
+_FULL = "(SELECT *, CASE WHEN id % 4 = 0 THEN created_at END AS completed_at, CASE WHEN id % 6 = 0 THEN 'OLD' END AS last_error_code, CASE WHEN id % 6 = 0 THEN 'old error' END AS last_error, CASE WHEN status = 'running' THEN created_at END AS locked_at, CASE WHEN status = 'running' THEN 'w1' END AS locked_by, created_at AS updated_at FROM v_jobs)"
+
+
+def _full_jobs(t):
+    running = c("status") == "running"
+    return t.v_jobs.select(
+        "*", F.when(c("id") % 4 == 0, c("created_at")).alias("completed_at"), F.when(c("id") % 6 == 0, "OLD").alias("last_error_code"), F.when(c("id") % 6 == 0, "old error").alias("last_error"),
+        F.when(running, c("created_at")).alias("locked_at"), F.when(running, "w1").alias("locked_by"), c("created_at").alias("updated_at"),
+    )
+
+
+_JOB_COLUMNS = ("id", "status", "next_run_at", "completed_at", "last_error_code", "last_error", "locked_at", "locked_by", "updated_at")
+
+
 @query(
     "q02_apply_outcomes",
-    f"""{_OUT} SELECT id, CASE WHEN NOT hit THEN status WHEN ok THEN 'succeeded' WHEN terminal THEN 'dead_letter' ELSE 'retrying' END AS status,
+    f"""{_OUT.replace("FROM v_jobs)", f"FROM {_FULL})", 1)} SELECT id, CASE WHEN NOT hit THEN status WHEN ok THEN 'succeeded' WHEN terminal THEN 'dead_letter' ELSE 'retrying' END AS status,
       CASE WHEN NOT hit OR ok OR terminal THEN next_run_at ELSE {_TS} + to_seconds(least(900, greatest(15, CAST(floor({_EXP} + floor(0.5 * greatest(1, floor({_EXP} * 0.2)))) AS BIGINT)))) END AS next_run_at,
-      CASE WHEN hit AND NOT ok THEN coalesce(code, CASE WHEN terminal THEN 'JOB_FAILED' ELSE 'RETRYABLE_FAILURE' END) END AS last_error_code FROM d""",
+      CASE WHEN NOT hit THEN completed_at WHEN ok OR terminal THEN {_TS} END AS completed_at,
+      CASE WHEN NOT hit THEN last_error_code WHEN NOT ok THEN coalesce(code, CASE WHEN terminal THEN 'JOB_FAILED' ELSE 'RETRYABLE_FAILURE' END) END AS last_error_code,
+      CASE WHEN NOT hit THEN last_error WHEN ok THEN NULL WHEN terminal THEN 'Unknown job failure' ELSE 'Retryable job failure' END AS last_error,
+      CASE WHEN NOT hit THEN locked_at END AS locked_at, CASE WHEN NOT hit THEN locked_by END AS locked_by, CASE WHEN hit THEN {_TS} ELSE updated_at END AS updated_at FROM d""",
 )
 def _(t):
-    j, _letters = jobs.apply_outcomes(t.v_jobs, _outcomes(t), at())
-    return j.select("id", "status", "next_run_at", "last_error_code")
+    j, _letters = jobs.apply_outcomes(_full_jobs(t), _outcomes(t), at())
+    return j.select(*_JOB_COLUMNS)
 
 
 @query("q02_dead_letters", f"{_OUT} SELECT id AS job_id, account_id, coalesce(code, 'JOB_FAILED') AS reason_code, 'Job moved to dead letter queue' AS reason_message, {_TS} AS created_at FROM d WHERE terminal")
@@ -198,20 +216,34 @@ def _(t):
     return jobs.apply_outcomes(t.v_jobs, _outcomes(t), at())[1]
 
 
+_LOCK = f"""WITH l AS (SELECT *, status = 'running' AND locked_at < {_TS} - INTERVAL 300 SECONDS AS expired FROM {_FULL}), k AS (SELECT *, coalesce(expired, false) AS hit, coalesce(expired, false) AND attempts >= max_attempts AS dead FROM l)"""
+
+
 @query(
     "q03_expired_locks",
-    f"""WITH l AS (SELECT *, status = 'running' AND created_at < {_TS} - INTERVAL 300 SECONDS AS expired FROM v_jobs)
-      SELECT id, CASE WHEN expired AND attempts >= max_attempts THEN 'dead_letter' WHEN expired THEN 'retrying' ELSE status END AS status, CASE WHEN expired AND attempts < max_attempts THEN {_TS} ELSE next_run_at END AS next_run_at,
-      CASE WHEN NOT expired THEN created_at END AS locked_at, CASE WHEN expired THEN 'LOCK_TIMEOUT' END AS last_error_code, expired AS recovered FROM l""",
+    f"""{_LOCK} SELECT id, CASE WHEN dead THEN 'dead_letter' WHEN hit THEN 'retrying' ELSE status END AS status, CASE WHEN hit AND NOT dead THEN {_TS} ELSE next_run_at END AS next_run_at,
+      CASE WHEN dead THEN {_TS} ELSE completed_at END AS completed_at, CASE WHEN hit THEN 'LOCK_TIMEOUT' ELSE last_error_code END AS last_error_code,
+      CASE WHEN dead THEN 'Job lock expired and attempts exhausted' WHEN hit THEN 'Recovered from expired lock' ELSE last_error END AS last_error,
+      CASE WHEN NOT hit THEN locked_at END AS locked_at, CASE WHEN NOT hit THEN locked_by END AS locked_by, CASE WHEN hit THEN {_TS} ELSE updated_at END AS updated_at, hit AS recovered FROM k""",
 )
 def _(t):
-    return jobs.recover_locks(t.v_jobs.withColumn("locked_at", c("created_at")), at()).select("id", "status", "next_run_at", "locked_at", "last_error_code", "recovered")
+    return jobs.recover_locks(_full_jobs(t), at())[0].select(*_JOB_COLUMNS, "recovered")
 
 
-@query("q04_cancel_jobs", f"SELECT id, CASE WHEN account_id % 2 = 0 AND status IN ('queued', 'retrying', 'running') THEN 'canceled' ELSE status END AS status, account_id % 2 = 0 AND status IN ('queued', 'retrying', 'running') AS canceled FROM v_jobs")
+@query("q03_dead_letters", f"{_LOCK} SELECT id AS job_id, account_id, 'LOCK_TIMEOUT' AS reason_code, 'Job lock expired and attempts exhausted' AS reason_message, {_TS} AS created_at FROM k WHERE dead")
+def _(t):
+    return jobs.recover_locks(_full_jobs(t), at())[1]
+
+
+@query(
+    "q04_cancel_jobs",
+    f"""WITH k AS (SELECT *, account_id % 2 = 0 AND status IN ('queued', 'retrying', 'running') AS hit FROM {_FULL})
+      SELECT id, CASE WHEN hit THEN 'canceled' ELSE status END AS status, next_run_at, CASE WHEN hit THEN {_TS} ELSE completed_at END AS completed_at, last_error_code, last_error,
+      CASE WHEN NOT hit THEN locked_at END AS locked_at, CASE WHEN NOT hit THEN locked_by END AS locked_by, CASE WHEN hit THEN {_TS} ELSE updated_at END AS updated_at, hit AS canceled FROM k""",
+)
 def _(t):
     ids = t.v_jobs.filter("account_id % 2 = 0").select("account_id", "id")
-    return jobs.cancel(t.v_jobs, ids, at()).select("id", "status", "canceled")
+    return jobs.cancel(_full_jobs(t), ids, at()).select(*_JOB_COLUMNS, "canceled")
 
 
 # -- schedules --------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagegrid.functions import times
 from pagegrid.functions.text import to_text, trim_ws
 from pagegrid.functions.urls import is_http, let, target_signature
+from pagegrid.operators.rows import first_rows
 
 c = F.col
 OPEN = ["queued", "retrying"]
@@ -23,12 +24,13 @@ def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def due_first(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy("next_run_at", "created_at", "id").limit(max(1, min(50, limit)))
+    return df.orderBy("next_run_at", "created_at", "id").limit(max(1, limit))
 
 
-def dead_letter_list(letters: DataFrame, jobs: DataFrame, limit: int = 100) -> DataFrame:
+def dead_letter_list(letters: DataFrame, jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dead letters with their jobs: all, or the newest ``limit``."""
     j = jobs.select(c("id").alias("job_id"), "job_type", "attempts", "max_attempts")
-    return letters.join(j, "job_id").orderBy(c("created_at").desc(), c("job_id").desc()).limit(max(1, min(100, limit)))
+    return first_rows(letters.join(j, "job_id"), [c("created_at").desc(), c("job_id").desc()], limit)
 
 
 def queue_stats(jobs: DataFrame, dead_letters: DataFrame, now: Column) -> DataFrame:
@@ -186,7 +188,7 @@ def pause_plan(members: DataFrame, apply: bool = False, batch_size: int = 20, ma
     from pagegrid.plans.lineage import stage
     from pagegrid.plans.ordered import running
 
-    size = max(1, min(100, int(batch_size)))
+    size = max(1, int(batch_size))
     plan = stage(members.filter(~c("keeps")).select("signature", "created_at", "id", "is_active"), "plan")  # read several times below
     numbered = running(plan, [], ["signature", "created_at", "id"], number="place", cheap=True)
     label = F.when(~c("is_active"), "already_inactive").when(F.lit(not apply), "dry_run").otherwise("to_pause")

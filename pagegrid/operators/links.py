@@ -11,8 +11,8 @@ c = F.col
 _HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""
 
 
-def page_links(pages: DataFrame, same_host: bool = True, cap: int | None = 20) -> DataFrame:
-    """(url, link, pos): first distinct links of each page in document order, up to ``cap`` per page.
+def page_links(pages: DataFrame, same_host: bool = True, cap: int | None = None) -> DataFrame:
+    """(url, link, pos): first distinct links of each page in document order, up to ``cap`` per page if given.
 
     All per-page work happens inside the row as array expressions; there is no shuffle.
     """
@@ -23,7 +23,7 @@ def page_links(pages: DataFrame, same_host: bool = True, cap: int | None = 20) -
         if same_host:
             found = F.filter(found, lambda u: let(parts(u), lambda p: (p["host"] == base["host"]) & (p["port"] == base["port"])))
         found = F.array_distinct(found)
-        return F.slice(found, 1, max(1, min(60, cap))) if cap else found
+        return F.slice(found, 1, max(1, cap)) if cap else found
 
     based = pages.withColumn("__base", parts(c("url"))).filter(c("__base").isNotNull())
     return based.select(serialise(c("__base")).alias("url"), F.posexplode(links(c("__base"))).alias("i", "link")).select(
@@ -34,10 +34,10 @@ def page_links(pages: DataFrame, same_host: bool = True, cap: int | None = 20) -
 def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """Breadth-first reach (seed, url, depth) over stored edges, each url once per seed at its least depth.
 
-    ``depth`` is 1..3. Each hop is an equi join on the page url followed by an anti join with what was
+    Each hop is an equi join on the page url followed by an anti join with what was
     reached before; hops are written to the shared folder so a lost executor costs one hop at most.
     """
-    depth = max(1, min(3, int(depth)))
+    depth = max(1, int(depth))
     frontier = cut(seeds.select(c("url").alias("seed"), c("url")).distinct())
     reached = frontier.select("seed", "url", F.lit(0).alias("depth"))
     links = stage(edges.select("url", "link").distinct(), "edges")  # every hop joins it: extract links once
@@ -48,7 +48,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     return reached
 
 
-def deep_scan(pages: DataFrame, depth: int = 1, cap: int = 20, **options) -> DataFrame:
+def deep_scan(pages: DataFrame, depth: int = 1, cap: int | None = None, **options) -> DataFrame:
     """E-mails of each page joined by those of pages reachable within ``depth`` links of it.
 
     Pages outside the corpus are skipped like failed fetches and links are followed only from pages
@@ -81,7 +81,7 @@ def row_urls(df: DataFrame, data: Column, source_url: Column | None = None, posi
     return urls.groupBy("url").agg(F.min("first_seen").alias("first_seen"))
 
 
-def enrich(urls: DataFrame, metadata: DataFrame, limit: int | None = 500) -> DataFrame:
+def enrich(urls: DataFrame, metadata: DataFrame, limit: int | None = None) -> DataFrame:
     """Join discovered urls to page metadata; the reference cap is a parameter."""
     picked = urls.orderBy("first_seen", "url").limit(limit) if limit else urls
     return picked.join(metadata, "url", "left")

@@ -314,13 +314,14 @@ def extract_fields(pages: DataFrame, fields: list[dict], nodes: DataFrame | None
     return out
 
 
-def selected_links(pages: DataFrame, selector: str, cap: int = 20, nodes: DataFrame | None = None) -> DataFrame:
-    """(url, link, pos): links of the elements a user selector names, first ``cap`` distinct per page."""
+def selected_links(pages: DataFrame, selector: str, cap: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(url, link, pos): links of the elements a user selector names, distinct per page, the first ``cap`` if given."""
     nodes = stage(node_table(pages), "nodes") if nodes is None else nodes
     hits = select(nodes, selector).select("page_id", "node_id", c("attrs")["href"].alias("href")).filter("href IS NOT NULL")
     links = hits.join(pages.select("page_id", "url"), "page_id").select("url", "node_id", absolute(c("href"), c("url")).alias("link")).filter("link <> ''")
     first = links.groupBy("url", "link").agg(F.min("node_id").alias("at"))
-    ordered = first.groupBy("url").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "link"))), 1, max(1, min(60, cap))).alias("l"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "link")))
+    ordered = first.groupBy("url").agg((F.slice(listed, 1, max(1, cap)) if cap else listed).alias("l"))
     return ordered.select("url", F.posexplode("l").alias("i", "x")).select("url", c("x.link").alias("link"), (c("i") + 1).cast("long").alias("pos"))
 
 

@@ -58,7 +58,7 @@ def entity_key(url: Column, name: Column, address: Column, phone: Column) -> Col
     return F.when(raw != "", by_url).otherwise(by_name)
 
 
-def place_urls(urls: DataFrame, url: str, position: str, limit: int | None = 2000) -> DataFrame:
+def place_urls(urls: DataFrame, url: str, position: str, limit: int | None = None) -> DataFrame:
     """Distinct place page URLs in input order."""
     kept = urls.select(trim_ws(c(url)).alias("url"), c(position).alias("pos")).filter(c("url").rlike(r"(?i)google\.[^/]+/maps/place/"))
     first = kept.groupBy("url").agg(F.min("pos").alias("pos"))

@@ -41,15 +41,20 @@ def column_contains(column: Column | None, needle: str) -> Column:
     return F.lower(to_text(column)).contains(q)
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; all rows, unsorted, where there is no limit."""
+    return df.orderBy(*order).limit(max(1, int(limit))) if limit else df
+
+
 def scan_table(df: DataFrame, table_id: str, limit: int | None = 100) -> DataFrame:
     """Rows of one table, newest first; ties by arrival order. The id filter prunes partitions."""
     out = df.filter(F.col("table_id") == table_id)
     return out.orderBy(F.col("created_at").desc(), F.col("row_seq").asc()).limit(limit) if limit else out
 
 
-def table_history(tables: DataFrame, runs: DataFrame, limit: int = 100, brief: bool = False) -> DataFrame:
+def table_history(tables: DataFrame, runs: DataFrame, limit: int | None = None, brief: bool = False) -> DataFrame:
     """Tables newest first, runner and status falling back to the run when the table has none."""
-    top = tables.orderBy(F.col("created_at").desc(), F.col("table_id").asc()).limit(max(1, min(500, limit)))
+    top = first_rows(tables, [F.col("created_at").desc(), F.col("table_id").asc()], limit)
     runs = runs.select("automation_id", F.col("runner_type").alias("run_type"), F.col("status").alias("run_status"))
     joined = top.join(runs, "automation_id", "left")
     cols = ["table_id", "automation_id", F.coalesce("runner_type", "run_type").alias("runner_type"), F.coalesce("status", "run_status").alias("status"), "created_at"]
@@ -129,9 +134,9 @@ def merge_columns(df: DataFrame, sources: Sequence[str], target: str, separator:
     return out.drop(*[n for n in names if n != target]) if drop_sources else out
 
 
-def filtered_read(df: DataFrame, columns: Sequence[str], order: Sequence[Column], limit: int = 300, needle: str = "", column: str = "", value: str = "") -> DataFrame:
+def filtered_read(df: DataFrame, columns: Sequence[str], order: Sequence[Column], limit: int | None = None, needle: str = "", column: str = "", value: str = "") -> DataFrame:
     """Limit first, then filter: the order of the two steps is part of the meaning."""
-    limited = df.orderBy(*order).limit(max(1, min(5000, limit)))
+    limited = first_rows(df, order, limit)
     return limited.filter(search(columns, needle) & column_contains(F.col(column) if column else None, value))
 
 

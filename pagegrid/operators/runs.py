@@ -100,22 +100,23 @@ def check_transitions(df: DataFrame) -> DataFrame:
     return out.join(F.broadcast(allowed), ["previous", "state"], "left").select("event_id", "automation_id", "previous", "state", F.coalesce("legal", F.lit(False)).alias("legal"))
 
 
-def recent_errors(df: DataFrame, order: list[Column], keep: int = 500) -> DataFrame:
-    return df.orderBy(*order).limit(max(1, min(500, keep)))
+def recent_errors(df: DataFrame, order: list[Column], keep: int | None = None) -> DataFrame:
+    """Errors: all, or the first ``keep`` in the given order."""
+    return df.orderBy(*order).limit(max(1, keep)) if keep else df
 
 
 # Strategies a host hint may carry.
 HINT_STRATEGIES = ["list_autodetect_autopilot", "point_follow_guided"]
 
 
-def latest_hints(df: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
+def latest_hints(df: DataFrame, now: Column, ttl_days: int = 30, reason_chars: int | None = None) -> DataFrame:
     """Newest unexpired valid hint per host, with whether it changed from the one before it.
 
     Input: (host, strategy, reason, updated_at). The two newest hints per host come from a rank
     limit applied in every map task.
     """
     ttl = F.make_dt_interval(F.lit(ttl_days))
-    bounded = df.withColumn("updated_at", F.least("updated_at", now + ttl)).withColumn("reason", F.left(F.trim("reason"), F.lit(180)))
+    bounded = df.withColumn("updated_at", F.least("updated_at", now + ttl)).withColumn("reason", F.left(F.trim("reason"), F.lit(reason_chars)) if reason_chars else F.trim("reason"))
     valid = bounded.filter((c("host") != "") & c("strategy").isin(HINT_STRATEGIES) & (c("updated_at") >= now - ttl))
     two = tail_per_key(valid, ["host"], [c("updated_at").desc(), c("strategy"), c("reason")], 2)
     ordered = F.struct("updated_at", "strategy", "reason")

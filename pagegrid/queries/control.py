@@ -24,7 +24,7 @@ def at():
 # -- accounts ---------------------------------------------------------------------------------
 
 
-@query("j01_dead_letters", "SELECT d.id AS job_id, d.account_id, 'E' || d.attempts AS reason_code, d.created_at, j.job_type, j.attempts, j.max_attempts FROM v_jobs d JOIN v_jobs j ON j.id = d.id WHERE d.status = 'dead_letter' ORDER BY d.created_at DESC, d.id DESC LIMIT 100")
+@query("j01_dead_letters", "SELECT d.id AS job_id, d.account_id, 'E' || d.attempts AS reason_code, d.created_at, j.job_type, j.attempts, j.max_attempts FROM v_jobs d JOIN v_jobs j ON j.id = d.id WHERE d.status = 'dead_letter'")
 def _(t):
     letters = t.v_jobs.filter("status = 'dead_letter'").select(c("id").alias("job_id"), "account_id", F.concat(F.lit("E"), "attempts").alias("reason_code"), "created_at")
     return jobs.dead_letter_list(letters, t.v_jobs)

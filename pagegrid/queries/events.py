@@ -95,7 +95,7 @@ def _(t):
     return runs.event_summary(t.v_lifecycle.selectExpr("event_type", f"{_TOOL} AS tool"))
 
 
-_ERR = "SELECT event_id, ts, path FROM v_requests WHERE status_code >= 400 ORDER BY ts DESC, event_id DESC LIMIT 500"
+_ERR = "SELECT event_id, ts, path FROM v_requests WHERE status_code >= 400"
 
 
 @query("a18_error_summary", f"SELECT path AS event, count(*) AS n FROM ({_ERR}) GROUP BY 1")

@@ -60,9 +60,9 @@ def _(t):
     return _row_urls(t)
 
 
-@query("j13_enrichment", f"WITH u AS (SELECT * FROM ({_ROW_URLS}) ORDER BY first_seen, url LIMIT 500), m AS (SELECT {s.url_full('url')} AS url, {s.tag_text('html', 'title')} AS title FROM pages) SELECT u.url, first_seen, title FROM u LEFT JOIN m ON m.url = u.url")
+@query("j13_enrichment", f"WITH u AS (SELECT * FROM ({_ROW_URLS})), m AS (SELECT {s.url_full('url')} AS url, {s.tag_text('html', 'title')} AS title FROM pages) SELECT u.url, first_seen, title FROM u LEFT JOIN m ON m.url = u.url")
 def _(t):
     from pagegrid.functions.urls import parts, let, serialise
 
     meta = t.pages.select(let(parts(c("url")), lambda p: serialise(p)).alias("url"), tag_text(c("html"), "title").alias("title"))
-    return links.enrich(_row_urls(t), meta, 500)
+    return links.enrich(_row_urls(t), meta)

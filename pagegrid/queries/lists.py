@@ -43,7 +43,7 @@ def _(t):
 
 @query("x06_link_selector", f"{_LI}, k AS (SELECT url, {s.absolute('href', 'url')} AS link, row_number() OVER () AS rn FROM e) SELECT DISTINCT url, link FROM k")
 def _(t):
-    return nt.selected_links(t.pages, "nav a[href]", 60).select("url", "link")
+    return nt.selected_links(t.pages, "nav a[href]").select("url", "link")
 
 
 @query("x03_selectors", "SELECT page_id, 'body > nav > ul > li:nth-of-type(2) > a' AS selector, 'body > nav > ul > li > a' AS general FROM pages WHERE html LIKE '%</li><li>%'")

@@ -124,7 +124,7 @@ def _(t):
     return t.part.select("p_partkey", places.entity_key(url, F.upper("p_name"), address, F.lit(None)).alias("entity_key"))
 
 
-@query("p21_place_selection", f"SELECT url, min(p_partkey) AS pos FROM (SELECT {_PLACE} AS url, p_partkey FROM part) GROUP BY url ORDER BY pos LIMIT 2000")
+@query("p21_place_selection", f"SELECT url, min(p_partkey) AS pos FROM (SELECT {_PLACE} AS url, p_partkey FROM part) GROUP BY url")
 def _(t):
     u = t.part.select(_place_url().alias("url"), "p_partkey").unionByName(t.part.select(F.concat(F.lit("https://example.com/"), "p_name").alias("url"), "p_partkey"))
     return places.place_urls(u, "url", "p_partkey")

@@ -46,7 +46,7 @@ def _(t):
 
 
 _HIST = """WITH tb AS (SELECT o_orderkey AS table_id, o_custkey AS automation_id, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS runner_type,
-    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderdate AS created_at, CAST(o_totalprice AS BIGINT) AS row_count, o_orderdate AS updated_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500),
+    CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderdate AS created_at, CAST(o_totalprice AS BIGINT) AS row_count, o_orderdate AS updated_at FROM orders),
   a AS (SELECT c_custkey AS automation_id, c_mktsegment AS run_type, 'completed' AS run_status FROM customer WHERE c_acctbal > 0)
   SELECT table_id, tb.automation_id, coalesce(runner_type, run_type) AS runner_type, coalesce(status, run_status) AS status, created_at, row_count{extra} FROM tb LEFT JOIN a ON a.automation_id = tb.automation_id"""
 
@@ -59,7 +59,7 @@ def _history(t, brief):
         F.rint("o_totalprice").cast("long").alias("row_count"), c("o_orderdate").alias("updated_at"),
     )
     runs = t.customer.filter("c_acctbal > 0").select(c("c_custkey").alias("automation_id"), c("c_mktsegment").alias("runner_type"), F.lit("completed").alias("status"))
-    return rows.table_history(tb, runs, 500, brief)
+    return rows.table_history(tb, runs, brief=brief)
 
 
 @query("s06_table_history", _HIST.format(extra=", updated_at"))

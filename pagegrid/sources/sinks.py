@@ -51,12 +51,12 @@ def write_json(df: DataFrame, path: str, data: str | None = None, columns: Seque
     write_lines(df, body, path)
 
 
-def export_table(df: DataFrame, columns: Sequence[str], path: str, fmt: str = "csv", order: Sequence[Column] = (), limit: int = 5000, needle: str = "", column: str = "", value: str = "") -> DataFrame:
-    """Limit (1..20000), then filter, then render; an unknown format falls back to CSV. Returns the rows written."""
+def export_table(df: DataFrame, columns: Sequence[str], path: str, fmt: str = "csv", order: Sequence[Column] = (), limit: int | None = None, needle: str = "", column: str = "", value: str = "") -> DataFrame:
+    """Limit (if given), then filter, then render; an unknown format falls back to CSV. Returns the rows written."""
     from pagegrid.operators.rows import column_contains, search
 
     limited = df.orderBy(*order) if order else df
-    limited = limited.limit(max(1, min(20000, int(limit))))
+    limited = limited.limit(max(1, int(limit))) if limit else limited
     rows = limited.filter(search(list(columns), needle) & column_contains(F.col(column) if column else None, value))
     kind = (fmt or "csv").strip().lower()
     if kind == "json":

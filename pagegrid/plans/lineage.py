@@ -1,17 +1,19 @@
 """Shared scratch folder and lineage cuts.
 
-Executors may be lost at any time, so intermediate state lives in reliable storage:
-the folder named by ``spark.checkpoint.dir``. Only where that is unset (tests, local
-trials) is a local folder created.
+Executors may be lost at any time, so intermediate state lives in reliable storage: the folder named by
+``spark.checkpoint.dir``. A local session (tests, trials) that names none gets a folder of its own; on a cluster a missing
+setting is an error, since executors would not see each other's files.
 """
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, str] = {}
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,15 +23,41 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="pagegrid-")
-    return _LOCAL_FALLBACK[app]
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pagegrid-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Deletes what was staged so far. Call it when no result that reads it is still needed; it also runs at exit."""
+    while _STAGED:
+        spark, path = _STAGED.pop()
+        jvm = spark.sparkContext._jvm
+        if spark.sparkContext._jsc is None or jvm is None:  # stopped
+            continue
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the gateway may be gone already
+        _STAGED.clear()
+
+
+atexit.register(_at_exit)
 
 
 def cut(df: DataFrame) -> DataFrame:

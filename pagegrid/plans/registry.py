@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagegrid.plans.shipping import ship
 from pagegrid.plans.tables import Tables, oracle_text
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -37,7 +38,7 @@ def load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     load()
-    return {n: (lambda spark, sf_dir, fn=f: fn(Tables(spark, sf_dir))) for n, f in sorted(_QUERIES.items())}
+    return {n: (lambda spark, sf_dir, fn=f: fn(Tables(ship(spark), sf_dir))) for n, f in sorted(_QUERIES.items())}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,9 +5,14 @@ import os
 
 from pyspark.sql import SparkSession
 
+from pagegrid.plans.shipping import ship
 
-def build_session(app: str = "pagegrid", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """Build (or reuse) a session. On a cluster leave ``master`` unset: spark-submit supplies it."""
+
+def build_session(app: str = "pagegrid", master: str | None = None, partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """Build (or reuse) a session. On a cluster leave ``master`` unset: spark-submit supplies it.
+
+    ``shared`` names a folder that the driver and all executors see, unless the configuration does.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -28,6 +33,8 @@ def build_session(app: str = "pagegrid", master: str | None = None, partitions:
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("PAGEGRID_DRIVER_MEMORY", "8g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    spark = builder.getOrCreate()
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = ship(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

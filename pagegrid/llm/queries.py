@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from pagegrid.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
+from pagegrid.plans.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 #: ranks and split pattern of the byte-level vocabulary that documents are packed with

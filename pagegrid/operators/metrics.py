@@ -38,7 +38,8 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, p: float, name:
     counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cumulative = running(counts, keys, [value], sums={"upto": c("n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = cumulative.join(totals, list(keys))
+    same = [cumulative[k].eqNullSafe(totals[k]) for k in keys]
+    joined = cumulative.join(totals, same).drop(*[totals[k] for k in keys])
     rank = F.greatest(F.lit(1), F.ceil(F.lit(p) * c("total")))
     return joined.filter((c("upto") >= rank) & (c("upto") - c("n") < rank)).select(*keys, round_half_up(c(value)).alias(name))
 
@@ -174,10 +175,21 @@ def usage_counters(df: DataFrame, account: str, metric: str, ts: str) -> DataFra
     return df.groupBy(c(account).alias("account_id"), c(metric).alias("metric"), F.to_date(ts).alias("period_start")).agg(F.count(F.lit(1)).alias("count"))
 
 
+#: up to this many rows per key Spark limits ranks in the map tasks (its default threshold)
+_MAP_RANKS = 1000
+
+
 def tail_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:
-    """Newest ``keep`` rows per key. The rank limit is applied in every map task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(c("__rn") <= keep).drop("__rn")
+    """Newest ``keep`` rows per key; ``order`` must tell the rows of a key apart.
+
+    Short tails are limited by Spark in every map task before the shuffle. It does not do so for longer ones, so these are
+    numbered over range slices, where a hot key spans many tasks.
+    """
+    if keep <= _MAP_RANKS:
+        numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        numbered = running(df, keys, order, number="__rn")
+    return numbered.filter(c("__rn") <= keep).drop("__rn")
 
 
 # -- spend ----------------------------------------------------------------------------------

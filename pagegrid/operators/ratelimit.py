@@ -43,11 +43,11 @@ def _steps(pdf: pd.DataFrame, length: int) -> list[tuple[int, int]]:
 def window_starts(df: DataFrame, key: str, at_ms: str, length_ms: int, slices: int | None = None) -> DataFrame:
     """Distinct (key, request time) with the start of the window it falls in."""
     times = df.select(c(key).alias("key"), c(at_ms).cast("long").alias("at")).distinct()
-    sliced = stage(with_slices(stage(times, "times"), ["key", "at"], slices), "sliced")
+    sliced = with_slices(stage(times, "times"), ["key", "at"], slices)
     key_type = times.schema["key"].dataType.simpleString()
     # slices are ranges of (key, time), so at most one key continues over each border
-    spans = sliced.groupBy("key").agg(F.min(SLICE).alias("lo"), F.max(SLICE).alias("hi")).filter("lo < hi").select("key")
-    crossing = sliced.join(F.broadcast(spans), "key", "left_semi")
+    spans = sliced.groupBy("key").agg(F.min(SLICE).alias("lo"), F.max(SLICE).alias("hi")).filter("lo < hi").select(c("key").alias("long_key"))
+    crossing = sliced.join(spans, c("key").eqNullSafe(c("long_key")), "left_semi")
 
     def reduce(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _steps(pdf, length_ms)
@@ -82,7 +82,8 @@ def window_starts(df: DataFrame, key: str, at_ms: str, length_ms: int, slices: i
                 i = j
         return pd.DataFrame({"key": keys, "at": t, "start": starts})
 
-    joined = sliced.join(F.broadcast(entering), [SLICE, "key"], "left").withColumn("entering", F.coalesce("entering", F.lit(_NONE)))
+    entering = entering.select(c(SLICE).alias("s"), c("key").alias("k"), "entering")
+    joined = sliced.join(entering, (c(SLICE) == c("s")) & c("key").eqNullSafe(c("k")), "left").drop("s", "k").withColumn("entering", F.coalesce("entering", F.lit(_NONE)))
     return joined.groupBy(SLICE).applyInPandas(resolve, f"key {key_type}, at long, start long")
 
 
@@ -94,7 +95,8 @@ def fixed_window_limit(df: DataFrame, key: str, ts: str, order: str, window_ms:
     window_ms, max_requests = max(1_000, int(window_ms)), max(1, int(max_requests))
     reqs = df.withColumn("__at", F.unix_millis(c(ts)))
     starts = window_starts(reqs, key, "__at", window_ms)
-    placed = reqs.join(starts.select(c("key").alias(key), c("at").alias("__at"), c("start").alias("__start")), [key, "__at"])
+    starts = starts.select(c("key").alias("__key"), c("at").alias("__t"), c("start").alias("__start"))
+    placed = reqs.join(starts, c(key).eqNullSafe(c("__key")) & (c("__at") == c("__t"))).drop("__key", "__t")
     counted = running(placed, [key, "__start"], ["__at", order], number="request_no")
     limited = c("request_no") > max_requests
     reset = c("__start") + window_ms

@@ -15,75 +15,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagegrid.plans.lineage import stage
 
 SLICE = "__slice"
-_SAMPLE_PER_SLICE = 60
 _ROWS_PER_SLICE = 1_000_000
-_MAX_SLICES = 4096
 
 
-def cut_points(df: DataFrame, order: Sequence[str], slices: int | None) -> list:
-    """Slice borders from a bounded sample of the sort keys (only borders are sampled, never results).
+def with_slices(df: DataFrame, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by ``order`` with ``__slice``, the number of a row's range, written to the shared folder.
 
-    The sample is a hash range sized from a row count, so it holds about
-    ``slices * _SAMPLE_PER_SLICE`` keys however large the table is, and is the same on a rerun.
+    Spark's range partitioning finds the borders. There are as many slices as shuffle partitions, and more where these
+    would hold over about a million rows. Written once, a slice stays the same for all who read it.
     """
-    keys = df.select(F.struct(*[F.col(c) for c in order]).alias("k"))
-    total = df.count()
     if slices is None:
-        # at least one slice per shuffle partition, about a million rows each, borders bounded in number
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        slices = min(_MAX_SLICES, max(partitions, total // _ROWS_PER_SLICE))
-    slices = max(2, slices)
-    target = slices * _SAMPLE_PER_SLICE
-    if total < 2 * slices:
-        return []
-    share = min(1.0, target / total)
-    bound = min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))
-    sample = sorted_keys(keys.filter(F.xxhash64("k", F.lit(17)) <= F.lit(bound)), 4 * target)
-    picked, last = [], None
-    for i in range(1, slices):
-        key = sample[i * len(sample) // slices] if sample else None
-        if key is not None and key != last:
-            picked.append(key)
-            last = key
-    return picked
-
-
-def sorted_keys(keys: DataFrame, at_most: int) -> list:
-    return [r["k"] for r in keys.limit(at_most).orderBy("k").collect()]
-
-
-def with_slices(df: DataFrame, order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Add ``__slice``: the index of the range slice a row's sort key falls in.
-
-    Borders are kept in two levels (about the square root of the slice count each), so a row is
-    placed with few comparisons however many slices there are.
-    """
-    points = cut_points(df, order, slices)
-    if not points:
-        return df.withColumn(SLICE, F.lit(0))
-    width = max(1, int(len(points) ** 0.5))
-    groups = [points[i : i + width] for i in range(0, len(points), width)]
-    schema = df.select(*order).schema
-
-    def border(point) -> Column:
-        return F.struct(*[F.lit(point[f.name]).cast(f.dataType).alias(f.name) for f in schema])
-
-    here = F.struct(*[F.col(c) for c in order])
-    coarse = F.array(*[border(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[border(p) for p in g]) for g in groups])
-    group = F.size(F.filter(coarse, lambda p: p <= here))
-    inside = F.size(F.filter(F.get(fine, F.col("__group") - 1), lambda p: p <= here))
-    return (
-        df.withColumn("__group", group)
-        .withColumn(SLICE, F.when(F.col("__group") == 0, 0).otherwise((F.col("__group") - 1) * width + inside).cast("int"))
-        .drop("__group")
-    )
+        slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // _ROWS_PER_SLICE))
+    return stage(df.repartitionByRange(max(2, slices), *order).withColumn(SLICE, F.spark_partition_id()), "sliced")
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     last_known: dict[str, Column] | None = None,
@@ -96,7 +45,8 @@ def running(
 
     Equivalent to windows over ``partitionBy(keys).orderBy(order)`` with a frame from the
     start to the current row, but a key may span any number of tasks. ``order`` must make
-    rows unique within a key for the result to be deterministic.
+    rows unique within a key for the result to be deterministic. Columns such as ``c.desc()``
+    may order sums, maxima and row numbers; lags and last values need plain names.
 
     The input is read a few times (count, borders, rows, carries), so it is staged in the shared
     folder first unless it is ``cheap`` to read again, such as a plain scan.
@@ -126,7 +76,7 @@ def running(
         out = out.withColumn("__first", F.row_number().over(local) == 1)
 
     # what each (slice, key) hands on; map-side combined before its shuffle
-    pos = F.struct(*[F.col(c) for c in order])
+    pos = F.struct(*[F.col(c) for c in order]) if lags or last_known else None
     aggs = [F.sum(f"__in_{n}").alias(f"__c_{n}") for n in sums]
     aggs += [F.max(f"__in_{n}").alias(f"__c_{n}") for n in maxima]
     aggs += [
@@ -150,14 +100,14 @@ def running(
         .filter("__seen > 0")
         .select(SLICE, *keys, *[f"__p_{n}" for n in [*sums, *maxima, *last_known, *lags]])
     )
-    # only keys continuing over a border remain: at most one per slice, safe to broadcast
+    # only keys continuing over a border remain: at most one row per slice
     renamed = carry.select(
         F.col(SLICE).alias("__s"), *[F.col(k).alias(f"__k_{k}") for k in keys], *[f"__p_{n}" for n in [*sums, *maxima, *last_known, *lags]]
     )
     cond = F.col(SLICE) == F.col("__s")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = out.join(F.broadcast(renamed), cond, "left")
+    out = out.join(renamed, cond, "left")
     for n in sums:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"__p_{n}"), F.lit(0)))
     for n in maxima:

@@ -78,3 +78,23 @@ def test_nearest_rank_without_keys(spark):
     assert nearest_rank(df, [], "v", 0.95, "p").first()["p"] == 19.0
     assert nearest_rank(df.limit(1), [], "v", 0.95, "p").first()["p"] in {float(i) for i in range(1, 21)}
     assert nearest_rank(df.limit(0), [], "v", 0.95, "p").count() == 0
+
+
+def test_null_keys_are_keys(spark):
+    from pagegrid.operators.metrics import nearest_rank, tail_per_key
+
+    rows = [(None if i % 2 else "k", i, i) for i in range(10)]
+    df = spark.createDataFrame(rows, "key string, at long, id int").withColumn("ts", F.timestamp_millis("at"))
+    got = {r["id"]: r["request_no"] for r in ratelimit.fixed_window_limit(df, "key", "ts", "id", 1000, 3).collect()}
+    assert got == {i: i // 2 + 1 for i in range(10)}
+    assert {(r["key"], r["p"]) for r in nearest_rank(df, ["key"], "id", 1.0, "p").collect()} == {(None, 9.0), ("k", 8.0)}
+
+
+def test_long_tail_of_a_hot_key(spark):
+    from pagegrid.operators.metrics import tail_per_key
+
+    df = skewed(spark, 6000)
+    got = tail_per_key(df, ["key"], [c("ts").desc(), c("id").desc()], 2000)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(c("ts").desc(), c("id").desc()))).filter("n <= 2000").drop("n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("key = 'hot'").count() == 2000

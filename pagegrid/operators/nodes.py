@@ -21,7 +21,7 @@ c = F.col
 
 NODE_SCHEMA = (
     "page_id long, node_id int, parent_id int, post int, depth int, tag string, id string, classes array<string>, "
-    "attrs map<string,string>, visible boolean, nth int, same_tag int, path array<int>, trail array<string>, spots array<string>, text string"
+    "attrs map<string,string>, visible boolean, nth int, same_tag int, child int, siblings int, path array<int>, trail array<string>, spots array<string>, text string"
 )
 # Fixed values of the page format: elements without content, and start tags that close an open element.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -80,7 +80,7 @@ class _Tree(HTMLParser):
             self._add("#text", {}, data)
 
 
-_COLUMNS = ["page_id", "node_id", "parent_id", "post", "depth", "tag", "id", "classes", "attrs", "visible", "nth", "same_tag", "path", "trail", "spots", "text"]
+_COLUMNS = ["page_id", "node_id", "parent_id", "post", "depth", "tag", "id", "classes", "attrs", "visible", "nth", "same_tag", "child", "siblings", "path", "trail", "spots", "text"]
 
 
 def _append(out: dict[str, list], page_id: int, html: str) -> None:
@@ -92,7 +92,12 @@ def _append(out: dict[str, list], page_id: int, html: str) -> None:
     nodes = tree.nodes
     totals: dict[tuple, int] = {}
     nth = []
+    children: dict[int | None, int] = {}
+    place = []
     for n in nodes:
+        if n["tag"] != "#text":
+            children[n["parent"]] = children.get(n["parent"], 0) + 1
+        place.append(children.get(n["parent"], 0))
         key = (n["parent"], n["tag"])
         totals[key] = totals.get(key, 0) + 1
         nth.append(totals[key])
@@ -112,6 +117,7 @@ def _append(out: dict[str, list], page_id: int, html: str) -> None:
             paths.append(paths[parent] + [i]), trails.append(trails[parent] + [name]), spots.append(spots[parent] + [spot])
             seen.append(shown and seen[parent])
         out["same_tag"].append(same)
+        out["siblings"].append(children.get(parent, 0))
         out["parent_id"].append(parent)
         out["post"].append(n["post"])
         out["tag"].append(tag)
@@ -124,6 +130,7 @@ def _append(out: dict[str, list], page_id: int, html: str) -> None:
     out["depth"] += [len(p) - 1 for p in paths]
     out["visible"] += seen
     out["nth"] += nth
+    out["child"] += place
     out["path"] += paths
     out["trail"] += trails
     out["spots"] += spots
@@ -132,7 +139,7 @@ def _append(out: dict[str, list], page_id: int, html: str) -> None:
 _ARROW = pa.schema(
     [
         ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
-        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("visible", pa.bool_()), ("nth", pa.int32()), ("same_tag", pa.int32()),
+        ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("visible", pa.bool_()), ("nth", pa.int32()), ("same_tag", pa.int32()), ("child", pa.int32()), ("siblings", pa.int32()),
         ("path", pa.list_(pa.int32())), ("trail", pa.list_(pa.string())), ("spots", pa.list_(pa.string())), ("text", pa.string()),
     ]
 )
@@ -174,30 +181,66 @@ def subtree_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 # -- selectors ---------------------------------------------------------------------------------------
 
 _COMPOUND = re.compile(
-    r"""(?P<tag>^[a-zA-Z*][\w-]*|^\*)|\#(?P<id>(?:[\w-]|\\.)+)|\.(?P<cls>(?:[\w-]|\\.)+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~|^$*]?=)["']?(?P<val>[^"'\]]*)["']?)?\]|:nth-of-type\((?P<nth>\d+)\)"""
+    r"""(?P<tag>^[a-zA-Z*][\w-]*|^\*)|\#(?P<id>(?:[\w-]|\\.)+)|\.(?P<cls>(?:[\w-]|\\.)+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*["']?(?P<val>[^"'\]]*)["']?)?\s*\]|:(?P<pseudo>[a-z-]+)(?P<open>\()?"""
 )
 
 
+def _outside(text: str, marks: str) -> list[tuple[int, str]]:
+    """Places of ``marks`` outside brackets, parentheses and quotes."""
+    found, deep, quote = [], 0, ""
+    for i, ch in enumerate(text):
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch in "([":
+            deep += 1
+        elif ch in ")]":
+            deep -= 1
+        elif not deep and ch in marks:
+            found.append((i, ch))
+    return found
+
+
+def _parts(text: str, marks: str) -> list[str]:
+    edges = [-1, *[i for i, _ in _outside(text, marks)], len(text)]
+    return [text[a + 1 : b].strip() for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def split_selector(selector: str) -> list[list[tuple[str, str]]]:
-    """Alternatives of (combinator, compound) steps. Supports tag, id, class, attribute tests,
-    ``:nth-of-type(n)``, child and descendant combinators and commas."""
+    """Alternatives of (combinator, compound) steps. Supports tag, id, class and attribute tests, ``:not()``, ``:scope``,
+    child and type positions, all four combinators and commas."""
     out = []
-    for alternative in re.split(r",(?![^\[]*\])", selector):
-        steps, combinator = [], " "
-        for token in re.findall(r">|(?:[^\s>\[]|\[[^\]]*\])+", alternative.strip()):
-            if token == ">":
-                combinator = ">"
-                continue
-            steps.append((combinator, token))
-            combinator = " "
-        if not steps:
-            raise ValueError(f"empty selector: {selector!r}")
+    for alternative in _parts(selector, ","):
+        steps, combinator, at = [], " ", 0
+        for i, ch in [*_outside(alternative, " \t\n>+~"), (len(alternative), " ")]:
+            if alternative[at:i].strip():
+                steps.append((combinator, alternative[at:i].strip()))
+                combinator = " "
+            if ch in ">+~":
+                combinator = ch
+            at = i + 1
+        if not steps or combinator != " ":
+            raise ValueError(f"incomplete selector: {selector!r}")
         out.append(steps)
     return out
 
 
-def compound(token: str) -> Column:
-    """Predicate of one compound selector over node columns."""
+def _position(place: Column, rule: str) -> Column:
+    """an+b, ``odd``, ``even`` or a number, tested on a 1-based place."""
+    rule = {"odd": "2n+1", "even": "2n"}.get(rule.strip().lower(), rule.strip().lower().replace(" ", ""))
+    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", rule)
+    if not m or not rule:
+        raise ValueError(f"unsupported position: {rule!r}")
+    step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
+    start = int(m[2] or 0)
+    if step == 0:
+        return place == start
+    return ((place - start) % step == 0) & ((place >= start) if step > 0 else (place <= start))
+
+
+def compound(token: str, scope: Column | None = None) -> Column:
+    """Predicate of one compound selector over node columns; ``scope`` says which nodes ``:scope`` names."""
     test, at = F.lit(True), 0
     while at < len(token):
         m = _COMPOUND.match(token[at:]) if at else _COMPOUND.match(token)
@@ -205,47 +248,94 @@ def compound(token: str) -> Column:
             raise ValueError(f"unsupported selector part: {token[at:]!r}")
         g = {k: v for k, v in m.groupdict().items() if v is not None}
         plain = lambda v: re.sub(r"\\(.)", r"\1", v)
+        at += m.end()
         if "tag" in g and g["tag"] != "*":
             test = test & (c("tag") == g["tag"].lower())
         if "id" in g:
             test = test & (c("id") == plain(g["id"]))
         if "cls" in g:
             test = test & F.array_contains("classes", plain(g["cls"]))
-        if "nth" in g:
-            test = test & (c("nth") == int(g["nth"]))
+        if "pseudo" in g:
+            inner = ""
+            if "open" in g:
+                close, deep = at, 1
+                while deep:
+                    if close >= len(token):
+                        raise ValueError(f"unclosed selector part: {token!r}")
+                    deep += {"(": 1, ")": -1}.get(token[close], 0)
+                    close += 1
+                inner, at = token[at : close - 1], close
+            test = test & _pseudo(g["pseudo"], inner, scope)
         if "attr" in g:
             value = c("attrs")[g["attr"].lower()]
             op, want = g.get("op"), g.get("val", "")
+            empty = F.lit(want != "")  # an empty value is inside nothing
             test = test & (
                 value.isNotNull() if op is None
                 else (value == want) if op == "="
-                else value.contains(want) if op == "*="
-                else value.startswith(want) if op == "^="
-                else value.endswith(want) if op == "$="
-                else F.array_contains(F.split(value, r"\s+"), want)
+                else value.contains(want) & empty if op == "*="
+                else value.startswith(want) & empty if op == "^="
+                else value.endswith(want) & empty if op == "$="
+                else ((value == want) | value.startswith(want + "-")) if op == "|="
+                else F.array_contains(F.split(value, r"\s+"), want) & empty & F.lit(not re.search(r"\s", want))
             )
-        at += m.end()
     return F.coalesce(test, F.lit(False))
 
 
-def select(nodes: DataFrame, selector: str) -> DataFrame:
-    """Elements matching a selector: every step is an equi join on (page_id, node_id), never across pages."""
+def _pseudo(name: str, inner: str, scope: Column | None) -> Column:
+    from_end = c("siblings") - c("child") + 1
+    type_end = c("same_tag") - c("nth") + 1
+    if name == "not":
+        test = F.lit(False)
+        for part in _parts(inner, ","):
+            test = test | compound(part, scope)
+        return ~test
+    if name == "scope":
+        # without a scope it is the root of the page
+        return c("parent_id").isNull() if scope is None else scope
+    fixed = {"first-child": (c("child"), "1"), "last-child": (from_end, "1"), "first-of-type": (c("nth"), "1"), "last-of-type": (type_end, "1")}
+    if name in fixed:
+        return _position(*fixed[name])
+    if name == "only-child":
+        return c("siblings") == 1
+    if name == "only-of-type":
+        return c("same_tag") == 1
+    places = {"nth-child": c("child"), "nth-last-child": from_end, "nth-of-type": c("nth"), "nth-last-of-type": type_end}
+    if name not in places:
+        raise ValueError(f"unsupported pseudo-class: {name!r}")
+    return _position(places[name], inner)
+
+
+def select(nodes: DataFrame, selector: str, scope: DataFrame | None = None) -> DataFrame:
+    """Elements matching a selector, each once. Steps are taken from left to right: the nodes that match so far are the
+    small side of a semi join on (page_id, ...), never across pages. ``scope``: (page_id, node_id) that ``:scope`` names.
+    """
     found = None
+    pool = elements(nodes)
+    here = None
+    if ":scope" in selector and scope is not None:
+        pool = pool.join(scope.select("page_id", "node_id").distinct().withColumn("__scope", F.lit(True)), ["page_id", "node_id"], "left")
+        here = F.coalesce(c("__scope"), F.lit(False))
+    columns = nodes.columns
     for steps in split_selector(selector):
-        hits = elements(nodes).filter(compound(steps[-1][1]))
-        # walk left: 'at' is the node the remaining steps must hold for
-        state = hits.select("page_id", "node_id", c("parent_id").alias("up"), c("path").alias("line"))
-        for i in range(len(steps) - 1, 0, -1):
-            left = elements(nodes).filter(compound(steps[i - 1][1])).select("page_id", c("node_id").alias("at"), c("parent_id").alias("up"), c("path").alias("line"))
-            if steps[i][0] == ">":
-                near = state.select("page_id", "node_id", c("up").alias("at"))
+        state = pool.filter(compound(steps[0][1], here))
+        for combinator, token in steps[1:]:
+            hits = pool.filter(compound(token, here))
+            if combinator == ">":
+                state = hits.join(state.select("page_id", c("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi")
+            elif combinator == " ":
+                above = hits.select("page_id", "node_id", F.explode(F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1))).alias("at"))
+                below = above.join(state.select("page_id", c("node_id").alias("at")), ["page_id", "at"], "left_semi").select("page_id", "node_id")
+                state = hits.join(below, ["page_id", "node_id"], "left_semi")
             else:
-                near = state.select("page_id", "node_id", F.explode(F.slice("line", 1, F.greatest(F.lit(0), F.size("line") - 1))).alias("at"))
-            state = near.join(left, ["page_id", "at"]).select("page_id", "node_id", "up", "line").distinct()
-        keys = state.select("page_id", "node_id").distinct()
-        one = hits.join(keys, ["page_id", "node_id"], "left_semi") if len(steps) > 1 else hits
-        found = one if found is None else found.unionByName(one)
-    return found.dropDuplicates(["page_id", "node_id"]) if selector.count(",") else found
+                # siblings: the one right before, or any before (then the first that matches decides)
+                before = state.groupBy("page_id", F.coalesce("parent_id", F.lit(-1)).alias("under"), *(["child"] if combinator == "+" else [])).agg(F.min("child").alias("first"))
+                near = (F.coalesce("parent_id", F.lit(-1)) == c("b.under")) & (c("h.page_id") == c("b.page_id"))
+                near = near & ((c("h.child") == c("first") + 1) if combinator == "+" else (c("h.child") > c("first")))
+                state = hits.alias("h").join(before.alias("b"), near, "left_semi")
+        found = state if found is None else found.unionByName(state)
+    found = found.select(*columns)
+    return found.dropDuplicates(["page_id", "node_id"]) if len(split_selector(selector)) > 1 else found
 
 
 def first_match(matches: DataFrame, containers: DataFrame | None = None) -> DataFrame:
@@ -289,7 +379,7 @@ def extract_list(pages: DataFrame, container: str, fields: list[dict], nodes: Da
         if not selector:
             out = out.withColumn(name, F.lit(""))
             continue
-        first = first_match(select(nodes, selector), boxes)
+        first = first_match(select(nodes, selector, boxes), boxes)
         values = node_values(nodes, pages, first, f.get("extractMode", "text"), f.get("attribute", ""))
         column = first.join(values, ["page_id", "node_id"]).select("page_id", "container", c("value").alias(name))
         out = out.join(column, ["page_id", "container"], "left").withColumn(name, F.coalesce(c(name), F.lit("")))

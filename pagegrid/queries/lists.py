@@ -36,6 +36,29 @@ def _(t):
     return rows.groupBy("page_id", "name", "raw", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+# selector -> how many of the n list items of a page it names
+_SELECTORS = {
+    "nav li:not(:first-child)": "len(hrefs) - 1", "nav li + li > a": "len(hrefs) - 1", "nav li ~ li": "len(hrefs) - 1", "nav li:nth-child(2n+1)": "(len(hrefs) + 1) // 2",
+    "nav li:last-child, nav li:nth-child(1)": "least(len(hrefs), 2)", "nav li:nth-of-type(2) a[href]": "least(len(hrefs) - 1, 1)",
+}
+
+
+@query("x02_selector_counts", f"""{_LI}, k AS ({" UNION ALL ".join(f"SELECT page_id, '{k}' AS selector, CAST({v} AS BIGINT) AS n FROM l WHERE len(hrefs) > 0" for k, v in _SELECTORS.items())}) SELECT * FROM k WHERE n > 0""")
+def _(t):
+    n = stage(nt.node_table(t.pages), "nodes")
+    counts = [nt.select(n, k).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("selector", F.lit(k)) for k in _SELECTORS]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query("x02_scoped_rows", f"{_LI} SELECT page_id, name, count(*) AS n FROM e WHERE trim(name) <> '' GROUP BY ALL")
+def _(t):
+    rows = nt.extract_list(t.pages, "nav > ul > li", [{"name": "name", "selector": ":scope > a"}, {"name": "none", "selector": ":scope > li"}])
+    return rows.filter("none = ''").groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("x02_page_fields", f"SELECT page_id, url, {s.tag_text('html', 'h1')} AS headline, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first_link FROM pages")
 def _(t):
     return nt.extract_fields(t.pages, [{"name": "headline", "selector": "article h1"}, {"name": "first_link", "selector": "nav li a", "extractMode": "attribute", "attribute": "href"}])

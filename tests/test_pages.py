@@ -1,4 +1,5 @@
 """Page fixtures: tags, contacts, JSON-LD, images, places, links, node table, lists."""
+import pytest
 from pyspark.sql import functions as F
 
 from pagegrid.functions import contacts, labels, text, urls
@@ -190,3 +191,26 @@ def test_seen_entities(spark):
     rows = spark.createDataFrame([("s", "a", 1), ("s", "a", 2), ("s", "b", 3), ("s", "", 4), ("s", "", 5)], "scope string, entity_key string, n int")
     seen = spark.createDataFrame([("s", "b"), ("z", "a")], "scope string, entity_key string")
     assert sorted(r["n"] for r in places.unseen(rows, seen).collect()) == [1, 4, 5]
+
+
+def test_selector_forms(spark):
+    html = """<body><div id=d><p class="a b" lang=en-US>1</p><span>2</span><p lang=en>3</p><p data-x="">4</p><p class=c><em>5</em></p></div><div><p>6</p></div></body>"""
+    n = nodes.node_table(page(spark, html))
+    texts = nodes.elements(n).filter("tag in ('p', 'span', 'em')").orderBy("node_id").select("node_id").collect()
+    order = {r["node_id"]: i for i, r in enumerate(texts, 1)}
+
+    def named(selector):
+        return sorted(order[r["node_id"]] for r in nodes.select(n, selector).select("node_id").collect())
+
+    # places of p and span in document order; the em inside the fifth counts as sixth
+    assert named("p[lang|=en]") == [1, 3] and named("p[lang=en]") == [3]
+    assert named("p[data-x*='']") == [] and named("p[data-x^='']") == [] and named("p[data-x$='']") == [] and named("p[data-x]") == [4]
+    assert named("#d > p:not(.a):not([lang|='en'])") == [4, 5] and named("#d > :not(p, span)") == []
+    assert named("#d > :nth-child(2)") == [2] and named("#d > p:nth-child(odd)") == [1, 3, 5] and named("#d > :nth-child(-n+2)") == [1, 2]
+    assert named("span + p") == [3] and named("span ~ p") == [3, 4, 5] and named("span ~ p em") == [6] and named(".a + span + p") == [3]
+    assert named("p:last-child") == [5, 7] and named("p:only-child") == [7] and named("p:first-of-type") == [1, 7] and named("p:nth-last-of-type(1)") == [5, 7]
+    scope = nodes.elements(n).filter("id = 'd'").select("page_id", "node_id")
+    assert sorted(order[r["node_id"]] for r in nodes.select(n, ":scope > span, :scope > p.c > em", scope).collect()) == [2, 6]
+    for bad in ("p >", "a:hover", "p:nth-child(x)", ""):
+        with pytest.raises(ValueError):
+            nodes.select(n, bad)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrid.llm.common import ascii_lower, split_words, text_key, text_of
+from pagegrid.plans.lineage import cut
 
 #: words per hash
 K = 3
@@ -72,7 +73,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap:
     license text of which at least ``cover`` of the positions stand. ``gap``: words that may be added or left out between
     two diagonals that are merged.
     """
-    found = hits(docs, id_col, text_col)
+    found = cut(hits(docs, id_col, text_col))  # few rows, read for phrases and for license texts
     places = found.where(F.col("phrase") & (F.bit_count("seen") == F.col("grams"))).select(
         "id", "key", "label", "phrase", F.col("diagonal").cast("long").alias("first_word"), F.lit(1.0).alias("coverage"),
     )

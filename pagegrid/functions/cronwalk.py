@@ -1,0 +1,96 @@
+"""Next run of parsed cron fields in a time zone.
+
+Between two changes of a zone's offset local time runs evenly, so there the first matching minute is found by days and then
+by a search in the minutes of a day. The stretches between changes are tried in turn: times that a zone skips never come up,
+repeated ones come up twice, whole days included.
+"""
+from __future__ import annotations
+
+import bisect
+import datetime as dt
+import re
+from functools import lru_cache
+from zoneinfo import ZoneInfo
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+_DAY = 86_400
+_EPOCH = dt.date(1970, 1, 1).toordinal()
+
+
+@lru_cache(maxsize=1024)
+def _zone(name: str):
+    fixed = re.fullmatch(r"(?:UTC|GMT)?([+-])(\d{1,2})(?::?(\d{2}))?", name)
+    if fixed:
+        minutes = int(fixed[2]) * 60 + int(fixed[3] or 0)
+        return dt.timezone(dt.timedelta(minutes=minutes if fixed[1] == "+" else -minutes))
+    try:
+        return ZoneInfo(name)
+    except (KeyError, ValueError, OSError):
+        return None
+
+
+def _offset(zone, at: int) -> int:
+    return int((dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=at)).astimezone(zone).utcoffset().total_seconds())
+
+
+@lru_cache(maxsize=65_536)
+def _stretches(name: str, day: int) -> tuple[tuple[int, int], ...]:
+    """(from, offset) of each stretch of one UTC day."""
+    zone, lo, hi = _zone(name), day * _DAY, (day + 1) * _DAY
+    first = _offset(zone, lo)
+    if _offset(zone, hi - 1) == first:
+        return ((lo, first),)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if _offset(zone, mid) == first else (lo, mid)
+    return ((day * _DAY, first), (hi, _offset(zone, hi)))
+
+
+def next_run(minutes: tuple[int, ...], days: frozenset[int], months: frozenset[int], weekdays: frozenset[int], zone: str, start: int, end: int) -> int | None:
+    """First second in [start, end), a whole minute, whose local minute of day, day, month and weekday are listed."""
+    if _zone(zone) is None or not minutes:
+        return None
+    for day in range(start // _DAY, (end - 1) // _DAY + 1):
+        stretches = [*_stretches(zone, day), ((day + 1) * _DAY, 0)]
+        for (lo, offset), (hi, _) in zip(stretches, stretches[1:], strict=False):
+            at, stop = max(lo, start), min(hi, end)
+            while at < stop:
+                local, second = divmod(at + offset, _DAY)
+                date = dt.date.fromordinal(_EPOCH + local)
+                if date.month in months and date.day in days and date.isoweekday() % 7 in weekdays:
+                    # whole minutes of UTC may lie inside a local minute where offsets have seconds
+                    k = bisect.bisect_left(minutes, second // 60)
+                    while k < len(minutes):
+                        found = -(-(local * _DAY + minutes[k] * 60 - offset) // 60) * 60
+                        if found >= at:
+                            if found < stop:
+                                return found
+                            break
+                        if found + 60 > at and minutes[k] == second // 60 and at % 60 == 0:
+                            return at
+                        k += 1
+                at = (local + 1) * _DAY - offset
+    return None
+
+
+@lru_cache(maxsize=65_536)
+def _sets(minute, hour, day, month, dow):
+    return tuple(h * 60 + m for h in hour for m in minute), frozenset(day), frozenset(month), frozenset(dow)
+
+
+def search(look_ahead_minutes: int):
+    """A column function from (minute, hour, day, month, dow, zone, start) to the second of the next run."""
+
+    def solve(cases: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in cases.itertuples(index=False):
+            if r.minute is None or pd.isna(r.start):
+                out.append(None)
+                continue
+            parts = _sets(*(tuple(int(v) for v in x) for x in (r.minute, r.hour, r.day, r.month, r.dow)))
+            out.append(next_run(*parts, r.zone, int(r.start), int(r.start) + look_ahead_minutes * 60))
+        return pd.Series(out, dtype="Int64")
+
+    return F.pandas_udf(solve, "long")

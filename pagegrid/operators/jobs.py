@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagegrid.functions import times
+from pagegrid.functions import cronwalk, times
 from pagegrid.functions.text import to_text, trim_ws
 from pagegrid.functions.urls import is_http, let, target_signature
 from pagegrid.operators.rows import first_rows
@@ -213,62 +213,15 @@ def filter_schedules(df: DataFrame, job_type: str = "", name: str = "", interval
 def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int = 525_600) -> DataFrame:
     """(id, next_run_at) of cron schedules (id, cron_expr, timezone): first matching minute strictly after ``from_ts``.
 
-    Expressions repeat, so distinct (expression, zone, start day) are solved once and joined back.
-    Per case the local days of the look-ahead are a row-local sequence: the earliest day whose month,
-    day and weekday match is tried with its hours × minutes; times a zone skips do not match, as in a
-    minute-by-minute walk. No calendar table, no minute loop.
+    Distinct expressions are parsed once; the search is local to a row (see ``cronwalk``). An unknown zone or no match
+    within the look-ahead gives null.
     """
-    cases = schedules.select("cron_expr", "timezone", c(from_ts).alias("__from")).distinct()
-    parsed = schedules.select("cron_expr").distinct().select("cron_expr", times.cron_fields(c("cron_expr")).alias("k"))
-    f = cases.join(parsed.filter("k.valid"), "cron_expr")
-    start = F.date_trunc("minute", c("__from")) + F.expr("INTERVAL 1 MINUTE")
-    end = start + F.make_interval(mins=F.lit(look_ahead_minutes - 1))
-    f = f.withColumn("__start", start).withColumn("__end", end)
-    local0 = F.to_date(F.from_utc_timestamp("__start", c("timezone")))
-    local1 = F.to_date(F.from_utc_timestamp("__end", c("timezone")))
-    zone, k = c("timezone"), c("k")
-    f = f.withColumn("__bounds", F.struct(F.unix_seconds("__start").alias("low"), F.unix_seconds("__end").alias("high"), (F.unix_seconds(F.from_utc_timestamp("__start", zone)) - 10_800).alias("wall")))
-    f = f.withColumn("__minutes", F.flatten(F.transform(k["hour"], lambda h: F.transform(k["minute"], lambda m: h * 60 + m)))).withColumn("__first", local0).withColumn("__last", local1)
-    # one expression may serve most cases: after the join they are spread again by their whole key;
-    # the exchange also keeps the columns above from being folded into the lambdas below
-    n = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    f = f.select("cron_expr", "timezone", "__from", "k", "__bounds", "__minutes", "__first", "__last").repartition(n, "cron_expr", "timezone", "__from")
-
-    def matching(first: Column, last: Column) -> Column:
-        return F.filter(
-            F.sequence(first, F.greatest(first, last)),
-            lambda d: F.array_contains(k["month"], F.month(d)) & F.array_contains(k["day"], F.dayofmonth(d)) & F.array_contains(k["dow"], F.dayofweek(d) - 1),
-        )
-
-    # within a year only the start day and at most two days whose times a zone change skips can
-    # match without giving a run, so the fourth matching day always decides; most expressions have
-    # it within weeks, the rest look through the whole span
-    near = matching(c("__first"), F.least("__last", F.date_add("__first", 34)))
-    f = f.withColumn("__near", near)
-    f = f.withColumn("__days", F.slice(F.when(F.size("__near") >= 4, c("__near")).otherwise(matching(c("__first"), c("__last"))), 1, 4))
-
-    def walls_of(d: Column) -> Column:
-        # times of day as seconds; a day of other than 24 hours has a zone change: its wall times may
-        # repeat or be skipped, all others share the shift of the day's start
-        begin = F.unix_date(d).cast("long") * 86_400
-        utc, after = F.unix_seconds(F.to_utc_timestamp(d, zone)), F.unix_seconds(F.to_utc_timestamp(F.date_add(d, 1), zone))
-        day = F.struct(begin.alias("begin"), (utc - begin).alias("shift"), (after - utc == 86_400).alias("plain"))
-        return let(day, lambda p: F.transform("__minutes", lambda m: F.struct((p["begin"] + m * 60).alias("w"), p["shift"].alias("shift"), p["plain"].alias("plain"))))
-
-    # wall times from three hours before the start (clock changes are shorter); fewer than 600 minutes
-    # of them can lie before the start, repeat or be skipped, so the answer is among the first 600
-    f = f.withColumn("__walls", F.slice(F.filter(F.flatten(F.transform("__days", walls_of)), lambda x: x["w"] >= c("__bounds")["wall"]), 1, 600))
-    shifts = F.array(*[F.lit(x) for x in (0, -7200, -3600, -1800, 1800, 3600, 7200)])
-
-    def instants(x: Column) -> Column:
-        tried = F.transform(shifts, lambda off: F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(x["w"]), zone)) + off)
-        real = F.filter(tried, lambda t: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(t), zone)) == x["w"])
-        return F.when(x["plain"], F.array(x["w"] + x["shift"])).otherwise(real)
-
-    good = F.filter(F.flatten(F.transform("__walls", instants)), lambda t: (t >= c("__bounds")["low"]) & (t <= c("__bounds")["high"]))
-    solved = f.select("cron_expr", "timezone", "__from", F.timestamp_seconds(F.array_min(good)).alias("next_run_at"))
-    keyed = schedules.withColumn("__from", c(from_ts))
-    return keyed.join(solved, ["cron_expr", "timezone", "__from"], "left").select("id", "next_run_at")
+    rows = schedules.select("id", "cron_expr", F.coalesce(F.nullif(trim_ws(to_text(c("timezone"))), F.lit("")), F.lit("UTC")).alias("zone"), c(from_ts).alias("at"))
+    parsed = schedules.select("cron_expr").distinct().select(c("cron_expr").alias("__expr"), times.cron_fields(c("cron_expr")).alias("k")).filter("k.valid")
+    start = F.unix_seconds(F.date_trunc("minute", c("at"))) + 60
+    j = rows.join(parsed, c("cron_expr").eqNullSafe(c("__expr")), "left")
+    case = F.struct(*[c(f"k.{name}").alias(name) for name, _, _ in times.CRON_FIELDS], c("zone"), start.alias("start"))
+    return j.select("id", F.timestamp_seconds(cronwalk.search(look_ahead_minutes)(case)).alias("next_run_at"))
 
 
 def trigger_due(schedules: DataFrame, now: Column, now_text: str, worker: str, batch: int | None = 10) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Control tables: cron, back-off, monitors, payload rules, idempotency, spend, request windows."""
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -171,3 +172,22 @@ def test_field_diff_sees_every_depth(spark):
     now, old = (spark.createDataFrame([(1, "m", snap(v))], "account_id int, monitor_key string, snapshot string") for v in ('[1.50, {"a": 2}]', '"x"'))
     (row,) = monitor.field_diff(now, old, monitor.KEYS).collect()
     assert row["field"].count(".") == 29 and row["previous"] == "x" and row["current"] == '[1.5,{"a":2}]'
+
+
+def test_cron_walk_across_skipped_and_repeated_time():
+    from zoneinfo import ZoneInfo
+
+    from pagegrid.functions import cronwalk
+
+    # a zone that skips a whole day, one that repeats a day, short and odd clock changes
+    starts = {"Pacific/Apia": dt.datetime(2011, 12, 29), "Pacific/Kwajalein": dt.datetime(1969, 9, 29), "Australia/Lord_Howe": dt.datetime(2024, 4, 6), "Europe/Berlin": dt.datetime(2024, 10, 26), "America/New_York": dt.datetime(2024, 3, 9), "UTC": dt.datetime(2024, 2, 28)}
+    rnd = random.Random(3)
+    every = frozenset(range(1, 32)), frozenset(range(1, 13)), frozenset(range(7))
+    for zone, base in starts.items():
+        for _ in range(12):
+            start = int(base.replace(tzinfo=dt.timezone.utc).timestamp()) + 60 * rnd.randrange(2880)
+            minutes = tuple(sorted(rnd.sample(range(1440), rnd.choice([1, 3, 40]))))
+            days = rnd.choice([every[0], frozenset(rnd.sample(range(1, 32), 9))])
+            local = [(start + 60 * i, dt.datetime.fromtimestamp(start + 60 * i, ZoneInfo(zone))) for i in range(4 * 1440)]
+            want = next((u for u, t in local if t.hour * 60 + t.minute in minutes and t.day in days), None)
+            assert cronwalk.next_run(minutes, days, every[1], every[2], zone, start, start + 4 * 86_400) == want

@@ -241,4 +241,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that the rules keep, with all their columns."""
     decided = with_statistics(docs.select(F.struct("*").alias("doc"), F.col(id_col), F.col(text_col)), text_col)
     rules = learn(decided.drop("doc", text_col), labels, id_col, **options)
-    return decided.where(~base_failed() & (rules.rule_number() == 0)).select("doc.*")
+    # a filter would be pushed below the statistics and repeat them inside their own lambdas; a generator is not moved
+    kept = F.when(~base_failed() & (rules.rule_number() == 0), F.array(F.lit(1)))
+    return decided.select("doc", F.explode(kept).alias("kept")).select("doc.*")

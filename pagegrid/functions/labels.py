@@ -166,7 +166,14 @@ TARGET_TOP = r"(?i)\b(?:top|first)\s+([0-9]{1,5})\b"
 FIRST_URL = r"""(?i)https?://[^\s)"'<>]+"""
 
 
-def goal_flags(text: Column) -> dict[str, Column]:
+# Signs of a wish for new results, and where the topic of a request stands.
+FRESH_WORDS = ["fresh", "latest", "today", "recent", "newly"]
+FRESH_PATTERN = r"(?i)\bup[-\s]?to[-\s]?date\b"
+TOPIC_PATTERN = r"(?i)\b(?:for|about|on)\s+(.+)$"
+SEARCH_PATTERN = r"(?i)^.*?\bsearch\b\s*"
+
+
+def goal_flags(text: Column, most: int | None = 50_000) -> dict[str, Column]:
     """Named columns describing a request text."""
     raw = clean_text(text)
     low = F.lower(raw)
@@ -175,7 +182,7 @@ def goal_flags(text: Column) -> dict[str, Column]:
     talk = raw.rlike(ascii_edges(CONVERSATIONAL))
     any_topic = flag["data"] | flag["maps"] | flag["local_leads"] | flag["email"] | flag["phone"] | flag["text"] | flag["metadata"]
     extract = verb | low.contains("quick extract") | ((raw != "") & ~flag["access"] & ~flag["export"] & (talk | any_topic))
-    fresh = _any(low, ["fresh", "latest", "today", "recent", "newly"]) | raw.rlike(ascii_edges(r"(?i)\bup[-\s]?to[-\s]?date\b"))
+    fresh = _any(low, FRESH_WORDS) | raw.rlike(ascii_edges(FRESH_PATTERN))
     by_words, by_top = F.regexp_extract(raw, ascii_edges(TARGET_WORDS), 1), F.regexp_extract(raw, ascii_edges(TARGET_TOP), 1)
     target = F.when(by_words != "", by_words).when(by_top != "", by_top).otherwise("0").cast("int")
     return {
@@ -192,7 +199,7 @@ def goal_flags(text: Column) -> dict[str, Column]:
         "wants_metadata": flag["metadata"],
         "wants_exhaustive": flag["exhaustive"],
         "wants_fresh": fresh,
-        "result_target": F.least(F.lit(50000), target).cast("long"),
+        "result_target": (target if most is None else F.least(F.lit(most), target)).cast("long"),
         "export_format": F.when(_any(low, ["xlsx", "excel"]), "xlsx").when(low.contains("json"), "json").otherwise("csv"),
     }
 
@@ -219,8 +226,8 @@ def _strip_instruction(c: Column) -> Column:
 def goal_query(text: Column) -> Column:
     """What the request is about, '' when it names a URL."""
     raw = clean_text(text)
-    by_for = F.regexp_extract(raw, ascii_edges(r"(?i)\b(?:for|about|on)\s+(.+)$"), 1)
-    after_search = F.regexp_replace(raw, ascii_edges(r"(?i)^.*?\bsearch\b\s*"), "")
+    by_for = F.regexp_extract(raw, ascii_edges(TOPIC_PATTERN), 1)
+    after_search = F.regexp_replace(raw, ascii_edges(SEARCH_PATTERN), "")
     body = (
         F.when(by_for != "", clean_text(by_for))
         .when(F.lower(raw).contains("search"), _strip_instruction(after_search))

@@ -223,7 +223,7 @@ def drop_query_keys(url: Column, keys: list[str], drop_viewport: bool = False) -
     """Normalised URL without the named query parameters; null when it does not parse."""
 
     def rebuild(p: Column) -> Column:
-        pairs = F.filter(F.split(F.substring(p["query"], 2, 1_000_000), "&", -1), lambda kv: (kv != "") & ~F.split_part(kv, F.lit("="), F.lit(1)).isin(*keys))
+        pairs = F.filter(F.split(F.substring(p["query"], F.lit(2), F.char_length(p["query"])), "&", -1), lambda kv: (kv != "") & ~F.split_part(kv, F.lit("="), F.lit(1)).isin(*keys))
         query = let(F.concat_ws("&", pairs), lambda text: F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
         if not drop_viewport:
             return F.concat(origin(p), p["path"], query, p["fragment"])

@@ -61,8 +61,8 @@ def safe_segment(value: Column, fallback: Column | str) -> Column:
     return F.coalesce(F.nullif(v, F.lit("")), F.lit(fallback) if isinstance(fallback, str) else fallback)
 
 
-def file_name(index: Column, pattern: str = "image_{index}_{width}x{height}.{ext}") -> Column:
-    """File name of an image row from a pattern of six tokens; unsafe characters replaced, 170 characters."""
+def file_name(index: Column, pattern: str = "image_{index}_{width}x{height}.{ext}", most: int | None = None) -> Column:
+    """File name of an image row from a pattern of six tokens; unsafe characters replaced; cut to ``most`` characters if given."""
     host = let(parts(c("url")), lambda p: F.concat(p["host"], F.when(p["port"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))))
     ext = safe_segment(c("ext"), "img")
     out = F.lit(pattern)
@@ -72,7 +72,8 @@ def file_name(index: Column, pattern: str = "image_{index}_{width}x{height}.{ext
     }.items():
         out = F.replace(out, F.lit(token), value)
     out = safe_segment(out, F.concat(F.lit("image_"), index.cast("string")))
-    return F.left(F.when(out.rlike(r"(?i)\.[a-z0-9]{2,5}$"), out).otherwise(F.concat(out, F.lit("."), ext)), F.lit(170))
+    named = F.when(out.rlike(r"(?i)\.[a-z0-9]{2,5}$"), out).otherwise(F.concat(out, F.lit("."), ext))
+    return F.left(named, F.lit(most)) if most else named
 
 
 def name_files(images: DataFrame, pattern: str = "image_{index}_{width}x{height}.{ext}") -> DataFrame:

@@ -330,6 +330,7 @@ def validate_payloads(jobs: DataFrame) -> DataFrame:
     target = _text("$.targetUrl")
     every = F.concat(F.filter(F.array(target), lambda u: u != ""), urls)
     is_obj = F.coalesce(F.schema_of_variant("__p").startswith("OBJECT"), F.lit(False))
+    # The messages below, in the order of their rules.
     hook = "$.notify.webhook"
     hook_event, timeout = _text(f"{hook}.eventType"), _text(f"{hook}.timeoutMs").try_cast("double")
     webhook = (
@@ -340,7 +341,7 @@ def validate_payloads(jobs: DataFrame) -> DataFrame:
     extraction = (
         F.when(~is_obj, "Extraction payload must be an object")
         .when(F.size(every) == 0, "Extraction payload requires targetUrl or targetUrls")
-        .when(F.exists(F.slice(every, 1, 10), lambda u: ~is_http(u)), "Extraction payload URLs must be valid http/https URLs")
+        .when(F.exists(every, lambda u: ~is_http(u)), "Extraction payload URLs must be valid http/https URLs")
     )
     monitor = (
         F.when(~is_obj, "Monitor payload must be an object")

@@ -70,10 +70,9 @@ def main_text(html: Column) -> Column:
     return F.coalesce(*options, visible_text(html))
 
 
-def text_rows(pages: DataFrame, metadata: bool = True, max_content: int = 12_000) -> DataFrame:
-    """Article text row; the stored content column is cut to ``max_content`` (1000..100000)."""
+def text_rows(pages: DataFrame, metadata: bool = True, max_content: int | None = None, excerpt: int = 280) -> DataFrame:
+    """Article text row with the first ``excerpt`` characters; the content is whole unless ``max_content`` cuts it."""
     h, body = c("html"), c("__main")
-    keep = max(1000, min(100_000, int(max_content)))
     meta = (lambda col: col) if metadata else (lambda col: F.lit(""))
     return pages.withColumn("__main", main_text(h)).select(
         "page_id", "url",
@@ -87,8 +86,8 @@ def text_rows(pages: DataFrame, metadata: bool = True, max_content: int = 12_000
         count_tag(h, "h2").alias("h2_count"),
         count_tag(h, "p").alias("paragraph_count"),
         word_count(body).alias("word_count"),
-        F.left(body, F.lit(280)).alias("excerpt"),
-        F.left(body, F.lit(keep)).alias("content"),
+        F.left(body, F.lit(excerpt)).alias("excerpt"),
+        (body if max_content is None else F.left(body, F.lit(max_content))).alias("content"),
     )
 
 

@@ -191,7 +191,7 @@ def result_cards(pages: DataFrame, nodes: DataFrame, switches: dict[str, bool] |
     rows = rows.select(
         "page_id", "anchor", "url", first_of(c("attrs")["aria-label"], c("inner_label"), c("headline"), c("small"), c("anchor_text")).alias("map_name"),
         first_of(c("star"), c("stars"), c("score")).alias("map_rating"), F.coalesce(F.get("info", F.lit(0)), F.lit("")).alias("map_category"),
-        F.array_join(F.slice("info", 2, 1000), " · ").alias("map_address"), at["latitude"].alias("map_latitude"), at["longitude"].alias("map_longitude"),
+        F.array_join(F.slice("info", F.lit(2), F.size("info")), " · ").alias("map_address"), at["latitude"].alias("map_latitude"), at["longitude"].alias("map_longitude"),
         F.lit("").alias("map_phone"), F.lit("").alias("map_website"), F.lit("").alias("map_hours"), F.coalesce(reviews, F.lit(0.0)).alias("map_review_count"), F.coalesce("images", F.lit(0)).alias("map_image_count"),
     )
     rest = [n for n in rows.columns if n not in ("page_id", "url", "anchor")]

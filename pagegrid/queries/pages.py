@@ -38,7 +38,7 @@ _H1 = "regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)"
 @query(
     "f10_text_rows",
     f"""SELECT page_id, url, {s.tag_text('html', 'title')} AS title, '' AS description, '' AS author, '' AS publish_date, '' AS canonical_url, {s.lang('html')} AS lang, {s.strip(_H1)} AS h1, {s.count_tag('html', 'h2')} AS h2_count,
-      {s.count_tag('html', 'p')} AS paragraph_count, {s.words('main')} AS word_count, left(main, 280) AS excerpt, left(main, 12000) AS content FROM (SELECT *, {_MAIN} AS main FROM pages)""",
+      {s.count_tag('html', 'p')} AS paragraph_count, {s.words('main')} AS word_count, left(main, 280) AS excerpt, main AS content FROM (SELECT *, {_MAIN} AS main FROM pages)""",
 )
 def _(t):
     return pages.text_rows(t.pages)

@@ -214,3 +214,10 @@ def test_selector_forms(spark):
     for bad in ("p >", "a:hover", "p:nth-child(x)", ""):
         with pytest.raises(ValueError):
             nodes.select(n, bad)
+
+
+def test_long_lists_are_found(spark):
+    html = "<body><div><ul>" + "".join(f'<li class="row"><a href="/i/{i}">Item {i}</a><b>price {i}</b></li>' for i in range(260)) + "</ul></div></body>"
+    groups, items = autodetect.repeating_groups(nodes.node_table(page(spark, html)))
+    best = autodetect.best_group(groups, items).first()
+    assert best["item_count"] == 260 and best["signature"] == "li|row"

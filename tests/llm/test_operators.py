@@ -179,6 +179,30 @@ def test_schedule_is_even(spark):
     seen = Counter()
     for k, r in enumerate(got, 1):
         assert r["rank"] == seen[r["key"]]
+def test_mixture_follows_the_schedule(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 8), s) for s, n in (("a", 100), ("b", 200), ("c", 400)) for i in range(n * 1000, n * 1001)], "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r for r in mixing.mix(docs, block_tokens=8).collect()}
+    assert all(len(r["slots"]) == -(-r["taken"] // 8) for r in plain.values())
+    got = mixing.mixed_rows(docs, block_tokens=8, slot_col="slot")
+    assert got.columns == [*docs.columns, "slot"]
+    rows = sorted((r["slot"], r["source"], r["doc_id"]) for r in got.collect())
+    # one document per slot: the slots are numbered without gaps, and each copy has its own
+    assert [r[0] for r in rows] == list(range(len(rows)))
+    assert Counter((d, s) for s, _, d in rows) == Counter((d, s) for d, r in plain.items() for s in r["slots"])
+    whole, seen = Counter(r[1] for r in rows), Counter()
+    for k, (_, source, _) in enumerate(rows, 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - k * n / len(rows)) < 5 for s, n in whole.items())
+
+
+def test_slots_of_long_and_equal_rows(odd):
+    rows = mixing.mix(odd, block_tokens=64).where("taken > 0").collect()
+    assert all(len(r["slots"]) == -(-r["taken"] // r["size"]) and None not in r["slots"] and sorted(r["slots"]) == r["slots"] for r in rows)
+    got = mixing.mixed_rows(odd, block_tokens=64, slot_col="slot").select("doc_id", "slot").collect()
+    known = {(r["doc_id"], s) for r in rows for s in r["slots"]}
+    assert got and all((r["doc_id"], r["slot"]) in known for r in got)
+
+
         seen[r["key"]] += 1
         assert all(abs(seen[s] - k * w) < 4 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
 

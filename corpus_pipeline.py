@@ -32,8 +32,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of at most 2048 tokens, each with its place in a sequence."""
-    return packing.packed_documents(docs, TOKENIZER)
+    """Documents become pieces of at most 2048 tokens, each with its token ids, its copy of the document and its place in a
+    sequence.
+    """
+    return packing.packed_documents(docs, TOKENIZER, with_ids=True, with_copy=True)
 
 
 STAGES = [("quality_rules", rules_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

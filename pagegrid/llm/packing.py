@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrid.llm.common import running_before, slices_for, spread_position, text_of
-from pagegrid.plans.lineage import cut
+from pagegrid.plans.lineage import cut, stage
 
 
 @lru_cache(maxsize=2)
@@ -36,9 +36,10 @@ def _tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``tokenizer``: path of the ranks and split pattern. Gives (id, piece, start, length, ids_crc32[, ids]): documents as token ids with ``end_id`` behind, cut only if longer than
-    ``capacity``; the first piece of a cut document takes the remainder, all others are full.
+def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_row: bool = False) -> DataFrame:
+    """``tokenizer``: path of the ranks and split pattern. Gives (id, piece, start, length, ids_crc32[, ids][, row]): documents as token ids with ``end_id`` behind, cut only if longer than
+    ``capacity``; the first piece of a cut document takes the remainder, all others are full. ``row`` numbers the rows of
+    ``docs``; it holds for one reading of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -58,10 +59,11 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end
             columns = [batch.column("id").take(pa.array(at, pa.int64()))]
             columns += [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             columns += [pa.array(cuts, pa.list_(pa.int64()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            columns += [batch.column("row").take(pa.array(at, pa.int64()))] if with_row else []
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["row"] * with_row])
 
-    read = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
-    return read.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    read = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"), *[F.monotonically_increasing_id().alias("row")] * with_row)
+    return read.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", row long" * with_row)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> Counter:
@@ -127,6 +129,23 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer: tuple[str, str], capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), capacity).withColumnRenamed("id", id_col)
+def copy_numbers(pieces: DataFrame) -> DataFrame:
+    """(row, copy) for each row of the documents behind ``pieces`` (id, piece, row): rows of the same id are numbered from 0."""
+    # keys must not be null; ids that share a hash only share their numbers
+    rows = cut(pieces.where("piece = 0").select("row", F.xxhash64("id").alias("key"), F.xxhash64("row").alias("order")))
+    n = slices_for(rows.count())
+    return running_before(rows.withColumn("slice", spread_position(F.col("order"), n)), ["key"], ["order"], F.lit(1), "copy", "slice").select("row", "copy")
+
+
+def packed_documents(docs: DataFrame, tokenizer: tuple[str, str], capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_copy: bool = False) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32[, ids][, copy], sequence_id, offset. ``copy`` tells rows of the same id
+    apart: the pieces of one row have the same number.
+    """
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, with_copy)
+    if not with_copy:
+        return pack(pieces, capacity).withColumnRenamed("id", id_col)
+    # places and numbers are made of lengths and ids only; tokens are moved once
+    pieces = stage(pieces, "pieces")
+    placed = pack(pieces.select("row", "piece", "length"), capacity).drop("length")
+    numbered = placed.join(copy_numbers(pieces), "row").select("row", "piece", "copy", "sequence_id", "offset")
+    return pieces.join(numbered, ["row", "piece"]).select(F.col("id").alias(id_col), "piece", *pieces.columns[2:-1], "copy", "sequence_id", "offset")

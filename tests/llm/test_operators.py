@@ -240,6 +240,22 @@ def test_fullest_is_fullest():
         got = packing.fullest(counts, 64)
         top = max(counts)
         items = list(counts.elements())
+def test_packed_copies_are_told_apart(spark, odd):
+    text = " ".join(f"word{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text[:300]), (2, text), (None, text), (None, "a")], "doc_id long, text string").repartition(3)
+    plain = packing.packed_documents(docs, TOKENIZER, capacity=64, with_ids=True)
+    got = packing.packed_documents(docs, TOKENIZER, capacity=64, with_ids=True, with_copy=True)
+    assert set(got.columns) == {*plain.columns, "copy"}
+    documents = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: r["start"]):
+        documents[r["doc_id"], r["copy"]] += r["ids"]
+    model = packing._tokenizer(*TOKENIZER)
+    assert Counter((i, tuple(ids)) for (i, _), ids in documents.items()) == Counter((r["doc_id"], (*model.encode_ordinary(r["text"]), 0)) for r in docs.collect())
+    assert sorted(documents, key=repr) == sorted([(1, 0), (1, 1), (1, 2), (2, 0), (None, 0), (None, 1)], key=repr)
+    places = packing.packed_documents(odd, TOKENIZER, capacity=256, with_copy=True).collect()
+    assert len(places) == packing.packed_documents(odd, TOKENIZER, capacity=256).count() == len({(r["doc_id"], r["copy"], r["piece"]) for r in places})
+
+
         items.remove(top)
         best = max(s for m in range(1 << len(items)) if (s := top + sum(x for i, x in enumerate(items) if m >> i & 1)) <= 64)
         assert sum(k * n for k, n in got.items()) == best and all(got[k] <= counts[k] for k in got)

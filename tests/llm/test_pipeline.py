@@ -64,6 +64,15 @@ def test_stages_on_documents(spark, tmp_path):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed)
 
 
+def test_pipeline_returns_the_packed_tokens(spark):
+    packing = corpus_pipeline.STAGES[-1][1]
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "one two"), (2, "four")], "doc_id long, text string")
+    rows = packing(spark, docs, SF).collect()
+    assert all(len(r["ids"]) == r["length"] for r in rows)
+    assert {(r["doc_id"], r["copy"]) for r in rows} == {(1, 0), (1, 1), (1, 2), (2, 0)}
+    assert len({(r["doc_id"], tuple(r["ids"])) for r in rows}) == 3
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_rows(spark, odd, none, tmp_path, stage):
     name, run = corpus_pipeline.STAGES[stage]

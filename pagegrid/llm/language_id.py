@@ -5,7 +5,7 @@ so one lookup of an n-gram returns the set of all languages that contain it (the
 hits are counted per language; a filter's own false-positive rate, known from how full it is, is taken out of its count;
 the largest corrected count decides.
 
-The filters are fitted on a bounded sample (``fit_docs`` documents per language, chosen by hash) and have a fixed size
+The filters are fitted on a bounded sample (``fit_docs`` documents per language, chosen by the hash of id and text) and have a fixed size
 (``positions`` times one word per 64 languages), whatever the corpus. Prediction covers whole texts, row by row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with a null language are not learned
@@ -130,13 +130,14 @@ class Filters:
         return [self.languages[i] for i in best], np.where(top > 0, top / np.maximum(top + second, 1e-9), 0.0)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3, fit_docs: int = 4000, profile: int = 20_000, share: float = 0.25, least: int = 3, positions: int = 1 << 19, hashes: int = 3) -> Filters | None:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", n: int = 3, fit_docs: int = 4000, profile: int = 20_000, share: float = 0.25, least: int = 3, positions: int = 1 << 19, hashes: int = 3) -> Filters | None:
     """Filters from ``docs``, which hold training rows only. An n-gram belongs to a language if its rate there is at least
     ``share`` of its highest rate; a language keeps its ``profile`` most frequent ones.
     """
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("text is not null")
     per = known.groupBy("lang").agg(F.count("*").alias("n"))
-    part = (F.xxhash64("text").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.lit(float(fit_docs)) / F.col("n")
+    # rows are drawn one by one: copies of a text are not taken or left together
+    part = (F.xxhash64("id", "text").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.lit(float(fit_docs)) / F.col("n")
     sample = known.join(per, "lang").where(part).select("lang", letters_of(F.col("text")).alias("text"))
 
     def count(batches):
@@ -184,5 +185,5 @@ def identify(docs: DataFrame, filters: Filters | None, id_col: str = "doc_id", t
 
 def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Per row: id, held_out, lang_pred, score; learns from the rows that are not held out."""
-    filters = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, **options)
+    filters = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, id_col, **options)
     return identify(docs, filters, id_col, text_col).withColumn("held_out", held_out(F.col(id_col)))

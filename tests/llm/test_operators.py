@@ -317,6 +317,21 @@ def test_filters_contain_their_grams():
     for i, lang in enumerate(made.languages):
         assert (made.lookup(grams[lang])[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).all()
     assert made.false_positives().max() < 0.01
+def test_languages_of_few_texts_are_learned_within_bounds(spark, monkeypatch):
+    made = _languages(random.Random(8), 60)
+    texts = {lang: next(t for _, t, x in made if x == lang) for lang in ("aa", "bb", "cc")}
+    docs = spark.createDataFrame([(i, texts[lang], lang) for k, lang in enumerate(texts) for i in range(k * 3000, k * 3000 + 3000)], "doc_id long, text string, lang string")
+    got = language_id.learn_and_identify(docs, fit_docs=100, positions=1 << 14).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() == 9000
+    sampled = []
+    real = language_id.cut
+    monkeypatch.setattr(language_id, "cut", lambda df: sampled.append(real(df)) or sampled[-1])
+    language_id.fit(docs, fit_docs=100, positions=1 << 14)
+    grams = len(f" {texts['aa'].strip()} ") - 2
+    times = sampled[0].where("lang = 'aa'").groupBy().sum("times").first()[0]
+    assert 50 * grams <= times <= 200 * grams
+
+
 
 
 def test_no_training_rows(none, odd, spark):

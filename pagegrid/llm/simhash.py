@@ -6,8 +6,9 @@ kept bits of some table: no such pair is lost. For r = 2 these are seven tables
 
 Tables hold distinct fingerprints, so copies cost nothing. A bucket of up to ``bucket`` fingerprints is linked in one
 place and gives a spanning forest of its links, not all pairs. A larger bucket is covered again with other vectors, which
-keeps more bits; after three levels about five bits are free, so no bucket can be large. Links become components by
-alternating large-star and small-star steps, each cut to the shared folder.
+keeps more bits. At radius 2 at most 11 bits are free after three levels and 9 after four, so a bucket of the last level
+holds at most 512 fingerprints and is linked whole. Links become components by alternating large-star and small-star
+steps, each cut to the shared folder.
 
 Defined results: null texts count as empty and, like texts without a word, have fingerprint zero; ids may be null (they
 never name a component with other ids) or repeat; an empty table gives an empty result; columns beyond id and text are
@@ -94,12 +95,12 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(nodes: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 2, bucket: int = 256, levels: int = 4) -> DataFrame:
     """(a, b) of distinct fingerprints within ``radius``: enough links to connect all that are connected."""
     found = None
     keyed = nodes.select("fp", F.lit(0).cast("long").alias("kept"), F.lit(0).alias("table"))
     tables = (1 << (radius + 1)) - 1
-    for level in range(4):
+    for level in range(levels):
         options = F.array(*[F.struct(F.lit(i + 1).alias("t"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(covering_masks(radius, level))])
         opened = keyed.select("fp", "kept", "table", F.explode(options).alias("o")).select(
             "fp", F.col("kept").bitwiseOR(F.col("o.mask")).alias("kept"), (F.col("table") * (tables + 1) + F.col("o.t")).alias("table"),
@@ -109,7 +110,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
         pairs = counted.where((F.col("n") == 2) & near).select("a", "b")
         more = cut(opened.join(counted.where("n > 2").select("table", "slot", "n"), ["table", "slot"]))
-        gathered = more.where(F.col("n") <= bucket).groupBy("table", "slot").agg(F.collect_list("fp").alias("fps")).select("fps")
+        last = level == levels - 1
+        gathered = more.where(F.lit(last) | (F.col("n") <= bucket)).groupBy("table", "slot").agg(F.collect_list("fp").alias("fps")).select("fps")
 
         def forests(batches):
             for batch in batches:
@@ -120,10 +122,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
         here = pairs.unionByName(gathered.mapInArrow(forests, "a long, b long"))
         found = here if found is None else found.unionByName(here)
         keyed = more.where(F.col("n") > bucket).select("fp", "kept", "table")
-        if keyed.isEmpty():
+        if last or keyed.isEmpty():
             break
-    else:
-        raise ValueError("buckets stay large: choose a larger bucket")
     return found.distinct()
 
 

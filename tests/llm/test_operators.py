@@ -78,6 +78,13 @@ def test_covering_finds_every_pair(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_last_level_takes_every_bucket(spark):
+    cloud = [i ^ (1 << 40) for i in range(600)]
+    nodes = spark.createDataFrame([(p,) for p in cloud], "fp long")
+    found = simhash.components(simhash.links(nodes, bucket=2)).collect()
+    assert {r["root"] for r in found} == {min(cloud)} and {r["node"] for r in found} | {min(cloud)} == set(cloud)
+
+
 @pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover(radius):
     rng = random.Random(radius)

@@ -42,7 +42,7 @@ def _(t):
     f"SELECT {s.url_full('url')} AS url, CAST(0 AS BIGINT) AS scanned_pages, CAST(len(list_distinct({s.emails('html')})) AS BIGINT) AS email_count FROM pages",
 )
 def _(t):
-    return links.deep_scan(t.pages, depth=2, cap=20)
+    return links.deep_scan(t.pages, depth=2)
 
 
 _ROW_URLS = f"""WITH v AS (SELECT page_id, url AS v FROM pages UNION ALL SELECT page_id, 'see ' || replace(url, 'http:', 'https:') || ' or "https://www.google.com/search?q=' || page_id || '" now' FROM pages),

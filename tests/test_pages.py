@@ -114,6 +114,20 @@ def test_crawl_depth_cycle_and_missing_pages(spark):
     assert got[1]["https://h.example/"] == (1, 2) and got[3]["https://h.example/"] == (3, 4) and got[9] == got[3]
 
 
+def test_deep_scan_query_follows_every_link(spark):
+    from types import SimpleNamespace
+
+    from pagegrid.plans import registry
+
+    registry.load()
+    names = [f"https://h.example/p{i}" for i in range(30)]
+    body = "".join(f'<a href="{n}">x</a>' for n in names)
+    pages_ = spark.createDataFrame([(i, n, f"<body>{body} mail{i}@h.example</body>") for i, n in enumerate(names)], "page_id long, url string, html string")
+    got = registry._QUERIES["j10_deep_scan"](SimpleNamespace(pages=pages_))
+    assert {(r["scanned_pages"], r["email_count"]) for r in got.collect()} == {(29, 30)}
+    assert {r["scanned_pages"] for r in links.deep_scan(pages_, cap=20).collect()} == {19, 20}
+
+
 CARDS = "".join(f'<article class="result-card x{i % 2}"><h2>Name {i}</h2><p>City <em>{i}</em></p><a href="/item/{i}">more</a></article>' for i in range(1, 7))
 LIST = f"<html><body><div id='main'><section>{CARDS}</section></div><p hidden>secret<p style='display: none'>also<footer><button>Show more</button><a class=next href='?page=2'>Next</a></footer></body></html>"
 

@@ -26,6 +26,8 @@ from pagegrid.plans.lineage import cut
 
 #: characters hashed at a time; longer texts are taken in overlapping pieces
 _CHUNK = 1 << 19
+#: counts of languages are sent to every task only up to this many
+_SENT_LANGUAGES = 10_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -138,6 +140,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     per = known.groupBy("lang").agg(F.count("*").alias("n"))
     # rows are drawn one by one: copies of a text are not taken or left together
     part = (F.xxhash64("id", "text").bitwiseAND((1 << 30) - 1) / float(1 << 30)) < F.lit(float(fit_docs)) / F.col("n")
+    # joined inside the scan: only n-gram counts are shuffled
+    per = F.broadcast(per) if per.count() <= _SENT_LANGUAGES else per
     sample = known.join(per, "lang").where(part).select("lang", letters_of(F.col("text")).alias("text"))
 
     def count(batches):

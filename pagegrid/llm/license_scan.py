@@ -59,10 +59,10 @@ def _templates(spark) -> DataFrame:
 def hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, template, label, phrase, grams, diagonal, seen): verified template positions of a diagonal as bits."""
     words = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words"))
-    grams = words.where(F.size("words") >= K).select(
-        "id", "key", "words", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: _gram(F.col("words"), i))).alias("pos", "gram"),
-    )
-    met = grams.join(F.broadcast(_templates(docs.sparkSession)), "gram").where(F.slice("words", F.col("pos") + 1, F.lit(K)) == F.col("standing"))
+    # each gram takes its own words along, not the whole text
+    placed = F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.struct(i.alias("pos"), F.array(*[F.get("words", i + k) for k in range(K)]).alias("own")))
+    grams = words.where(F.size("words") >= K).select("id", "key", F.explode(placed).alias("g")).select("id", "key", "g.*").withColumn("gram", _gram(F.col("own"), F.lit(0)))
+    met = grams.join(F.broadcast(_templates(docs.sparkSession)), "gram").where(F.col("own") == F.col("standing"))
     return met.groupBy("id", "key", "template", "label", "phrase", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"),
     )

@@ -135,9 +135,10 @@ def _mixed(docs, id_col, text_col, source_col, weights, most, block_tokens, seed
         *[F.max(F.when(F.floor(F.col("rank") / F.col("blocks")) == p, F.col("slot"))).alias(f"slot{p}") for p in range(_passes(most))],
     )
     n = slices_for(rows)
-    streamed = running_before(sizes.withColumn("slice", spread_position(F.col("order"), n)), ["key"], ["order", "id", "text_key", "row"], F.col("size"), "start", "slice")
-    touched = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_tokens}"), F.expr(f"(start + size - 1) div {block_tokens}")))
-    pieces = streamed.select("id", "row", "key", "text_key", "size", "start", F.explode_outer(touched).alias("block"))
+    # documents without words take no part
+    streamed = running_before(sizes.where("size > 0").withColumn("slice", spread_position(F.col("order"), n)), ["key"], ["order", "id", "text_key", "row"], F.col("size"), "start", "slice")
+    touched = F.sequence(F.expr(f"start div {block_tokens}"), F.expr(f"(start + size - 1) div {block_tokens}"))
+    pieces = streamed.select("id", "row", "key", "text_key", "size", "start", F.explode(touched).alias("block"))
     joined = pieces.join(turns, ["key", "block"], "left")
     begin = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block, block)
@@ -148,7 +149,9 @@ def _mixed(docs, id_col, text_col, source_col, weights, most, block_tokens, seed
         F.sum(taken).cast("long").alias("taken"), *[F.max(F.when(begins, F.col(f"slot{p}"))).alias(f"slot{p}") for p in range(_passes(most))]
     )
     copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    summed = summed.withColumn("slots", F.slice(F.array(*[f"slot{p}" for p in range(_passes(most))]), F.lit(1), copies))
+    summed = summed.select("id", "key", "text_key", "size", "taken", F.slice(F.array(*[f"slot{p}" for p in range(_passes(most))]), F.lit(1), copies).alias("slots"))
+    empty = sizes.where("size = 0").select("id", "key", "text_key", "size", F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("slots"))
+    summed = summed.unionByName(empty)
     return summed.join(hint(plan.select("key", "source_size", "target")), "key")
 
 

@@ -12,10 +12,8 @@ for itself); an empty table gives an empty result; columns beyond id and text ar
 """
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrid.llm.common import running_before, slices_for, spread_position, text_of
+from pagegrid.llm.tokens import byte_level
 from pagegrid.plans.lineage import cut, stage
 
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str, pattern: str):
-    """Byte-level BPE from a file of ranks. It gives the ids of the same vocabulary's json file, several times faster."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+#: rows encoded at a time
+_ROWS = 256
 
 
 def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_row: bool = False) -> DataFrame:
-    """``tokenizer``: path of the ranks and split pattern. Gives (id, piece, start, length, ids_crc32[, ids][, row]): documents as token ids with ``end_id`` behind, cut only if longer than
+    """``tokenizer``: path of a ``tokenizers`` file and its split pattern. Gives (id, piece, start, length, ids_crc32[, ids][, row]): documents as token ids with ``end_id`` behind, cut only if longer than
     ``capacity``; the first piece of a cut document takes the remainder, all others are full. ``row`` numbers the rows of
     ``docs``; it holds for one reading of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches):
-        model = _tokenizer(*tokenizer)
-        for batch in batches:
+        model = byte_level(*tokenizer)
+        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, max(b.num_rows, 1), _ROWS)):
             at, out, cuts = [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*model.encode_ordinary(text), end_id], dtype="<u4")
+            for row, raw in enumerate(model.raw(batch.column("text").to_pylist())):
+                ids = np.append(np.frombuffer(raw, np.int32).astype("<u4"), np.array([end_id], "<u4"))
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -2,7 +2,11 @@
 
 Random Fourier features cos(Wx + b) turn a Gaussian kernel over the standardised statistics into a linear model. Each
 partition sums its part of the normal equations, the driver adds these (a fixed size each) and solves. Scores are then
-mapped to probabilities by pool-adjacent-violators on rows the ridge has not seen.
+mapped to probabilities by pool-adjacent-violators on rows the ridge has not seen; 2 % of a sigmoid of the ridge score
+is mixed in, which keeps order inside its flat stretches.
+
+Results do not depend on how rows lie in partitions: means are sums of decimals, features are multiples of 2^-16, whose
+products add up exactly in any order, and a row's score is summed term by term.
 
 The model is fitted on at most about ``fit_rows`` labelled rows, chosen by hash. Statistics are column expressions over
 whole texts; scoring is local to a row and never shuffles.
@@ -24,6 +28,8 @@ from pagegrid.llm.language_id import held_out
 from pagegrid.llm.quality_rules import with_statistics
 from pagegrid.plans.lineage import cut
 
+#: features are multiples of 1 / _GRID
+_GRID = 65536.0
 #: inputs of the kernel
 INPUTS = ["r_symbols", "r_mean_word", "r_dup_lines", "r_repeat", "r_upper", "r_marks", "r_digits", "log_words", "log_lines"]
 
@@ -48,8 +54,12 @@ class Kernel:
     phase: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """Multiples of 2^-16 between -1 and 1, the last one 1."""
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.column_stack([np.cos(z @ self.directions + self.phase) * np.sqrt(2 / len(self.phase)), np.ones(len(x))])
+        turned = np.tile(self.phase, (len(x), 1))
+        for k, direction in enumerate(self.directions):  # a matrix product would round by the place of a row
+            turned += z[:, k, None] * direction
+        return np.column_stack([np.round(np.cos(turned) * _GRID) / _GRID, np.ones(len(x))])
 
 
 def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +81,16 @@ class Classifier:
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.kernel.features(x) @ self.weights
+        z, out = self.kernel.features(x), np.zeros(len(x))
+        for k, w in enumerate(self.weights):
+            out += z[:, k] * w
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.raw(x)
         fitted = np.interp(raw, *self.knots) if self.knots else raw
         # the raw score keeps order inside a flat stretch of the calibration
-        return np.clip(0.98 * fitted + 0.02 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+        return np.round(np.clip(0.98 * fitted + 0.02 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1), 9)
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, label_col: str, learn_from: Column | None = None) -> DataFrame:
@@ -93,15 +106,16 @@ def training_rows(stats: DataFrame, labels: DataFrame, fit_rows: int, id_col: st
 def fit(rows: DataFrame, features: int = 192, width: float = 3.0, ridge: float = 1e-3, seed: int = 11, fit_tasks: int = 16) -> Classifier | float:
     """A classifier, or one score for all where there is nothing to tell apart. ``rows`` as of ``training_rows``."""
     rows = cut(rows.drop("id").coalesce(fit_tasks))
-    stat = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share"), *[f(c).alias(f"{k}_{c}") for c in INPUTS for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    exact = {c: F.round(F.least(F.col(c), F.lit(1e9)), 6).cast("decimal(16,6)") for c in INPUTS}
+    stat = rows.agg(F.count("*").alias("n"), F.sum(F.col("label").cast("int")).alias("good"), *[F.sum(x * y).alias(f"{k}_{c}") for c, x in exact.items() for k, y in (("m", F.lit(1)), ("s", x))]).first()
     if not stat["n"]:
         return 0.5
-    if stat["share"] in (0.0, 1.0):
-        return float(stat["share"])
+    if stat["good"] in (0, stat["n"]):
+        return float(stat["good"] > 0)
     random = np.random.default_rng(seed)
-    kernel = Kernel(
-        np.array([stat[f"m_{c}"] for c in INPUTS]), np.array([stat[f"s_{c}"] or 1.0 for c in INPUTS]), random.normal(size=(len(INPUTS), features)) / width, random.uniform(0, 2 * np.pi, features),
-    )
+    mean = [stat[f"m_{c}"] / stat["n"] for c in INPUTS]
+    spread = [float(max(stat[f"s_{c}"] / stat["n"] - m * m, 0)) ** 0.5 for c, m in zip(INPUTS, mean, strict=True)]
+    kernel = Kernel(np.array(mean, float), np.array([s if s > 1e-5 else 1.0 for s in spread]), random.normal(size=(len(INPUTS), features)) / width, random.uniform(0, 2 * np.pi, features))
 
     def sums(batches):
         total = np.zeros((features + 1, features + 2))
@@ -113,7 +127,9 @@ def fit(rows: DataFrame, features: int = 192, width: float = 3.0, ridge: float =
     total = np.zeros((features + 1, features + 2))
     for r in rows.where("not calibrate").mapInArrow(sums, "part binary").toLocalIterator():  # at most fit_tasks of a fixed size
         total += np.frombuffer(r["part"]).reshape(total.shape)
-    weights = np.linalg.solve(total[:, :-1] + ridge * max(total[-1, -2], 1.0) / 100 * np.eye(features + 1), total[:, -1])
+    # features of the kernel have length sqrt(2 / features)
+    size = np.append(np.full(features, np.sqrt(2 / features)), 1.0)
+    weights = size * np.linalg.solve(total[:, :-1] * np.outer(size, size) + ridge * max(total[-1, -2], 1.0) / 100 * np.eye(features + 1), total[:, -1] * size)
     model = Classifier(kernel, weights)
 
     def raw(batches):

@@ -42,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: ranks and split pattern of the byte-level vocabulary that documents are packed with
-TOKENIZER = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+#: file and split pattern of the byte-level vocabulary that documents are packed with
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 @query("op1_balanced_shards")
@@ -64,7 +64,7 @@ def suffixes(spark, sf_dir):
 
 @query("op4_source_mixing")
 def source_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slots")
 
 
 @query("op5_license_scan")

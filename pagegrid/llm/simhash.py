@@ -48,7 +48,7 @@ def majority_bits(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
             sums = np.zeros((len(some), 64), np.int64)
             if len(some) == 1:  # a single long row is counted in parts
                 for at in range(start, ends[hi - 1], _CHUNK):
-                    sums[0] += np.unpackbits(values[at : min(at + _CHUNK, ends[hi - 1])].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+                    sums[0] += np.unpackbits(values[at : min(at + _CHUNK, ends[hi - 1])].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             else:
                 bits = np.unpackbits(values[start : ends[hi - 1]].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 sums = np.add.reduceat(bits, (ends[some] - counts[some] - start).astype(np.int64), axis=0, dtype=np.int32)

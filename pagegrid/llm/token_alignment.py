@@ -17,29 +17,26 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrid.llm.tokens import byte_level, byte_level_bytes, lengths, piece_bytes
+from pagegrid.llm.tokens import byte_level_bytes, lengths, merges, pieces
 from pagegrid.plans.lineage import stage
 
-#: characters aligned at a time, and different pairs counted in a task before they are handed on
-_CHUNK, _HELD = 1 << 20, 1 << 20
+#: characters aligned at a time, different pairs counted in a task before they are handed on, and rows looked up at a time
+_CHUNK, _HELD, _ROWS = 1 << 19, 1 << 20, 256
 
 
 @lru_cache(maxsize=1)
 def _models(path_a: str, pattern: str, path_b: str):
-    from sentencepiece import SentencePieceProcessor
-
-    a, b = byte_level(path_a, pattern, True), SentencePieceProcessor(model_file=path_b)
-    bytes_a, bytes_b = byte_level_bytes(a.model), piece_bytes(b)
+    a, b = merges(path_a, pattern), pieces(path_b)
+    bytes_a, bytes_b = byte_level_bytes(path_a), b.spelled
     # an id with what follows it: "," inside a group, "|" behind the last id of A, ";" behind the last of B
     written = [f"{i}{mark}".encode() for n, marks in ((len(bytes_a), ",|"), (len(bytes_b), ",;")) for i in range(n) for mark in marks]
-    return a, b, bytes_a, bytes_b, lengths(bytes_a), lengths(bytes_b), written
+    return a, b, lengths(bytes_a), lengths(bytes_b), written
 
 
 def _nearest(lo: np.ndarray, hi: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +80,16 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, borders_a: np.ndarray, b
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    borders = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.fromiter(chain.from_iterable(lists), np.int64, borders[-1]), borders
+def _flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(raw), np.int32).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])
 
 
 def align(texts: list[str], models) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Per text: numbers of tokens of A, of B and of groups, and the groups as written; ids of A and B of all links."""
-    a, b, bytes_a, bytes_b, sizes_a, sizes_b, written = models
-    ids_a, ids_b = a.encode([" " + t if t else "" for t in texts]), b.encode(texts, num_threads=1)
-    for i, text in enumerate(texts):
-        whole = b" " + text.encode() if text else b""
-        if b"".join(map(bytes_a.__getitem__, ids_a[i])) != whole or b"".join(map(bytes_b.__getitem__, ids_b[i])) != whole:
-            ids_a[i] = ids_b[i] = []
+    a, b, sizes_a, sizes_b, written = models
+    ids_b = b.raw(texts)
+    # a byte-level vocabulary spells every text; one that B does not spell has no tokens
+    ids_a = a.raw([" " + t if y else "" for t, y in zip(texts, ids_b, strict=True)])
     (flat_a, borders_a), (flat_b, borders_b) = _flat(ids_a), _flat(ids_b)
     cuts_a, cuts_b = shared_cuts(np.cumsum(sizes_a[flat_a]), np.cumsum(sizes_b[flat_b]), borders_a, borders_b)
     groups = np.diff(np.searchsorted(cuts_a, borders_a))
@@ -106,7 +100,7 @@ def align(texts: list[str], models) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     before_b = (cuts_a + 1)[np.cumsum(last_b) - last_b] if len(cuts_a) else before_a
     codes = np.empty(len(flat_a) + len(flat_b), np.int64)
     codes[np.arange(len(flat_a)) + before_a] = flat_a * 2 + last_a
-    codes[np.arange(len(flat_b)) + before_b] = (flat_b + len(bytes_a)) * 2 + last_b
+    codes[np.arange(len(flat_b)) + before_b] = (flat_b + len(sizes_a)) * 2 + last_b
     ends = borders_a + borders_b
     lines = [b"".join(map(written.__getitem__, codes[lo:hi].tolist()))[:-1] for lo, hi in zip(ends, ends[1:], strict=False)]
     return np.diff(borders_a), np.diff(borders_b), groups, lines, flat_a[cuts_a], flat_b[cuts_b]
@@ -123,8 +117,9 @@ def _chunks(texts: list[str]):
 
 
 def alignments(docs: DataFrame, tokenizers: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
-    """(id, n_a, n_b, n_groups, groups_sha256, a, b[, groups]): ``a`` and ``b`` are the ids of the links in order, ``groups``
-    is the alignment as written. ``tokenizers``: path and split pattern of A, path of B.
+    """(id, n_a, n_b, n_groups, groups_sha256, links[, groups]): ``links`` are the pairs of linked ids in order, packed as
+    32-bit ids of A and B in turn, ``groups`` is the alignment as written. ``tokenizers``: path and split pattern of A, path
+    of B.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -134,20 +129,25 @@ def alignments(docs: DataFrame, tokenizers: tuple[str, str, str], id_col: str =
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in _chunks(texts):
                 n_a, n_b, groups, lines, a, b = align(texts[lo:hi], models)
-                borders = pa.array(np.concatenate([[0], np.cumsum(groups)]), pa.int32())
+                links, at = np.stack([a, b], axis=1).astype("<u4").tobytes(), (np.concatenate([[0], np.cumsum(groups)]) * 8).tolist()
                 columns = [batch.column("id").slice(lo, hi - lo), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.int64())]
                 columns += [pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in lines])]
-                columns += [pa.ListArray.from_arrays(borders, pa.array(x, pa.int32())) for x in (a, b)]
+                columns += [pa.array([links[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())]
                 columns += [pa.array([x.decode() for x in lines])] if with_groups else []
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b", *["groups"] * with_groups])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links", *["groups"] * with_groups])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(work, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, b array<int>" + ", groups string" * with_groups)
+    return read.mapInArrow(work, f"id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary" + ", groups string" * with_groups)
+
+
+def _small(batches):
+    """Slices of a bounded number of rows, since a row holds all links of a document."""
+    return (b.slice(lo, _ROWS) for b in batches for lo in range(0, max(b.num_rows, 1), _ROWS))
 
 
 def _pairs(batch: pa.RecordBatch) -> np.ndarray:
-    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab")
-    return a << 32 | b
+    both = np.frombuffer(b"".join(batch.column("links").to_pylist()), "<u4").astype(np.int64).reshape(-1, 2)
+    return both[:, 0] << 32 | both[:, 1]
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         def batch_of(pairs, times):
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "n"])
 
-        for batch in batches:
+        for batch in _small(batches):
             held.append(np.unique(_pairs(batch), return_counts=True))
             size += len(held[-1][0])
             if size > _HELD:
@@ -179,7 +179,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         if held:
             yield batch_of(*merged())
 
-    parts = aligned.select("a", "b").mapInArrow(count, "pair long, n long")
+    parts = aligned.select("links").mapInArrow(count, "pair long, n long")
     counts = stage(parts.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     of_b = F.col("pair").bitwiseAND(0xFFFFFFFF)
     highest = counts.groupBy(of_b.alias("b")).agg(F.max("n").alias("highest"))
@@ -190,12 +190,12 @@ def _looked_up(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     found = counts.toArrow()  # at most sent_pairs rows
     order = np.argsort(found["pair"].to_numpy())
     sent = aligned.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy()[order] for c in ("pair", "n", "best")))
-    keep = [f for f in aligned.schema if f.name not in ("a", "b")]
+    keep = [f for f in aligned.schema if f.name != "links"]
     names = [f.name for f in keep]
 
     def look(batches):
         pairs, n, best = sent.value
-        for batch in batches:
+        for batch in _small(batches):
             at = np.searchsorted(pairs, _pairs(batch))
             borders = np.concatenate([[0], np.cumsum(batch.column("n_groups").to_numpy())])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[borders]) for x in (best, n)]
@@ -206,11 +206,15 @@ def _looked_up(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _joined(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    pair = F.shiftleft(F.col("link.a").cast("long"), 32).bitwiseOR(F.col("link.b").cast("long"))
-    links = aligned.select("row", F.explode(F.arrays_zip("a", "b")).alias("link")).groupBy("row", pair.alias("pair")).agg(F.count("*").alias("times"))
+    def held(batches):
+        for batch in (b.slice(k, 1) for b in batches for k in range(b.num_rows)):
+            pairs, times = np.unique(_pairs(batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), batch.column("row")[0].as_py())), pa.array(pairs), pa.array(times)], ["row", "pair", "times"])
+
+    links = aligned.select("row", "links").mapInArrow(held, "row long, pair long, times long")
     summed = links.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     zero = {"n_best": 0, "count_sum": 0}
-    return aligned.drop("a", "b").join(summed, "row", "left").fillna(zero, subset=list(zero))
+    return aligned.drop("links").join(summed, "row", "left").fillna(zero, subset=list(zero))
 
 
 def align_corpus(docs: DataFrame, tokenizers: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", sent_pairs: int = 2_000_000, with_groups: bool = False) -> DataFrame:

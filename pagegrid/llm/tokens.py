@@ -1,8 +1,8 @@
-"""Byte-level token ids from a ``tokenizers`` file, looked up word by word.
+"""Token ids of texts as arrays.
 
-The library's byte-pair merges never cross the words its split pattern gives, so the ids of a text are the ids of its
-words in a row. Words are encoded once by the library and remembered (a bounded number of them). Texts outside the
-Latin range, and texts that hold a special token which is not plain text, are encoded by the library as a whole.
+Byte-level merges never cross the words that the split pattern gives, so the ids of a text are the ids of its words in a
+row. Words are encoded once by the library and remembered (a bounded number of them) as the bytes of their ids. A text with
+characters outside the Latin range, or with a special token, is encoded by the library as a whole.
 """
 from __future__ import annotations
 
@@ -14,50 +14,120 @@ from itertools import chain
 import numpy as np
 
 #: words that are remembered, and their longest length in characters
-_KNOWN, _LONG = 300_000, 48
-#: characters that the split pattern and the library are known to treat alike
+_KNOWN, _LONG = 250_000, 40
+#: the split pattern whose words are known to be those of the library (fixed value of the vocabulary)
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: what sends a text to the library as a whole
 _BEYOND = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 
 
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class ByteLevel:
-    """``plain_specials``: the strings of special tokens inside a text are ordinary text."""
+    """Ids of a byte-level ``tokenizers`` file. ``plain_specials``: the strings of special tokens are ordinary text."""
 
     def __init__(self, path: str, pattern: str, plain_specials: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import regex
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = plain_specials
+        self.model = _byte_level(path, plain_specials)
         self.specials = [] if plain_specials else [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.words = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        by_word = [not _BEYOND.search(t) and not any(s in t for s in self.specials) for t in texts]
-        whole = iter(self._whole([t for t, w in zip(texts, by_word, strict=True) if not w]))
-        split = [self.words(t) if w else None for t, w in zip(texts, by_word, strict=True)]
-        new = list(set(chain.from_iterable(s for s in split if s is not None)).difference(self.known))
+        self.split = regex.compile(pattern).findall if pattern == SPLIT else None
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [_raw(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text; None where it has to be encoded as a whole."""
+        if self.split is None or _BEYOND.search(text) or any(s in text for s in self.specials):
+            return None
+        return self.split(text)
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit integers."""
+        split = [self.words(t) for t in texts]
+        whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
+        every = set(chain.from_iterable(s for s in split if s))
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > _KNOWN:
+            # words of the texts at hand are those likely to come again
+            self.known = {w: self.known[w] for w in every.intersection(self.known)}
         here = self.known
-        if len(here) + len(new) > _KNOWN:
-            here = self.known = {}
-            new = list(set(chain.from_iterable(s for s in split if s is not None)))
-        here.update(zip(new, self._whole(new), strict=True))
-        out = [next(whole) if s is None else list(chain.from_iterable(map(here.__getitem__, s))) for s in split]
+        for lo in range(0, len(new), 4096):
+            here.update(zip(new[lo : lo + 4096], self._encode(new[lo : lo + 4096]), strict=True))
+        out = [next(whole) if s is None else b"".join(map(here.__getitem__, s)) for s in split]
         for word in new:
             if len(word) > _LONG:
                 del here[word]
         return out
 
 
-@lru_cache(maxsize=4)
-def byte_level(path: str, pattern: str, plain_specials: bool) -> ByteLevel:
+class Merges:
+    """Ids of the vocabulary of a byte-level ``tokenizers`` file, special tokens being ordinary text, by another library that
+    takes the ids as the order of merges. Texts beyond the Latin range, and texts with very long runs with or without white
+    space, are left to ``ByteLevel``.
+    """
+
+    _LONG_RUN = re.compile(r"\s{500}|\S{2000}")
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        self.all = byte_level(path, pattern, True)
+        spelled, special = byte_level_bytes(path), {t.content for t in self.all.model.get_added_tokens_decoder().values()}
+        ranks = {b: i for i, b in enumerate(spelled) if b and b.decode(errors="replace") not in special}
+        self.fast = tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if pattern == SPLIT else None
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit integers."""
+        left = [self.fast is None or bool(_BEYOND.search(t) or self._LONG_RUN.search(t)) for t in texts]
+        rest = iter(self.all.raw([t for t, x in zip(texts, left, strict=True) if x]))
+        return [next(rest) if x else _raw(self.fast.encode_ordinary(t)) for t, x in zip(texts, left, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def merges(path: str, pattern: str) -> Merges:
+    return Merges(path, pattern)
+
+
+def _byte_level(path: str, plain_specials: bool):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = plain_specials
+    return model
+
+
+@lru_cache(maxsize=2)
+def byte_level(path: str, pattern: str, plain_specials: bool = False) -> ByteLevel:
     return ByteLevel(path, pattern, plain_specials)
 
 
+class Pieces:
+    """Ids of a ``sentencepiece`` model, which puts a blank before a text. A text that its pieces do not spell has none."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.spelled = piece_bytes(self.model)
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit integers."""
+        spell, out = self.spelled.__getitem__, []
+        for text, ids in zip(texts, self.model.encode(texts, num_threads=1), strict=True):
+            out.append(_raw(ids) if text and b"".join(map(spell, ids)) == b" " + text.encode() else b"")
+        return out
+
+
+@lru_cache(maxsize=1)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones stand for themselves, the others
     are counted up from 256.
@@ -67,9 +137,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_level_bytes(model) -> list[bytes]:
-    """The bytes of each id of a byte-level ``tokenizers`` model."""
-    byte, out = byte_of_char(), [b""] * model.get_vocab_size()
+def byte_level_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level ``tokenizers`` file."""
+    model, byte = _byte_level(path, True), byte_of_char()
+    out = [b""] * model.get_vocab_size()
     for token, i in model.get_vocab().items():
         # a special token is written in plain characters
         out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()

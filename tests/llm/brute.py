@@ -104,3 +104,36 @@ def targets(sizes, weights=(5, 2, 1), most=3):
 
 def held_out(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+
+
+def collocations(rows, least=10, inside=50, top=2000):
+    """rows: (lang, text). (lang, rank, phrase, a, l, r, n, score), sorted."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        f[lang], n[lang] = f[lang], n[lang]
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(AZ)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, count in f.items():
+        found = {p: a for p, a in count.items() if len(p) > 1 and a >= least}
+        gone = {q for p, a in found.items() if len(p) == 3 for q in (p[:2], p[1:]) if 100 * a >= inside * count[q]}
+        scored = []
+        for p, a in found.items():
+            if p not in gone:
+                score, k = min((1_000_000 * a * a // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(scored)[:top])]
+    return sorted(out)
+
+
+def host_and_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+    path = rest[end:]
+    return rest[:end].translate(AZ), path[: min((path.index(c) for c in "?#" if c in path), default=len(path))]

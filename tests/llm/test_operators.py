@@ -9,8 +9,25 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from pagegrid.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
-from pagegrid.llm.queries import TOKENIZER
+from pagegrid.llm import (
+    collocations,
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_alignment,
+    tokens,
+    url_filter,
+)
+from pagegrid.llm.queries import HOST_WORDS, TOKENIZER, TOKENIZERS, URL_RULES
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -215,8 +232,6 @@ def test_schedule_is_even(spark):
 
 
 def test_packing_round_trip(odd, odd_rows):
-    from tokenizers import Tokenizer
-
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = packing.packed_documents(odd, TOKENIZER, capacity=256, with_ids=True).collect()
     want, got = Counter(), Counter()
@@ -249,8 +264,8 @@ def test_packed_copies_are_told_apart(spark, odd):
     documents = defaultdict(list)
     for r in sorted(got.collect(), key=lambda r: r["start"]):
         documents[r["doc_id"], r["copy"]] += r["ids"]
-    model = packing._tokenizer(*TOKENIZER)
-    assert Counter((i, tuple(ids)) for (i, _), ids in documents.items()) == Counter((r["doc_id"], (*model.encode_ordinary(r["text"]), 0)) for r in docs.collect())
+    model = Tokenizer.from_file(TOKENIZER[0])
+    assert Counter((i, tuple(ids)) for (i, _), ids in documents.items()) == Counter((r["doc_id"], (*model.encode(r["text"], add_special_tokens=False).ids, 0)) for r in docs.collect())
     assert sorted(documents, key=repr) == sorted([(1, 0), (1, 1), (1, 2), (2, 0), (None, 0), (None, 1)], key=repr)
     places = packing.packed_documents(odd, TOKENIZER, capacity=256, with_copy=True).collect()
     assert len(places) == packing.packed_documents(odd, TOKENIZER, capacity=256).count() == len({(r["doc_id"], r["copy"], r["piece"]) for r in places})
@@ -372,6 +387,153 @@ def test_empty_tables(none, spark):
     for df in (
         exact_dedup.exact_groups(none), exact_dedup.keep_first(none), simhash.near_groups(none), simhash.keep_one(none), suffix_dedup.remove_repeats(none), quality_rules.judge(none, labels),
         quality_rules.keep_good(none, labels), license_scan.scan(none), mixing.mix(none), mixing.mixed_rows(none), packing.packed_documents(none, TOKENIZER), sharding.shard(none),
-        language_id.learn_and_identify(none), quality_classifier.classify(none, labels),
+        language_id.learn_and_identify(none), quality_classifier.classify(none, labels), token_alignment.align_corpus(none, TOKENIZERS), collocations.collocations(none),
+        url_filter.judge(none.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), spark.createDataFrame([], "url string"), URL_RULES),
     ):
         assert df.count() == 0
+
+
+def test_rows_alone_and_very_long_texts(spark):
+    """One row, one row among nulls, and texts of more words or blanks than are handled at a time."""
+    long = " ".join(f"w{i % 977}" for i in range(140_000))
+    for rows in ([(1, "one two three four")], [(1, None), (2, "one two three four"), (3, None)], [(1, long), (2, None)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+        got = {r["id"]: r["fp"] % (1 << 64) for r in simhash.near_groups(df).collect()}
+        assert got == {i: brute.fingerprint(t) for i, t in rows}
+        assert simhash.keep_one(df).count() == len(set(got.values()))
+    blanks = spark.createDataFrame([(1, " " * 1_000_000 + "a"), (2, "<|endoftext|> b"), (3, "\x00\x01\t\r\n x")], "doc_id long, text string")
+    model, got = Tokenizer.from_file(TOKENIZER[0]), defaultdict(list)
+    for r in packing.packed_documents(blanks, TOKENIZER, with_ids=True).orderBy("start").collect():
+        got[r["doc_id"]] += r["ids"]
+    assert got == {r["doc_id"]: [*model.encode(r["text"], add_special_tokens=False).ids, 0] for r in blanks.collect()}
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    runs = [{r["doc_id"]: (r["score"], r["predicted"]) for r in quality_classifier.classify(docs.repartition(n), labels).collect()} for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_license_scan_is_linear(spark):
+    long = " ".join(["word"] * 80_000 + ["under the mit license"] + ["other"] * 80_000)
+    got = license_scan.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert (got["n_words"], got["n_base"], got["first_word"]) == (160_004, 1, 80_000)
+
+
+def test_words_have_the_ids_of_the_library():
+    rng = random.Random(3)
+    chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+    texts = [x for c in chars for x in (c, f"a{c}b", c + c + "1", f"x {c} y", f"  {c}\n{c}", f"!{c}?", f"{c}'s")]
+    texts += ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "B", "é", "1", "²", "'", "'s", "'LL", "-", "\xa0", "_", "the", "—"]) for _ in range(rng.randrange(1, 14))) for _ in range(5000)]
+    texts += ["<|endoftext|> x <|endoftext|>", "日本語 text", "🙂", "x" * 3000, " " * 3000 + "b", ""]
+    for plain in (True, False):
+        model = Tokenizer.from_file(TOKENIZER[0])
+        model.encode_special_tokens = plain
+        want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in tokens.byte_level(*TOKENIZER, plain_specials=plain).raw(texts)] == want
+        if plain:
+            assert [np.frombuffer(x, np.int32).tolist() for x in tokens.merges(*TOKENIZER).raw(texts)] == want
+
+
+def _aligned(text):
+    """Tokens of both, groups, links and the groups as written, by walking over all ends."""
+    from sentencepiece import SentencePieceProcessor
+
+    a, b = Tokenizer.from_file(TOKENIZERS[0]), SentencePieceProcessor(model_file=TOKENIZERS[2])
+    a.encode_special_tokens = True
+    whole = (" " + text).encode() if text else b""
+    ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+    byte = tokens.byte_of_char()
+    spelled_a = [bytes(byte[c] for c in a.id_to_token(i)) for i in ids_a]
+    spelled_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
+    if b"".join(spelled_a) != whole or b"".join(spelled_b) != whole:
+        return 0, 0, [], ""
+    ends_a, ends_b = np.cumsum([len(x) for x in spelled_a]).tolist(), np.cumsum([len(x) for x in spelled_b]).tolist()
+    links, groups, i, j = [], [], 0, 0
+    for cut in sorted(set(ends_a) & set(ends_b)):
+        x, y = ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1
+        groups.append(",".join(map(str, ids_a[i:x])) + "|" + ",".join(map(str, ids_b[j:y])))
+        links.append((ids_a[x - 1], ids_b[y - 1]))
+        i, j = x, y
+    return len(ids_a), len(ids_b), links, ";".join(groups)
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_alignment(spark, odd, odd_rows, sent, monkeypatch):
+    import hashlib
+
+    own = [(i, t, _aligned(t or "")) for i, t in [*texts(odd_rows), (900, "=" * 3000), (901, "▁ x"), (902, "日本 語🙂 <s> <|endoftext|>"), (903, "a\n\nb  c")]]
+    more = spark.createDataFrame([(i, t) for i, t, _ in own[-4:]], "doc_id long, text string")
+    count = Counter(link for _, _, x in own for link in x[2])
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    want = [
+        (i, n_a, n_b, len(links), len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), hashlib.sha256(g.encode()).hexdigest() if g else "")
+        for i, _, (n_a, n_b, links, g) in own
+    ]
+    got = token_alignment.align_corpus(odd.select("doc_id", "text").unionByName(more), TOKENIZERS, sent_pairs=sent)
+    assert rows_of(got, "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256") == sorted(want, key=repr)
+
+
+def test_cuts_of_any_intervals():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size = int(rng.integers(1, 60))
+        ends = [np.append(np.sort(rng.choice(np.arange(1, size), rng.integers(0, size), replace=False)), size) for _ in range(2)] if size > 1 else [np.array([1])] * 2
+        cuts = token_alignment.shared_cuts(ends[0], ends[1], np.array([0, len(ends[0])]), np.array([0, len(ends[1])]))
+        both = np.intersect1d(*ends)
+        assert ends[0][cuts[0]].tolist() == both.tolist() == ends[1][cuts[1]].tolist()
+
+
+@pytest.mark.parametrize("bits", [64, 12])
+def test_collocations(spark, odd, odd_rows, bits, monkeypatch):
+    monkeypatch.setattr(collocations, "_CHUNK", 500)
+    rng = random.Random(9)
+    vocab = ["new", "york", "city", "Öl", "the", "🙂", "a-b"]
+    made = [(i, "".join(rng.choice(vocab) + rng.choice([" ", " ", "\t ", ". ", "\n"]) for _ in range(rng.randrange(1, 90))), rng.choice(["en", "de", None])) for i in range(150)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").unionByName(odd.select("doc_id", "text", "lang")).repartition(3)
+    rows = [(lang, t) for _, t, lang in made] + [(r[2], r[1]) for r in odd_rows]
+    for least, top in ((10, 2000), (3, 20)):
+        got = sorted(map(tuple, collocations.collocations(df, least=least, top=top, bits=bits).collect()))
+        assert got == brute.collocations(rows, least=least, top=top)
+
+
+def test_ranges_hash_alike():
+    data = np.frombuffer(b"abc abc xabc abd", np.uint8)
+    h = collocations.range_hashes(data, np.array([0, 4, 9, 13]), np.array([3, 7, 12, 16]), collocations._BASES[0])
+    assert h[0] == h[1] == h[2] != h[3]
+
+
+URLS = [
+    None, "", "nothing", "http://Example.ORG/en/12", "https://sub.example.org/es/", "https://sub.example.org/es", "http://badexample.org/es/x", "https://a.com/fr/x#y", "https://a.com/de/1?x=1", "https://a.com/fr",
+    "http://a.net", "http://a.net?q", "http://a.net#f", "ftp://b.net/x/?utm_source=a&b=2&a=1", "http://www.b.net:80/x?a=1&b=2&ref=z", "http://b.net/x/index.html?b=2&a=1", "http://b.net/x?b=2", "http://casino.b.net/1",
+    "http://m.casino-x.net/1/?utm_campaign=k", "https://M.CASINO-X.net/1#top", "http://ünï.net/é", "x://y://z.org/p", "http:///path", "http://org/x", "http://xorg/x", "http://a.net/\nx?\ny",
+]
+
+
+def test_url_filter(spark):
+    pages = spark.createDataFrame([(i if i % 7 else None, u) for i, u in enumerate(URLS * 2)], "page_id long, url string").repartition(3)
+    listed = url_filter.urls_on_hosts(pages, HOST_WORDS).unionByName(spark.createDataFrame([("b.net/x?a=1&b=2",), (None,), ("b.net/x?a=1&b=2",)], "url string"))
+    want = []
+    for i, u in enumerate(URLS * 2):
+        host, path = brute.host_and_path(u)
+        rule, says = None, None
+        for v, h, p in sorted(URL_RULES, key=lambda r: len(r[1] + r[2])):
+            if (host == h or host.endswith("." + h)) and path.startswith(p):
+                rule, says = h + p, v
+        hit = host in ("casino.b.net", "m.casino-x.net") or u in ("ftp://b.net/x/?utm_source=a&b=2&a=1", "http://www.b.net:80/x?a=1&b=2&ref=z", "http://b.net/x/index.html?b=2&a=1")
+        want.append((i if i % 7 else None, host, path, rule, hit, says or ("block" if hit else "allow")))
+    for options in ({}, {"most_bytes": 64, "key_bits": 1}, {"salts": 1}):  # a filter that passes nearly all changes nothing
+        got = url_filter.judge(pages, listed, URL_RULES, **options)
+        assert rows_of(got, "page_id", "host", "path", "rule", "listed", "verdict") == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, listed, URL_RULES * 300)
+
+
+def test_bloom_filter_passes_all_it_holds(spark):
+    keys = spark.range(20_000).selectExpr("concat('k', id) as url")
+    made = url_filter.bloom(keys, 16, 16 << 20)
+    looked = url_filter.possible_hits(keys.unionByName(spark.range(20_000).selectExpr("concat('x', id) as url")), made, "url").groupBy(F.left("url", F.lit(1)).alias("k")).agg(F.count_if("maybe").alias("n")).collect()
+    n = {r["k"]: r["n"] for r in looked}
+    assert n["k"] == 20_000 and n["x"] < 400 and url_filter.bloom(keys, 16, 6400).shape == (100, 8)

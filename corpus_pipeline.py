@@ -27,8 +27,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or thinned to their target weights."""
-    return mixing.mixed_rows(docs)
+    """Sources are repeated or thinned to their target weights; the rows lie in the order of the schedule."""
+    slot = next(n for n in (f"slot{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    mixed = mixing.mixed_rows(docs, slot_col=slot)
+    return mixed.repartitionByRange(slot).sortWithinPartitions(slot).drop(slot)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagegrid.functions import cronwalk, times
+from pagegrid.functions import cronbits, times
 from pagegrid.functions.text import to_text, trim_ws
 from pagegrid.functions.urls import is_http, let, target_signature
 from pagegrid.operators.rows import first_rows
+from pagegrid.plans.lineage import stage
 
 c = F.col
 OPEN = ["queued", "retrying"]
@@ -210,18 +211,34 @@ def filter_schedules(df: DataFrame, job_type: str = "", name: str = "", interval
     return df.filter(keep)
 
 
+#: zones and cron expressions are sent to every task only up to this many
+_SENT_ZONES, _SENT_EXPRESSIONS = 20_000, 100_000
+
+
 def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int = 525_600) -> DataFrame:
     """(id, next_run_at) of cron schedules (id, cron_expr, timezone): first matching minute strictly after ``from_ts``.
 
-    Distinct expressions are parsed once; the search is local to a row (see ``cronwalk``). An unknown zone or no match
-    within the look-ahead gives null.
+    Distinct expressions and zones are prepared once; the search is local to a row (see ``cronbits``). An unknown zone or
+    no match within the look-ahead, which is at most 366 days, gives null.
     """
-    rows = schedules.select("id", "cron_expr", F.coalesce(F.nullif(trim_ws(to_text(c("timezone"))), F.lit("")), F.lit("UTC")).alias("zone"), c(from_ts).alias("at"))
-    parsed = schedules.select("cron_expr").distinct().select(c("cron_expr").alias("__expr"), times.cron_fields(c("cron_expr")).alias("k")).filter("k.valid")
-    start = F.unix_seconds(F.date_trunc("minute", c("at"))) + 60
-    j = rows.join(parsed, c("cron_expr").eqNullSafe(c("__expr")), "left")
-    case = F.struct(*[c(f"k.{name}").alias(name) for name, _, _ in times.CRON_FIELDS], c("zone"), start.alias("start"))
-    return j.select("id", F.timestamp_seconds(cronwalk.search(look_ahead_minutes)(case)).alias("next_run_at"))
+    if not 0 < look_ahead_minutes <= 366 * 1440:
+        raise ValueError("look_ahead_minutes must be between 1 and 366 days")
+    start = F.unix_seconds(F.date_trunc("minute", c(from_ts))) + 60
+    rows = schedules.select("id", "cron_expr", "timezone", start.alias("start"))
+    # names are written first, so that they are cleaned once each and not row by row
+    names = stage(rows.groupBy("timezone").agg(F.min("start").alias("lo"), (F.max("start") + look_ahead_minutes * 60).alias("hi")).filter("lo IS NOT NULL"), "names")
+    names = names.withColumn("zone", F.coalesce(F.nullif(trim_ws(to_text(c("timezone"))), F.lit("")), F.lit("UTC")))
+    spans = names.groupBy("zone").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    zones = stage(names.select(c("timezone").alias("__named"), "zone").join(cronbits.zone_stretches(spans), "zone").drop("zone"), "zones")
+    # written first: a filter on the parsed fields would move below the distinct step and parse every row
+    texts = stage(rows.select(c("cron_expr").alias("__expr")).distinct(), "expressions")
+    valid = texts.select("__expr", times.cron_fields(c("__expr")).alias("k")).filter("k.valid")
+    parsed = stage(valid.select("__expr", cronbits.words(c("k")).alias("k")), "cron")
+    sent = lambda df, most: F.broadcast(df) if df.count() <= most else df
+    j = rows.join(sent(parsed, _SENT_EXPRESSIONS), c("cron_expr") == c("__expr"), "left").join(sent(zones, _SENT_ZONES), c("timezone").eqNullSafe(c("__named")), "left")
+    found = cronbits.next_run(c("k"), c("stretches"), c("start"), c("start") + look_ahead_minutes * 60)
+    solvable = c("k").isNotNull() & c("stretches").isNotNull() & c("start").isNotNull()
+    return j.select("id", F.timestamp_seconds(F.when(solvable, found)).alias("next_run_at"))
 
 
 def trigger_due(schedules: DataFrame, now: Column, now_text: str, worker: str, batch: int | None = 10) -> tuple[DataFrame, DataFrame]:

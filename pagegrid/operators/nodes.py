@@ -1,8 +1,10 @@
 """Node table of stored pages and selector extraction over it.
 
 Parsing is the one step that needs Python: a tolerant standard-library parser turns each page
-into rows inside Arrow batches. Everything after it is joins and aggregates on
-``(page_id, node_id)``. There is no layout: a node counts as visible unless it or an ancestor
+into rows inside Arrow batches. A node is an interval of document order, ``node_id`` to ``post`` (its last
+descendant); intervals of a page are nested or apart. What stands inside what is therefore a running maximum over the
+page (selectors) or one merge with a stack (``enclosed``), never a comparison of pairs, and no node stores its
+ancestors. ``t0`` and ``t1`` are the bytes of a node in the visible text of its page. There is no layout: a node counts as visible unless it or an ancestor
 is ``hidden``, has an inline ``display:none`` / ``visibility:hidden``, or sits in head-like tags.
 """
 from __future__ import annotations
@@ -11,7 +13,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagegrid.functions.text import clean_text
 from pagegrid.functions.urls import absolute
@@ -20,8 +22,8 @@ from pagegrid.plans.lineage import stage
 c = F.col
 
 NODE_SCHEMA = (
-    "page_id long, node_id int, parent_id int, post int, depth int, tag string, id string, classes array<string>, "
-    "attrs map<string,string>, visible boolean, nth int, same_tag int, child int, siblings int, path array<int>, trail array<string>, spots array<string>, text string"
+    "page_id long, node_id int, parent_id int, post int, depth int, body int, tag string, id string, classes array<string>, "
+    "attrs map<string,string>, visible boolean, nth int, same_tag int, child int, siblings int, t0 long, t1 long, text string"
 )
 # Fixed values of the page format: elements without content, and start tags that close an open element.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -46,6 +48,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.tags: dict[str, int] = {}  # how many of each tag are open
 
     def _add(self, tag: str, attrs: dict, text: str | None = None) -> int:
         parent = self.open[-1] if self.open else None
@@ -55,7 +58,9 @@ class _Tree(HTMLParser):
 
     def _close(self, upto: int) -> None:
         while len(self.open) > upto:
-            self.nodes[self.open.pop()]["post"] = len(self.nodes) - 1
+            node = self.nodes[self.open.pop()]
+            node["post"] = len(self.nodes) - 1
+            self.tags[node["tag"]] -= 1
 
     def handle_starttag(self, tag, attrs):
         while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
@@ -63,6 +68,7 @@ class _Tree(HTMLParser):
         index = self._add(tag, {k: v or "" for k, v in attrs})
         if tag not in VOID:
             self.open.append(index)
+            self.tags[tag] = self.tags.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -70,6 +76,8 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.tags.get(tag):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[i]]["tag"] == tag:
                 self._close(i)
@@ -80,43 +88,38 @@ class _Tree(HTMLParser):
             self._add("#text", {}, data)
 
 
-_COLUMNS = ["page_id", "node_id", "parent_id", "post", "depth", "tag", "id", "classes", "attrs", "visible", "nth", "same_tag", "child", "siblings", "path", "trail", "spots", "text"]
+_COLUMNS = ["page_id", "node_id", "parent_id", "post", "depth", "body", "tag", "id", "classes", "attrs", "visible", "nth", "same_tag", "child", "siblings", "t0", "t1", "text"]
 
 
 def _append(out: dict[str, list], page_id: int, html: str) -> None:
-    """Add one page's nodes to column lists."""
+    """Add one page's nodes to column lists, in time proportional to the page."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree._close(0)
     nodes = tree.nodes
     totals: dict[tuple, int] = {}
-    nth = []
     children: dict[int | None, int] = {}
-    place = []
+    depth, body, seen, before, after, length = [], [], [], [], [], 0
     for n in nodes:
-        if n["tag"] != "#text":
-            children[n["parent"]] = children.get(n["parent"], 0) + 1
-        place.append(children.get(n["parent"], 0))
-        key = (n["parent"], n["tag"])
-        totals[key] = totals.get(key, 0) + 1
-        nth.append(totals[key])
-    paths: list[list] = []
-    trails: list[list] = []
-    spots: list[list] = []
-    seen: list[bool] = []
-    for i, n in enumerate(nodes):
         parent, tag, a = n["parent"], n["tag"], n["attrs"]
-        same = totals[(parent, tag)]
-        name = tag if parent is None or same <= 1 else f"{tag}:nth-of-type({nth[i]})"
-        spot = f"{tag}:{nth[i]}"
+        if tag != "#text":
+            children[parent] = children.get(parent, 0) + 1
+        out["child"].append(children.get(parent, 0))
+        totals[parent, tag] = totals.get((parent, tag), 0) + 1
+        out["nth"].append(totals[parent, tag])
         shown = tag not in UNSEEN and "hidden" not in a and not ("style" in a and _HIDING.search(a["style"]))
-        if parent is None:
-            paths.append([i]), trails.append([name]), spots.append([spot]), seen.append(shown)
-        else:
-            paths.append(paths[parent] + [i]), trails.append(trails[parent] + [name]), spots.append(spots[parent] + [spot])
-            seen.append(shown and seen[parent])
-        out["same_tag"].append(same)
+        depth.append(0 if parent is None else depth[parent] + 1)
+        seen.append(shown and (parent is None or seen[parent]))
+        above = None if parent is None else body[parent]
+        body.append(depth[-1] if above is None and tag == "body" else above)
+        before.append(length)
+        if tag == "#text" and seen[-1]:
+            length += len(n["text"].encode("utf-8", "replace")) + 1  # a blank between two texts
+        after.append(length)
+    for n in nodes:
+        parent, tag, a = n["parent"], n["tag"], n["attrs"]
+        out["same_tag"].append(totals[parent, tag])
         out["siblings"].append(children.get(parent, 0))
         out["parent_id"].append(parent)
         out["post"].append(n["post"])
@@ -125,22 +128,20 @@ def _append(out: dict[str, list], page_id: int, html: str) -> None:
         out["classes"].append(a["class"].split() if "class" in a else [])
         out["attrs"].append(list(a.items()))
         out["text"].append(n["text"])
+        out["t1"].append(after[n["post"]])
     out["page_id"] += [page_id] * len(nodes)
     out["node_id"] += range(len(nodes))
-    out["depth"] += [len(p) - 1 for p in paths]
+    out["depth"] += depth
+    out["body"] += body
     out["visible"] += seen
-    out["nth"] += nth
-    out["child"] += place
-    out["path"] += paths
-    out["trail"] += trails
-    out["spots"] += spots
+    out["t0"] += before
 
 
 _ARROW = pa.schema(
     [
-        ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
+        ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("body", pa.int32()), ("tag", pa.string()), ("id", pa.string()),
         ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("visible", pa.bool_()), ("nth", pa.int32()), ("same_tag", pa.int32()), ("child", pa.int32()), ("siblings", pa.int32()),
-        ("path", pa.list_(pa.int32())), ("trail", pa.list_(pa.string())), ("spots", pa.list_(pa.string())), ("text", pa.string()),
+        ("t0", pa.int64()), ("t1", pa.int64()), ("text", pa.string()),
     ]
 )
 _FLUSH = 5_000
@@ -170,12 +171,75 @@ def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter("tag <> '#text'")
 
 
+def page_texts(nodes: DataFrame) -> DataFrame:
+    """(page_id, whole): the visible texts of a page in order, with a blank between them, as bytes."""
+    runs = nodes.filter("tag = '#text' AND visible").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "text"))).alias("l"))
+    return runs.select("page_id", F.array_join(F.transform("l", lambda x: x["text"]), " ").cast("binary").alias("whole"))
+
+
+def text_between(whole: Column, t0: Column, t1: Column) -> Column:
+    """Cleaned text of a node from the bytes of its page."""
+    return clean_text(F.substring(whole, (t0 + 1).cast("int"), (t1 - t0 - 1).cast("int")).cast("string"))
+
+
 def subtree_texts(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, node_id, content) of the wanted nodes: cleaned text of their visible text runs in order."""
-    runs = nodes.filter("tag = '#text' AND visible").select("page_id", c("node_id").alias("run"), "text", F.explode("path").alias("node_id"))
-    hit = runs.join(wanted.select("page_id", "node_id").distinct(), ["page_id", "node_id"])
-    ordered = F.sort_array(F.collect_list(F.struct("run", "text")))
-    return hit.groupBy("page_id", "node_id").agg(clean_text(F.array_join(F.transform(ordered, lambda x: x["text"]), " ")).alias("content"))
+    """(page_id, node_id, content) of the wanted nodes that hold visible text: its runs in order, cleaned."""
+    spans = nodes.join(wanted.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi").filter("t1 > t0").select("page_id", "node_id", "t0", "t1")
+    return spans.join(page_texts(nodes), "page_id").select("page_id", "node_id", text_between(c("whole"), c("t0"), c("t1")).alias("content"))
+
+
+def enclosed(points: DataFrame, holders: DataFrame, or_self: bool = False) -> DataFrame:
+    """(page_id, node_id, holder) for each point (page_id, node_id) and each holder (page_id, node_id, post) around it.
+
+    A merge with a stack: the points and holders of a page come in document order, the holders open at a point are those
+    around it. Its time is that of the sort and of what it returns, however deep or wide pages are nested.
+    """
+    both = holders.select("page_id", "node_id", "post", F.lit(0).alias("role")).distinct().unionByName(points.select("page_id", "node_id", F.lit(None).cast("int").alias("post"), F.lit(1).alias("role")).distinct())
+    # a point that is a holder itself comes before the holder, or after it if it counts as inside
+    laid = both.repartition("page_id").sortWithinPartitions("page_id", "node_id", c("role") if or_self else -c("role"))
+
+    def merge(batches):
+        page, around = None, []
+        for batch in batches:
+            out = ([], [], [])
+            for p, at, end, role in zip(*(batch.column(n).to_pylist() for n in ("page_id", "node_id", "post", "role")), strict=True):
+                if p != page:
+                    page, around = p, []
+                while around and around[-1][1] < at:
+                    around.pop()
+                if role == 0:
+                    around.append((at, end))
+                else:
+                    out[0].extend([p] * len(around)), out[1].extend([at] * len(around)), out[2].extend(h for h, _ in around)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["page_id", "node_id", "holder"])
+
+    return laid.mapInArrow(merge, "page_id long, node_id int, holder int")
+
+
+def places(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, node_id, trail, spots) of the wanted nodes (page_id, node_id, top): the steps that lead to them from below
+    depth ``top``, as selector parts and as ``tag:position``. Only these nodes get arrays.
+    """
+    asked = wanted.select("page_id", "node_id", "top").distinct().withColumn("asked", F.lit(True))
+    rows = elements(nodes).select("page_id", "node_id", "depth", "tag", "nth", "same_tag").join(asked, ["page_id", "node_id"], "left")
+    laid = rows.repartition("page_id").sortWithinPartitions("page_id", "node_id")
+
+    def walk(batches):
+        page, trail, spots = None, [], []
+        for batch in batches:
+            out = ([], [], [], [])
+            for p, at, depth, tag, nth, same, top, want in zip(*(batch.column(n).to_pylist() for n in ("page_id", "node_id", "depth", "tag", "nth", "same_tag", "top", "asked")), strict=True):
+                if p != page:
+                    page, trail, spots = p, [], []
+                del trail[depth:], spots[depth:]
+                trail.append(tag if depth == 0 or same <= 1 else f"{tag}:nth-of-type({nth})")
+                spots.append(f"{tag}:{nth}")
+                if want:
+                    out[0].append(p), out[1].append(at), out[2].append(trail[top + 1 :]), out[3].append(spots[top + 1 :])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["page_id", "node_id", "trail", "spots"])
+
+    return laid.mapInArrow(walk, "page_id long, node_id int, trail array<string>, spots array<string>")
 
 
 # -- selectors ---------------------------------------------------------------------------------------
@@ -306,45 +370,70 @@ def _pseudo(name: str, inner: str, scope: Column | None) -> Column:
     return _position(places[name], inner)
 
 
+_UP_TO_HERE = (Window.unboundedPreceding, -1)
+
+
+class _Selection:
+    """Selectors over one frame of elements, partitioned by page once. Each selector becomes a boolean column."""
+
+    def __init__(self, nodes: DataFrame, selectors: list[str], scoped: bool = False):
+        self.parsed = {x: split_selector(x) for x in dict.fromkeys(selectors)}
+        tokens = [token for steps in self.parsed.values() for alternative in steps for _, token in alternative]
+        # rows that no step names take no part; inside a scope any node may be the scope
+        named = F.lit(False)
+        for token in dict.fromkeys(tokens):
+            named = named | (F.lit(True) if ":scope" in token and scoped else compound(token))
+        self.frame = elements(nodes).filter(named).repartition("page_id").withColumn("family", F.coalesce("parent_id", F.lit(-1)))
+
+    def add(self, name: str, selector: str, scope: Column | None = None) -> None:
+        """Adds the column ``name``: whether the element matches ``selector``."""
+        found = F.lit(False)
+        for k, steps in enumerate(self.parsed[selector]):
+            state = f"{name}_{k}"
+            self.frame = self.frame.withColumn(state, compound(steps[0][1], scope))
+            for combinator, token in steps[1:]:
+                self._step(state, combinator, compound(token, scope))
+            found = found | c(state)
+        self.frame = self.frame.withColumn(name, found).drop(*[f"{name}_{k}" for k in range(len(self.parsed[selector]))])
+
+    def _step(self, state: str, combinator: str, hit: Column) -> None:
+        if combinator == " ":
+            # intervals are nested or apart: one that began before and ends at or after here is around
+            page = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(*_UP_TO_HERE)
+            around = F.max(F.when(c(state), c("post"))).over(page) >= c("node_id")
+        elif combinator == ">":
+            # parents join the family of their children for this step
+            roles = F.array(F.struct(F.lit(False).alias("up"), c("family").alias("of")), F.when(c(state), F.struct(F.lit(True).alias("up"), c("node_id").alias("of"))))
+            self.frame = self.frame.withColumn("role", F.explode(F.filter(roles, lambda r: r.isNotNull())))
+            around = F.max(c("role.up")).over(Window.partitionBy("page_id", "role.of"))
+        else:
+            family = Window.partitionBy("page_id", "family").orderBy("child").rowsBetween(*_UP_TO_HERE)
+            last = F.max(F.when(c(state), c("child"))).over(family)
+            around = (last == c("child") - 1) if combinator == "+" else last.isNotNull()
+        self.frame = self.frame.withColumn("around", F.coalesce(around, F.lit(False)))
+        if combinator == ">":
+            self.frame = self.frame.filter(~c("role.up")).drop("role")
+        self.frame = self.frame.withColumn(state, hit & c("around")).drop("around")
+
+
 def select(nodes: DataFrame, selector: str, scope: DataFrame | None = None) -> DataFrame:
-    """Elements matching a selector, each once. Steps are taken from left to right: the nodes that match so far are the
-    small side of a semi join on (page_id, ...), never across pages. ``scope``: (page_id, node_id) that ``:scope`` names.
+    """Elements matching a selector, each once. Steps are taken from left to right as windows over the rows of a page that
+    some step names, after one exchange by page. ``scope``: (page_id, node_id) that ``:scope`` names.
     """
-    found = None
-    pool = elements(nodes)
-    here = None
-    if ":scope" in selector and scope is not None:
-        pool = pool.join(scope.select("page_id", "node_id").distinct().withColumn("__scope", F.lit(True)), ["page_id", "node_id"], "left")
-        here = F.coalesce(c("__scope"), F.lit(False))
-    columns = nodes.columns
-    for steps in split_selector(selector):
-        state = pool.filter(compound(steps[0][1], here))
-        for combinator, token in steps[1:]:
-            hits = pool.filter(compound(token, here))
-            if combinator == ">":
-                state = hits.join(state.select("page_id", c("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi")
-            elif combinator == " ":
-                above = hits.select("page_id", "node_id", F.explode(F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1))).alias("at"))
-                below = above.join(state.select("page_id", c("node_id").alias("at")), ["page_id", "at"], "left_semi").select("page_id", "node_id")
-                state = hits.join(below, ["page_id", "node_id"], "left_semi")
-            else:
-                # siblings: the one right before, or any before (then the first that matches decides)
-                before = state.groupBy("page_id", F.coalesce("parent_id", F.lit(-1)).alias("under"), *(["child"] if combinator == "+" else [])).agg(F.min("child").alias("first"))
-                near = (F.coalesce("parent_id", F.lit(-1)) == c("b.under")) & (c("h.page_id") == c("b.page_id"))
-                near = near & ((c("h.child") == c("first") + 1) if combinator == "+" else (c("h.child") > c("first")))
-                state = hits.alias("h").join(before.alias("b"), near, "left_semi")
-        found = state if found is None else found.unionByName(state)
-    found = found.select(*columns)
-    return found.dropDuplicates(["page_id", "node_id"]) if len(split_selector(selector)) > 1 else found
+    here = scope is not None and ":scope" in selector
+    made = _Selection(nodes, [selector], here)
+    if here:
+        marked = scope.select("page_id", "node_id").distinct().withColumn("in_scope", F.lit(True))
+        made.frame = made.frame.join(marked, ["page_id", "node_id"], "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+    made.add("matched", selector, c("in_scope") if here else None)
+    return made.frame.filter("matched").select(*nodes.columns)
 
 
 def first_match(matches: DataFrame, containers: DataFrame | None = None) -> DataFrame:
-    """First match in document order per container (strict descendants), or per page."""
+    """First match in document order per container (strict descendants), or per page. ``containers`` have their ``post``."""
     if containers is None:
         return matches.groupBy("page_id").agg(F.min("node_id").alias("node_id"))
-    opened = matches.select("page_id", "node_id", F.explode(F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1))).alias("container"))
-    inside = opened.join(containers.select("page_id", c("node_id").alias("container")), ["page_id", "container"])
-    return inside.groupBy("page_id", "container").agg(F.min("node_id").alias("node_id"))
+    return enclosed(matches, containers).groupBy("page_id", c("holder").alias("container")).agg(F.min("node_id").alias("node_id"))
 
 
 def node_values(nodes: DataFrame, pages: DataFrame, picked: DataFrame, mode: str, attribute: str = "") -> DataFrame:
@@ -353,7 +442,7 @@ def node_values(nodes: DataFrame, pages: DataFrame, picked: DataFrame, mode: str
     picked = picked.select("page_id", "node_id").distinct()
     if mode == "text":
         return subtree_texts(nodes, picked).select("page_id", "node_id", c("content").alias("value"))
-    name = {"link_url": "href", "image_url": "src"}.get(mode, attribute.strip().lower())
+    name = _attribute(mode, attribute)
     held = nodes.join(picked, ["page_id", "node_id"], "left_semi").select("page_id", "node_id", c("attrs")[name].alias("raw"))
     if mode == "attribute":
         return held.select("page_id", "node_id", F.coalesce("raw", F.lit("")).alias("value"))
@@ -366,23 +455,54 @@ def field_names(fields: list[dict]) -> list[str]:
     return [(str(f.get("name") or "").strip() or f"field_{i + 1}") for i, f in enumerate(fields)]
 
 
+def _attribute(mode: str, attribute: str) -> str:
+    return {"link_url": "href", "image_url": "src"}.get(mode, attribute.strip().lower())
+
+
 def extract_list(pages: DataFrame, container: str, fields: list[dict], nodes: DataFrame | None = None) -> DataFrame:
-    """One row per container with one column per field; rows whose fields are all blank are dropped."""
+    """One row per container with one column per field; rows whose fields are all blank are dropped.
+
+    Containers and all fields are matched in one frame. Read backwards, the last match seen before a container is the next
+    one behind it; it stands inside the container or no match does.
+    """
     if not container.strip():
         raise ValueError("containerSelector is required")
     nodes = stage(node_table(pages), "nodes") if nodes is None else nodes
-    boxes = select(nodes, container).select("page_id", "node_id")
-    out = boxes.select("page_id", c("node_id").alias("container"))
     names = field_names(fields)
-    for name, f in zip(names, fields):
-        selector = str(f.get("relativeSelector") or f.get("selector") or "").strip()
-        if not selector:
-            out = out.withColumn(name, F.lit(""))
+    sought = [str(f.get("relativeSelector") or f.get("selector") or "").strip() for f in fields]
+    modes = [str(f.get("extractMode", "text") or "text").lower() for f in fields]
+    made = _Selection(nodes, [container, *filter(None, sought)], any(":scope" in x for x in sought))
+    made.add("box", container)
+    for k, selector in enumerate(sought):
+        if selector:
+            made.add(f"field{k}", selector, c("box"))
+    back = Window.partitionBy("page_id").orderBy(c("node_id").desc()).rowsBetween(*_UP_TO_HERE)
+    found = made.frame
+    for k, selector in enumerate(sought):
+        if selector:
+            raw = c("attrs")[_attribute(modes[k], fields[k].get("attribute", ""))] if modes[k] != "text" else F.lit(None).cast("string")
+            hit = F.struct("node_id", "t0", "t1", raw.alias("raw"))
+            found = found.withColumn(f"hit{k}", F.last(F.when(c(f"field{k}"), hit), ignorenulls=True).over(back))
+    used = [k for k, selector in enumerate(sought) if selector]
+    boxes = found.filter("box").select("page_id", c("node_id").alias("container"), *[F.when(c(f"hit{k}.node_id") <= c("post"), c(f"hit{k}")).alias(f"hit{k}") for k in used])
+    if any(modes[k] == "text" for k in used):
+        boxes = boxes.join(page_texts(nodes), "page_id", "left")
+    if any(modes[k] in ("link_url", "image_url") for k in used):
+        boxes = boxes.join(pages.select("page_id", c("url").alias("page_url")), "page_id")
+    values = []
+    for k, name in enumerate(names):
+        if k not in used:
+            values.append(F.lit("").alias(name))
             continue
-        first = first_match(select(nodes, selector, boxes), boxes)
-        values = node_values(nodes, pages, first, f.get("extractMode", "text"), f.get("attribute", ""))
-        column = first.join(values, ["page_id", "node_id"]).select("page_id", "container", c("value").alias(name))
-        out = out.join(column, ["page_id", "container"], "left").withColumn(name, F.coalesce(c(name), F.lit("")))
+        hit = c(f"hit{k}")
+        full = absolute(hit["raw"], c("page_url")) if modes[k] in ("link_url", "image_url") else None
+        value = (
+            F.when(hit["t1"] > hit["t0"], text_between(c("whole"), hit["t0"], hit["t1"])) if modes[k] == "text"
+            else hit["raw"] if full is None
+            else F.when(hit["raw"].isNull(), "").when(full == "", hit["raw"]).otherwise(full)
+        )
+        values.append(F.coalesce(value, F.lit("")).alias(name))
+    out = boxes.select("page_id", "container", *values)
     keep = F.lit(False)
     for name in names:
         keep = keep | (F.trim(c(name)) != "")
@@ -418,19 +538,31 @@ def selected_links(pages: DataFrame, selector: str, cap: int | None = None, node
 # -- selector writing ---------------------------------------------------------------------------------------
 
 
-def absolute_selector() -> Column:
-    """Selector of a node from its own id, else its place below body."""
+def absolute_selectors(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, node_id, selector) of the wanted nodes: from a node's own id, else its place below body."""
+    picked = elements(nodes).join(wanted.select("page_id", "node_id").distinct(), ["page_id", "node_id"], "left_semi").select("page_id", "node_id", "id", F.coalesce("body", F.lit(-1)).alias("top"))
+    placed = picked.filter("id = ''")
+    below = F.when(F.size("trail") == 0, F.lit("body")).otherwise(F.concat(F.lit("body > "), F.array_join("trail", " > ")))
     escaped = F.regexp_replace("id", r"([^A-Za-z0-9_-])", r"\\$1")
-    start = F.array_position(F.transform("spots", lambda s: F.split_part(s, F.lit(":"), F.lit(1))), F.lit("body"))
-    below = F.slice("trail", (start + 1).cast("int"), F.greatest(F.lit(0), F.size("trail") - start.cast("int")))
-    body = F.when(F.size(below) == 0, F.lit("body")).otherwise(F.concat(F.lit("body > "), F.array_join(below, " > ")))
-    return F.when(c("id") != "", F.concat(F.lit("#"), escaped)).otherwise(body)
+    named = picked.filter("id <> ''").select("page_id", "node_id", F.concat(F.lit("#"), escaped).alias("selector"))
+    return places(nodes, placed).select("page_id", "node_id", below.alias("selector")).unionByName(named)
+
+
+def relative_selector(trail: Column) -> Column:
+    """Selector of a node from the steps below an anchor; ':scope' for the anchor itself."""
+    return F.when(F.size(trail) <= 0, F.lit(":scope")).otherwise(F.array_join(trail, " > "))
+
+
+# Attributes that are offered for reading.
+HINTED = ["data-id", "data-testid", "aria-label", "title", "alt", "class"]
 
 
-def relative_selector(trail: Column, anchor_depth: Column) -> Column:
-    """Selector of a node below an anchor at ``anchor_depth``; ':scope' for the anchor itself."""
-    below = F.slice(trail, anchor_depth + 2, F.greatest(F.lit(0), F.size(trail) - anchor_depth - 1))
-    return F.when(F.size(below) <= 0, F.lit(":scope")).otherwise(F.array_join(below, " > "))
+def attribute_hints() -> Column:
+    """What may be read of a node, in order: (mode, attribute)."""
+    held = lambda name: c("attrs")[name].isNotNull()
+    hint = lambda mode, name="": F.struct(F.lit(mode).alias("mode"), F.lit(name).alias("attribute"))
+    offered = [F.when(held("href") | (c("tag") == "a"), hint("link_url")), F.when(held("src") | (c("tag") == "img"), hint("image_url")), *[F.when(held(n), hint("attribute", n)) for n in HINTED]]
+    return F.filter(F.array(*offered), lambda h: h.isNotNull())
 
 
 def generalise(selector: Column) -> Column:

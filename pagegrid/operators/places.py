@@ -146,13 +146,15 @@ def result_cards(pages: DataFrame, nodes: DataFrame, switches: dict[str, bool] |
 
     el = nt.elements(nodes)
     feed_rank = F.when(nt.compound("[role='feed']"), 0).when(nt.compound("div[aria-label*='Results']"), 1).when(nt.compound("div[aria-label*='results']"), 2)
-    feeds = el.withColumn("r", feed_rank).filter("r IS NOT NULL").groupBy("page_id").agg(F.min(F.struct("r", "node_id"))["node_id"].alias("feed"))
-    anchors = el.filter(nt.compound("a[href*='/maps/place/']")).select("page_id", c("node_id").alias("anchor"), "parent_id", "path", "attrs")
-    inside = anchors.join(feeds, "page_id").filter(F.array_contains("path", c("feed")) & (c("anchor") != c("feed")))
+    feeds = el.withColumn("r", feed_rank).filter("r IS NOT NULL").groupBy("page_id").agg(F.min(F.struct("r", "node_id", "post")).alias("f"))
+    feeds = feeds.select("page_id", c("f.node_id").alias("feed"), c("f.post").alias("feed_post"))
+    anchors = el.filter(nt.compound("a[href*='/maps/place/']")).select("page_id", c("node_id").alias("anchor"), "parent_id", "attrs")
+    inside = anchors.join(feeds, "page_id").filter((c("feed") < c("anchor")) & (c("anchor") <= c("feed_post")))
     # closest card by kind: article role first, then the two known card forms, then the parent
     kind = F.when(nt.compound("[role='article']"), 0).when(nt.compound(".Nv2PK"), 1).when(nt.compound("div[jsaction*='mouseover:pane']"), 2)
-    boxes = el.withColumn("kind", kind).filter("kind IS NOT NULL").select("page_id", c("node_id").alias("box"), "kind")
-    up = inside.select("page_id", "anchor", F.explode("path").alias("box")).join(boxes, ["page_id", "box"]).groupBy("page_id", "anchor").agg(F.min(F.struct("kind", (-c("box")).alias("b")))["b"].alias("b"))
+    boxes = el.withColumn("kind", kind).filter("kind IS NOT NULL").select("page_id", c("node_id").alias("box"), "post", "kind")
+    around = nt.enclosed(inside.select("page_id", c("anchor").alias("node_id")), boxes.select("page_id", c("box").alias("node_id"), "post"), or_self=True)
+    up = around.select("page_id", c("node_id").alias("anchor"), c("holder").alias("box")).join(boxes.drop("post"), ["page_id", "box"]).groupBy("page_id", "anchor").agg(F.min(F.struct("kind", (-c("box")).alias("b")))["b"].alias("b"))
     cards = inside.join(up, ["page_id", "anchor"], "left").withColumn("card", F.coalesce(-c("b"), "parent_id"))
 
     text = nt.subtree_texts(nodes, cards.select("page_id", c("card").alias("node_id")).unionByName(cards.select("page_id", c("anchor").alias("node_id"))))
@@ -160,13 +162,12 @@ def result_cards(pages: DataFrame, nodes: DataFrame, switches: dict[str, bool] |
         "star": "[role='img'][aria-label*='star']", "stars": "[aria-label*='stars']", "labelled": "[aria-label]", "headline": ".qBF1Pd", "small": ".fontHeadlineSmall", "score": ".MW4etd", "img": "img",
     }
     found = el.select(
-        "page_id", "node_id", c("attrs")["aria-label"].alias("label"), F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1)).alias("line"),
+        "page_id", "node_id", c("attrs")["aria-label"].alias("label"),
         F.filter(F.array(*[F.when(nt.compound(s), F.lit(k)) for k, s in parts_.items()]), lambda x: x.isNotNull()).alias("roles"),
     ).filter(F.size("roles") > 0)
-    below = found.select("page_id", "node_id", "label", F.explode("line").alias("holder"), "roles")
-    below = below.select("page_id", "node_id", "label", "holder", F.explode("roles").alias("role"))
-    wanted = cards.select("page_id", c("card").alias("holder")).unionByName(cards.select("page_id", c("anchor").alias("holder"))).distinct()
-    held = below.join(wanted, ["page_id", "holder"])
+    wanted = cards.select("page_id", c("card").alias("node_id")).unionByName(cards.select("page_id", c("anchor").alias("node_id"))).distinct()
+    wanted = el.join(wanted, ["page_id", "node_id"], "left_semi")
+    held = nt.enclosed(found, wanted).join(found, ["page_id", "node_id"]).select("page_id", "node_id", "label", "holder", F.explode("roles").alias("role"))
     held_text = nt.subtree_texts(nodes, held.filter(c("role").isin("headline", "small", "score")))
     h = held.join(held_text, ["page_id", "node_id"], "left").groupBy("page_id", "holder").agg(
         *[F.min_by("label", F.when(c("role") == r, c("node_id"))).alias(r) for r in ("star", "stars", "labelled")],

@@ -40,7 +40,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def release() -> None:
-    """Deletes what was staged so far. Call it when no result that reads it is still needed; it also runs at exit."""
+    """Deletes what was staged or cut so far. Call it when no result that reads it is still needed; it also runs at exit."""
     while _STAGED:
         spark, path = _STAGED.pop()
         jvm = spark.sparkContext._jvm
@@ -60,12 +60,21 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def _children(spark: SparkSession, folder: str) -> set[str]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {status.getPath().toString() for status in files.listStatus(place)} if files.exists(place) else set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint so iterative plans stay short."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    before = _children(spark, spark.sparkContext.getCheckpointDir())
+    done = df.checkpoint(eager=True)
+    _STAGED.extend((spark, path) for path in _children(spark, spark.sparkContext.getCheckpointDir()) - before)
+    return done
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -16,8 +16,13 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _SENT:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="pagegrid-"), "pagegrid.zip")
-        with zipfile.PyZipFile(path, "w") as packed:
-            packed.writepy(package)
+        with zipfile.ZipFile(path, "w") as packed:
+            # sources only: nothing is compiled beside them, as the package may lie in a read-only folder
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    source = os.path.join(folder, name)
+                    with open(source, "rb") as text:
+                        packed.writestr(os.path.relpath(source, os.path.dirname(package)), text.read())
         spark.sparkContext.addPyFile(path)
         _SENT.add(app)
     return spark

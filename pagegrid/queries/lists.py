@@ -71,8 +71,8 @@ def _(t):
 
 @query("x03_selectors", "SELECT page_id, 'body > nav > ul > li:nth-of-type(2) > a' AS selector, 'body > nav > ul > li > a' AS general FROM pages WHERE html LIKE '%</li><li>%'")
 def _(t):
-    n = nt.elements(nt.node_table(t.pages)).filter((c("tag") == "a") & F.array_contains("spots", "li:2"))
-    return n.select("page_id", nt.absolute_selector().alias("selector")).select("page_id", "selector", nt.generalise(c("selector")).alias("general"))
+    n = _nodes(t)
+    return nt.absolute_selectors(n, nt.select(n, "li:nth-of-type(2) a")).select("page_id", "selector", nt.generalise(c("selector")).alias("general"))
 
 
 # -- order pages: each order's lines as a card list, since the stored pages hold no cards ------------------

@@ -174,20 +174,31 @@ def test_field_diff_sees_every_depth(spark):
     assert row["field"].count(".") == 29 and row["previous"] == "x" and row["current"] == '[1.5,{"a":2}]'
 
 
-def test_cron_walk_across_skipped_and_repeated_time():
+def test_cron_across_skipped_and_repeated_time(spark):
     from zoneinfo import ZoneInfo
 
-    from pagegrid.functions import cronwalk
-
     # a zone that skips a whole day, one that repeats a day, short and odd clock changes
     starts = {"Pacific/Apia": dt.datetime(2011, 12, 29), "Pacific/Kwajalein": dt.datetime(1969, 9, 29), "Australia/Lord_Howe": dt.datetime(2024, 4, 6), "Europe/Berlin": dt.datetime(2024, 10, 26), "America/New_York": dt.datetime(2024, 3, 9), "UTC": dt.datetime(2024, 2, 28)}
     rnd = random.Random(3)
-    every = frozenset(range(1, 32)), frozenset(range(1, 13)), frozenset(range(7))
+    cases, want = [], []
     for zone, base in starts.items():
         for _ in range(12):
             start = int(base.replace(tzinfo=dt.timezone.utc).timestamp()) + 60 * rnd.randrange(2880)
-            minutes = tuple(sorted(rnd.sample(range(1440), rnd.choice([1, 3, 40]))))
-            days = rnd.choice([every[0], frozenset(rnd.sample(range(1, 32), 9))])
-            local = [(start + 60 * i, dt.datetime.fromtimestamp(start + 60 * i, ZoneInfo(zone))) for i in range(4 * 1440)]
-            want = next((u for u, t in local if t.hour * 60 + t.minute in minutes and t.day in days), None)
-            assert cronwalk.next_run(minutes, days, every[1], every[2], zone, start, start + 4 * 86_400) == want
+            minutes, hours = sorted(rnd.sample(range(60), rnd.choice([1, 3, 40]))), sorted(rnd.sample(range(24), rnd.choice([1, 4, 24])))
+            days = rnd.choice([list(range(1, 32)), sorted(rnd.sample(range(1, 32), 9))])
+            local = [(start + 60 * i, dt.datetime.fromtimestamp(start + 60 * i, ZoneInfo(zone))) for i in range(1, 4 * 1440)]
+            want.append(next((u for u, t in local if t.hour in hours and t.minute in minutes and t.day in days), None))
+            cases.append((len(cases), f"{','.join(map(str, minutes))} {','.join(map(str, hours))} {','.join(map(str, days))} * *", zone, dt.datetime.fromtimestamp(start, dt.timezone.utc)))
+    df = spark.createDataFrame(cases, "id int, cron_expr string, timezone string, from_ts timestamp")
+    solved = jobs.next_cron_runs(df, "from_ts", 4 * 1440 - 1).select("id", F.unix_seconds("next_run_at").alias("at"))
+    got = {r["id"]: r["at"] for r in solved.collect()}
+    assert [got[i] for i in range(len(cases))] == want
+    assert "Python" not in solved._jdf.queryExecution().toString() and "Arrow" not in solved._jdf.queryExecution().toString()
+
+
+def test_cron_zones(spark):
+    rows = [(1, "0 9 * * *", "Nowhere/Else"), (2, "0 9 * * *", "UTC+5"), (3, "0 9 * * *", "-3:30"), (4, "0 9 * * *", None), (5, "0 9 * *", "UTC"), (6, "0 9 * * *", " "), (7, "0 9 * * *", "+02:00"), (8, None, "UTC")]
+    df = spark.createDataFrame([(i, e, z, ts("2024-01-01 00:00:00")) for i, e, z in rows] + [(9, "0 9 * * *", "UTC", None)], "id int, cron_expr string, timezone string, from_ts timestamp")
+    got = {r["id"]: r["next_run_at"] and r["next_run_at"].strftime("%d %H:%M") for r in jobs.next_cron_runs(df, "from_ts").collect()}
+    assert got == {1: None, 2: "01 04:00", 3: "01 12:30", 4: "01 09:00", 5: None, 6: "01 09:00", 7: "01 07:00", 8: None, 9: None}
+    assert jobs.next_cron_runs(df.limit(0), "from_ts").count() == 0

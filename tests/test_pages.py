@@ -1,9 +1,13 @@
 """Page fixtures: tags, contacts, JSON-LD, images, places, links, node table, lists."""
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagegrid.functions import contacts, labels, text, urls
 from pagegrid.operators import autodetect, images, links, nodes, pages, places
+from pagegrid.plans.lineage import stage
 
 c = F.col
 
@@ -149,9 +153,53 @@ def test_list_extraction_and_selectors(spark):
     n = nodes.node_table(p)
     assert nodes.select(n, "article:nth-of-type(2) h2, a[href^='/item'], a[class~=next]").count() == 8
     assert one(autodetect.next_links(p, n))["next_url"] == "https://e.example/dir/p.html?page=2"
-    sel = nodes.elements(n).filter("tag = 'em'").orderBy("node_id").select(nodes.absolute_selector().alias("s")).first()["s"]
+    sel = nodes.absolute_selectors(n, nodes.elements(n).filter("tag = 'em'")).orderBy("node_id").first()["selector"]
     assert sel == "body > div > section > article:nth-of-type(1) > p > em"
-    assert nodes.elements(n).filter("id = 'main'").select(nodes.absolute_selector().alias("s")).first()["s"] == "#main"
+    assert one(nodes.absolute_selectors(n, nodes.elements(n).filter("id = 'main'")))["selector"] == "#main"
+
+
+def test_deep_and_wide_pages_stay_linear(spark):
+    deep = "<body>" + "".join(f"<div><b>{i}</b>" for i in range(5000)) + "</div>" * 5000 + "</body>"
+    wide = "<body><ul>" + "".join(f"<li><a href='/{i}'>n{i}</a></li>" for i in range(5000)) + "</ul></body>"
+    both = page(spark, deep).unionByName(page(spark, wide, page_id=2))
+    start = time.time()
+    n = stage(nodes.node_table(both), "nodes")
+    assert nodes.select(n, "div div > b").count() == 4999 and nodes.select(n, "body div + b, li + li > a").count() == 4999
+    rows = nodes.extract_list(both, "li", [{"name": "name", "selector": "a"}, {"name": "link", "selector": ":scope > a", "extractMode": "link_url"}])
+    assert rows.filter("name = 'n4999' AND link = 'https://e.example/4999'").count() == 1 and rows.count() == 5000
+    texts = nodes.subtree_texts(n, nodes.select(n, "body > div > div"))
+    assert one(texts)["content"] == " ".join(map(str, range(1, 5000)))
+    assert time.time() - start < 60
+
+
+def test_enclosed_and_first_match(spark):
+    rng = random.Random(5)
+    parts, opened = ["<body>"], []
+    for i in range(300):
+        if opened and rng.random() < 0.45:
+            parts.append(f"</{opened.pop()}>")
+        else:
+            opened.append(rng.choice(["i", "b", "u"]))
+            parts.append(f"<{opened[-1]}>t{i}")
+    n = stage(nodes.node_table(page(spark, "".join(parts))), "nodes")
+    rows = nodes.elements(n).collect()
+    span = {r["node_id"]: (r["tag"], r["post"]) for r in rows}
+    inside = {(p, h) for p, (tp, _) in span.items() for h, (th, end) in span.items() if tp == "b" and th == "i" and h < p <= end}
+    pick = lambda tag: nodes.elements(n).filter(c("tag") == tag)
+    assert {(r["node_id"], r["holder"]) for r in nodes.enclosed(pick("b"), pick("i")).collect()} == inside
+    assert {(r["node_id"], r["holder"]) for r in nodes.enclosed(pick("b"), pick("b"), or_self=True).collect() if r["node_id"] == r["holder"]} == {(p, p) for p, (t, _) in span.items() if t == "b"}
+    first = {(r["container"], r["node_id"]) for r in nodes.first_match(pick("b"), pick("i")).collect()}
+    assert first == {(h, min(p for p, x in inside if x == h)) for _, h in inside}
+    assert {r["node_id"] for r in nodes.select(n, "i b").collect()} == {p for p, _ in inside}
+    parent = {r["node_id"]: r["parent_id"] for r in rows}
+    assert {r["node_id"] for r in nodes.select(n, "i > b").collect()} == {p for p, h in inside if parent[p] == h}
+
+
+def test_attribute_hints(spark):
+    n = nodes.node_table(page(spark, '<body><a href="/x" title="t" class="k">x</a><img alt="p"><p data-id="7">y</p></body>'))
+    got = {r["tag"]: [(h["mode"], h["attribute"]) for h in r["hints"]] for r in nodes.elements(n).select("tag", nodes.attribute_hints().alias("hints")).collect()}
+    assert got["a"] == [("link_url", ""), ("attribute", "title"), ("attribute", "class")] and got["img"] == [("image_url", ""), ("attribute", "alt")]
+    assert got["p"] == [("attribute", "data-id")] and got["body"] == []
 
 
 def test_autodetect(spark):

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegrid.functions.times import CRON_FIELDS
-from pagegrid.functions.urls import let
 
 c = F.col
 
@@ -25,88 +24,78 @@ _MONTHS = 13
 _SHORT = ("EST", "MST", "HST")
 
 
-def _shl(word: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", word, by.cast("int"))
+# Expressions are put together as text: the search is a few hundred operators, which the parser reads at once.
 
 
-def bits(values: Column) -> Column:
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` bound to ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _bits(values: str) -> str:
     """A word with a bit for each value (below 63)."""
-    return F.aggregate(values, F.lit(0).cast("long"), lambda word, v: word.bitwiseOR(_shl(F.lit(1).cast("long"), v)))
+    return f"aggregate({values}, 0L, (word, v) -> word | shiftleft(1L, v))"
 
 
-def next_bit(word: Column, place: Column) -> Column:
+def _next_bit(word: str, place: str) -> str:
     """The lowest bit of ``word`` at or above ``place``; null if there is none."""
-    left = word.bitwiseAND(_shl(F.lit(-1).cast("long"), place))
-    return let(left, lambda x: F.when(x != 0, F.bit_count(x.bitwiseAND(-x) - 1)))
+    return _let(f"({word}) & shiftleft(-1L, cast({place} as int))", "left_bits", "case when left_bits <> 0 then bit_count((left_bits & -left_bits) - 1) end")
 
 
-def words(fields: Column) -> Column:
+def words(fields: str) -> Column:
     """The five fields of ``times.cron_fields`` as words."""
-    return F.struct(*[bits(fields[name]).alias(name) for name, _, _ in CRON_FIELDS])
+    return F.expr("struct(" + ", ".join(f"{_bits(f'{fields}.{name}')} as {name}" for name, _, _ in CRON_FIELDS) + ")")
 
 
-def _month_days(k: Column, first: Column) -> Column:
+def _month_days(k: str, first: str) -> str:
     """Matching days of the month that begins at ``first``, bit 0 for its first day."""
     # bit i of a turned week says whether the weekday i days after the month's first is listed
-    weekday = F.dayofweek(first) - 1
-    turned = F.call_function("shiftright", k["dow"], weekday.cast("int")).bitwiseOR(_shl(k["dow"], F.lit(7) - weekday)).bitwiseAND(127)
-    five_weeks = turned * F.lit(1 + (1 << 7) + (1 << 14) + (1 << 21) + (1 << 28)).cast("long")
-    length = _shl(F.lit(1).cast("long"), F.day(F.last_day(first))) - 1
-    listed = _shl(F.lit(1).cast("long"), F.month(first)).bitwiseAND(k["month"]) != 0
-    days = F.call_function("shiftright", k["day"], F.lit(1)).bitwiseAND(five_weeks).bitwiseAND(length)
-    return F.when(listed, days).otherwise(F.lit(0).cast("long"))
+    turned = f"(shiftright({k}.dow, dayofweek({first}) - 1) | shiftleft({k}.dow, 8 - dayofweek({first}))) & 127L"
+    five_weeks = f"({turned}) * {1 + (1 << 7) + (1 << 14) + (1 << 21) + (1 << 28)}L"
+    days = f"shiftright({k}.day, 1) & ({five_weeks}) & (shiftleft(1L, day(last_day({first}))) - 1)"
+    return f"case when (shiftleft(1L, month({first})) & {k}.month) <> 0 then {days} else 0L end"
 
 
-def next_day(k: Column, day: Column) -> Column:
+def _next_day(k: str, day: str) -> str:
     """First matching day (days since 1970) from ``day`` on within the months of the search; else null."""
 
-    def of_month(first: Column, place: Column) -> Column:
-        return F.datediff(first, F.lit("1970-01-01").cast("date")) + next_bit(_month_days(k, first), place)
+    def of_month(first: str, place: str) -> str:
+        return _let(first, "first_day", f"datediff(first_day, date'1970-01-01') + {_next_bit(_month_days(k, 'first_day'), place)}")
 
-    def search(date: Column) -> Column:
-        month = F.trunc(date, "MM")
-        later = F.transform(F.sequence(F.lit(1), F.lit(_MONTHS)), lambda j: of_month(F.add_months(month, j), F.lit(0)))
-        return F.coalesce(of_month(month, F.day(date) - 1), F.array_min(later))
+    later = f"array_min(transform(sequence(1, {_MONTHS}), j -> {of_month("add_months(trunc(a_date, 'MM'), j)", '0')}))"
+    return _let(f"date_add(date'1970-01-01', cast({day} as int))", "a_date", f"coalesce({of_month("trunc(a_date, 'MM')", 'day(a_date) - 1')}, {later})")
 
-    return let(F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")), search)
 
-
-def _next_of_day(k: Column, minute: Column) -> Column:
+def _next_of_day(k: str, minute: str) -> str:
     """First matching minute of a day from ``minute`` on; else null."""
-    hour = F.floor(minute / 60).cast("int")
-    listed = _shl(F.lit(1).cast("long"), hour).bitwiseAND(k["hour"]) != 0
-    same = F.when(listed, hour * 60 + next_bit(k["minute"], minute - hour * 60))
-    return F.coalesce(same, next_bit(k["hour"], hour + 1) * 60 + next_bit(k["minute"], F.lit(0)))
+    same = f"case when (shiftleft(1L, hour_at) & {k}.hour) <> 0 then hour_at * 60 + {_next_bit(f'{k}.minute', f'{minute} - hour_at * 60')} end"
+    after = f"{_next_bit(f'{k}.hour', 'hour_at + 1')} * 60 + {_next_bit(f'{k}.minute', '0')}"
+    return _let(f"cast({minute} div 60 as int)", "hour_at", f"coalesce({same}, {after})")
 
 
-def _next_local(k: Column, at: Column) -> Column:
+def _next_local(k: str, at: str) -> str:
     """First matching local minute (minutes since 1970) from ``at`` on; else null."""
+    first = f"{_next_bit(f'{k}.hour', '0')} * 60 + {_next_bit(f'{k}.minute', '0')}"
+    today = f"case when {_next_day(k, 'p.on_day')} = p.on_day then p.on_day * {_DAY_MINUTES} + {_next_of_day(k, 'p.at_minute')} end"
+    later = f"{_next_day(k, 'p.on_day + 1')} * {_DAY_MINUTES} + {first}"
+    place = f"struct(floor({at} / {_DAY_MINUTES}) as on_day, cast(pmod({at}, {_DAY_MINUTES}) as int) as at_minute)"
+    return _let(place, "p", f"coalesce({today}, {later})")
 
-    def from_day(x: Column) -> Column:
-        later = next_day(k, x["day"] + 1) * _DAY_MINUTES + next_bit(k["hour"], F.lit(0)) * 60 + next_bit(k["minute"], F.lit(0))
-        return F.coalesce(F.when(next_day(k, x["day"]) == x["day"], x["day"] * _DAY_MINUTES + _next_of_day(k, x["minute"])), later)
-
-    day = F.floor(at / _DAY_MINUTES)
-    return let(F.struct(day.alias("day"), (at - day * _DAY_MINUTES).cast("int").alias("minute")), from_day)
 
-
-def _in_stretch(k: Column, stretch: Column, start: Column, end: Column) -> Column:
+def _in_stretch(k: str, stretch: str, start: str, end: str) -> str:
     """First matching second, a whole minute, of [start, end) inside a stretch (lo, hi, offset); else null."""
     # at whole minutes of UTC the local minute is the minute plus the whole minutes of the offset
-    shift = F.floor(stretch["offset"] / 60)
-    first = F.ceil(F.greatest(stretch["lo"], start) / 60)
-    found = let(_next_local(k, first + shift), lambda local: (local - shift) * 60)
-    return let(found, lambda x: F.when((x < stretch["hi"]) & (x < end), x))
-
-
-def next_run(k: Column, stretches: Column, start: Column, end: Column) -> Column:
-    """First second in [start, end), a whole minute, whose local time matches ``k`` (see ``words``); else null."""
+    local = _let(f"cast(ceil(greatest({stretch}.lo, {start}) / 60) as bigint) + floor({stretch}.offset / 60)", "from_minute", _next_local(k, "from_minute"))
+    found = f"({local} - floor({stretch}.offset / 60)) * 60"
+    return _let(found, "found_at", f"case when found_at < {stretch}.hi and found_at < {end} then found_at end")
 
-    def later(rest: Column) -> Column:
-        return F.array_min(F.transform(rest, lambda s: _in_stretch(k, s, start, end)))
 
-    reached = F.filter(stretches, lambda s: (s["hi"] > start) & (s["lo"] < end))
-    return let(reached, lambda r: F.coalesce(_in_stretch(k, F.get(r, F.lit(0)), start, end), later(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))))
+def next_run(k: str, stretches: str, start: str, end: str) -> Column:
+    """First second in [start, end), a whole minute, whose local time matches; else null. ``k``: column of ``words``."""
+    reached = f"filter({stretches}, s -> s.hi > {start} and s.lo < {end})"
+    here = _let("get(reached, 0)", "st", _in_stretch(k, "st", start, end))
+    later = f"array_min(transform(slice(reached, 2, greatest(size(reached) - 1, 0)), st -> {_in_stretch(k, 'st', start, end)}))"
+    return F.expr(_let(reached, "reached", f"coalesce({here}, {later})"))
 
 
 def valid_zone(zone: Column) -> Column:

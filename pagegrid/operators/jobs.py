@@ -233,10 +233,10 @@ def next_cron_runs(schedules: DataFrame, from_ts: str, look_ahead_minutes: int =
     # written first: a filter on the parsed fields would move below the distinct step and parse every row
     texts = stage(rows.select(c("cron_expr").alias("__expr")).distinct(), "expressions")
     valid = texts.select("__expr", times.cron_fields(c("__expr")).alias("k")).filter("k.valid")
-    parsed = stage(valid.select("__expr", cronbits.words(c("k")).alias("k")), "cron")
+    parsed = stage(valid.select("__expr", cronbits.words("k").alias("k")), "cron")
     sent = lambda df, most: F.broadcast(df) if df.count() <= most else df
     j = rows.join(sent(parsed, _SENT_EXPRESSIONS), c("cron_expr") == c("__expr"), "left").join(sent(zones, _SENT_ZONES), c("timezone").eqNullSafe(c("__named")), "left")
-    found = cronbits.next_run(c("k"), c("stretches"), c("start"), c("start") + look_ahead_minutes * 60)
+    found = cronbits.next_run("k", "stretches", "start", f"(start + {look_ahead_minutes * 60})")
     solvable = c("k").isNotNull() & c("stretches").isNotNull() & c("start").isNotNull()
     return j.select("id", F.timestamp_seconds(F.when(solvable, found)).alias("next_run_at"))
 

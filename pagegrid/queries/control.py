@@ -83,6 +83,17 @@ def _(t):
     return accounts.remove_devices(t.v_devices, gone).select("account_id", "device_id")
 
 
+@query("q05_device_list", "SELECT d.account_id, device_id, d.created_at, last_seen_at, max_devices FROM v_devices d JOIN v_accounts a ON a.id = d.account_id WHERE d.account_id = 7")
+def _(t):
+    return accounts.list_devices(t.v_devices, t.v_accounts, 7).select("account_id", "device_id", "created_at", "last_seen_at", "max_devices")
+
+
+@query("p20_live_keys", f"SELECT event_id, user_id FROM events WHERE ts + INTERVAL 24 HOURS > {_TS}")
+def _(t):
+    keys = t.events.select("event_id", "user_id", (c("ts").cast("timestamp") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
+    return accounts.live_keys(keys, at()).select("event_id", "user_id")
+
+
 def _sessions(t):
     e = t.events.withColumn("at", c("ts").cast("timestamp"))
     return e.select("event_id", "user_id", F.when(c("event_type") == "error", c("at")).alias("revoked_at"), (c("at") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"))
@@ -375,6 +386,25 @@ def _(t):
     return jobs.toggle(_due_sched(t), sw, at()).select("id", "is_active", "next_run_at")
 
 
+_SAVED = f"CASE WHEN NOT d.is_active THEN {_TS} + INTERVAL 365 DAYS ELSE {_NEXT_CRON.format(at=_TS).replace('schedule_kind', 'd.schedule_kind').replace('interval_minutes', 'd.interval_minutes')} END"
+
+
+@query(
+    "q04_save_schedules",
+    f"""WITH o AS (SELECT * FROM v_schedules WHERE id % 3 <> 1), d AS (SELECT * REPLACE (id % 5 <> 0 AS is_active) FROM v_schedules WHERE id % 2 = 0)
+      SELECT coalesce(o.id, d.id) AS id, CASE WHEN d.id IS NOT NULL THEN d.is_active ELSE o.is_active END AS is_active, coalesce(d.schedule_kind, o.schedule_kind) AS schedule_kind,
+        CASE WHEN d.id IS NOT NULL THEN 'New name' ELSE 'Watch ' || (o.account_id % 50) END AS name, CASE WHEN d.id IS NULL THEN o.created_at ELSE {_SAVED} END AS next_run_at,
+        coalesce(o.created_at, {_TS}) AS created_at, CASE WHEN d.id IS NULL THEN o.created_at ELSE {_TS} END AS updated_at, coalesce(o.max_attempts, 0) AS max_attempts FROM (SELECT *, 5 AS max_attempts FROM o) o FULL JOIN d ON d.id = o.id""",
+)
+def _(t):
+    stored = _due_sched(t).filter("id % 3 <> 1")
+    given = _due_sched(t).filter("id % 2 = 0").select(
+        "id", "account_id", (c("id") % 5 != 0).alias("is_active"), "schedule_kind", "interval_minutes", "cron_expr", "timezone", F.lit("New name").alias("name"), "next_run_at"
+    )
+    saved = jobs.save_schedules(stored, given, at())
+    return saved.select("id", "is_active", "schedule_kind", "name", "next_run_at", "created_at", "updated_at", F.coalesce("max_attempts", F.lit(0)).alias("max_attempts"))
+
+
 @query(
     "q04_schedule_input",
     """SELECT id, CASE WHEN account_id % 50 = 7 THEN 'INVALID_SCHEDULE_NAME' WHEN schedule_kind = 'cron' THEN NULL WHEN interval_minutes > 20 THEN 'INVALID_INTERVAL_MINUTES' END AS code FROM v_schedules""",

@@ -45,6 +45,20 @@ def _(t):
     return links.deep_scan(t.pages, depth=2)
 
 
+#: customer pages that link to each other, with addresses that several of them share
+@query(
+    "j10_linked_scan",
+    f"""WITH RECURSIVE e AS ({_EDGES}), p AS (SELECT DISTINCT src FROM e), k AS (SELECT e.src, e.dst FROM e JOIN p ON p.src = e.dst),
+      w AS (SELECT src AS seed, src AS node, 0 AS depth FROM p UNION SELECT w.seed, k.dst, w.depth + 1 FROM w JOIN k ON k.src = w.node WHERE w.depth < 2)
+      SELECT concat('https://h.example/c/', CAST(seed AS VARCHAR)) AS url, count(DISTINCT node) - 1 AS scanned_pages, count(DISTINCT node % 40) AS email_count FROM w GROUP BY seed""",
+)
+def _(t):
+    link = F.concat(F.lit('<a href="/c/'), (c("o_orderkey") * 7) % 1500, F.lit('">x</a>'))
+    made = t.orders.select(c("o_custkey").alias("page_id"), link.alias("link")).groupBy("page_id").agg(F.array_join(F.collect_set("link"), "").alias("links"))
+    html = F.concat(F.lit("<body>mail"), c("page_id") % 40, F.lit("@h.example "), c("links"), F.lit("</body>"))
+    return links.deep_scan(made.select("page_id", F.concat(F.lit("https://h.example/c/"), "page_id").alias("url"), html.alias("html")), depth=2)
+
+
 _ROW_URLS = f"""WITH v AS (SELECT page_id, url AS v FROM pages UNION ALL SELECT page_id, 'see ' || replace(url, 'http:', 'https:') || ' or "https://www.google.com/search?q=' || page_id || '" now' FROM pages),
   e AS (SELECT page_id, unnest(regexp_extract_all(v, '(?i)https?://[^\\s)"''<>]+')) AS raw FROM v), n AS (SELECT page_id, {s.url_full('raw')} AS url FROM e WHERE NOT contains({s.url_host('raw')}, 'google.'))
   SELECT url, min(page_id) AS first_seen FROM n GROUP BY url"""

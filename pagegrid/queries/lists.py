@@ -75,6 +75,47 @@ def _(t):
     return nt.absolute_selectors(n, nt.select(n, "li:nth-of-type(2) a")).select("page_id", "selector", nt.generalise(c("selector")).alias("general"))
 
 
+@query(
+    "x03_attribute_hints",
+    """SELECT page_id, 'a' AS tag, 'link_url' AS mode, '' AS attribute, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n FROM pages WHERE contains(html, '<a href=')
+      UNION ALL SELECT page_id, 'div', 'attribute', 'class', CAST(len(regexp_extract_all(html, '<div class=')) AS BIGINT) FROM pages WHERE contains(html, '<div class=')""",
+)
+def _(t):
+    n = nt.elements(nt.node_table(t.pages)).select("page_id", "tag", F.explode(nt.attribute_hints()).alias("h"))
+    return n.groupBy("page_id", "tag", "h.mode", "h.attribute").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- paged lists: each customer's pages lead from one to the next, and every other list leads back to its first page
+
+
+def _steps(t):
+    return t.customer.select(c("c_custkey").alias("run_id"), F.explode(F.sequence(F.lit(1), (c("c_custkey") % 5 + 2).cast("int"))).alias("step"), (c("c_custkey") % 5 + 2).cast("int").alias("last"))
+
+
+def _paged(t):
+    after = F.when(c("step") < c("last"), c("step") + 1).when(c("run_id") % 2 == 0, F.lit(1))
+    link = F.when(after.isNotNull(), F.concat(F.lit('<li class="next"><a href="/c/'), "run_id", F.lit("/"), after, F.lit('">on</a></li>'))).otherwise("")
+    html = F.concat(F.lit('<body><ul><li><a href="/c/'), "run_id", F.lit('">all</a></li>'), link, F.lit("</ul></body>"))
+    return _steps(t).select((c("run_id") * 10 + c("step")).alias("page_id"), F.concat(F.lit("https://shop.example.com/c/"), "run_id", F.lit("/"), "step").alias("url"), html.alias("html"), "run_id", "step")
+
+
+_PAGED = "SELECT c_custkey AS run_id, unnest(range(1, c_custkey % 5 + 3)) AS step, c_custkey % 5 + 2 AS last FROM customer"
+_AFTER = "CASE WHEN step < last THEN step + 1 WHEN run_id % 2 = 0 THEN 1 END"
+
+
+@query("x04_next_links", f"SELECT run_id * 10 + step AS page_id, 'https://shop.example.com/c/' || run_id || '/' || ({_AFTER}) AS next_url FROM ({_PAGED}) WHERE ({_AFTER}) IS NOT NULL")
+def _(t):
+    pages = _paged(t)
+    return auto.next_links(pages, stage(nt.node_table(pages), "nodes"))
+
+
+@query("w09_next_link_cycles", f"SELECT run_id, CAST(last AS INT) AS step, 'next_link_cycle' AS stop_reason FROM ({_PAGED}) WHERE step = last AND run_id % 2 = 0")
+def _(t):
+    pages = stage(_paged(t), "paged")
+    found = auto.next_links(pages, stage(nt.node_table(pages), "nodes"))
+    return auto.navigation_cycle(pages.join(found, "page_id", "left").select("run_id", "step", "url", "next_url"))
+
+
 # -- order pages: each order's lines as a card list, since the stored pages hold no cards ------------------
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -191,7 +232,10 @@ def _(t):
 
 
 def _rounds(t):
-    return t.events.select(c("user_id").alias("run_id"), (F.dayofmonth("ts") - 1).alias("day"), (c("event_id") % 40).alias("row_key")).selectExpr("run_id", "row_key", "dense_rank() OVER (PARTITION BY run_id ORDER BY day) - 1 AS round")
+    # days are ranked once each, so a run of any size has as many rows in a task as it has days
+    rows = t.events.select(c("user_id").alias("run_id"), (F.dayofmonth("ts") - 1).alias("day"), (c("event_id") % 40).alias("row_key"))
+    ranked = rows.select("run_id", "day").distinct().selectExpr("run_id", "day", "row_number() OVER (PARTITION BY run_id ORDER BY day) - 1 AS round")
+    return rows.distinct().join(ranked, ["run_id", "day"]).select("run_id", "row_key", "round")
 
 
 _ROUNDS = """WITH r AS (SELECT user_id AS run_id, event_id % 40 AS row_key, dense_rank() OVER (PARTITION BY user_id ORDER BY day(ts)) - 1 AS round FROM events), f AS (SELECT run_id, row_key, min(round) AS round FROM r GROUP BY 1, 2),

@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from pagegrid.operators import profile as prof
 from pagegrid.operators import recovery, rows, seeds
+from pagegrid.plans.lineage import scratch_path
 from pagegrid.plans.ordered import running
 from pagegrid.plans.registry import query
 from pagegrid.queries import sqltext as s
@@ -127,6 +128,40 @@ def _(t):
     return t.v_rows.select("row_seq", F.to_json(F.struct("segment", "sparse", "image_url")).alias("line"))
 
 
+def _written(t, name, write):
+    """Runs an export into the scratch folder and gives its path."""
+    path = scratch_path(t.spark, name)
+    write(path)
+    return path
+
+
+_CSV = f"SELECT row_seq, {_csv_sql('priority')} || ',' || {_csv_sql('status')} || ',' || {_csv_sql('item')} || ',' || row_seq AS line FROM v_store"
+
+
+@query("s10_csv_file", f"SELECT line FROM ({_CSV}) UNION ALL SELECT 'priority,status,item,row_seq'")
+def _(t):
+    path = _written(t, "csv", lambda p: sinks.write_csv(t.v_store, p, [*STORE, "row_seq"]))
+    return t.spark.read.text(path).select(c("value").alias("line"))
+
+
+@query("s11_tsv_file", "SELECT priority || chr(9) || status || chr(9) || item AS line FROM v_store UNION ALL SELECT 'priority' || chr(9) || 'status' || chr(9) || 'item'")
+def _(t):
+    path = _written(t, "tsv", lambda p: sinks.write_tsv(t.v_store, p, STORE))
+    return t.spark.read.text(path).select(c("value").alias("line"))
+
+
+@query("s12_json_array", "SELECT row_seq, segment, image_url FROM v_rows")
+def _(t):
+    path = _written(t, "json", lambda p: sinks.write_json(t.v_rows, p, columns=["row_seq", "segment", "image_url"]))
+    return t.spark.read.schema("row_seq long, segment string, image_url string").option("multiLine", True).json(path)
+
+
+@query("s13_export_file", f"SELECT line FROM ({_CSV}) JOIN v_store USING (row_seq) WHERE contains(lower(priority), 'urgent') AND contains(lower(item), '1') UNION ALL SELECT 'priority,status,item,row_seq'")
+def _(t):
+    path = _written(t, "table", lambda p: sinks.export_table(t.v_store, [*STORE, "row_seq"], p, "csv", [c("created_at").desc(), c("row_seq").asc()], None, "Urgent", "item", "1"))
+    return t.spark.read.text(path).select(c("value").alias("line"))
+
+
 @query(
     "s13_export_rows",
     f"""WITH l AS (SELECT * FROM v_store ORDER BY created_at DESC, row_seq LIMIT 5000)

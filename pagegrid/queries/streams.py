@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from pagegrid.operators import monitor as mon
 from pagegrid.operators import rows
+from pagegrid.plans.lineage import scratch_path
 from pagegrid.plans.registry import query
 from pagegrid.plans.tables import VIEWS
 from pagegrid.queries import sqltext as s
 from pagegrid.queries.monitor import _HIST
 from pagegrid.queries.rows import STORE
-from pagegrid.streaming import append, stateful, windows
+from pagegrid.streaming import append, memory, stateful, windows
 from pagegrid.streaming.run import file_stream, settle
 
 c = F.col
@@ -27,12 +28,13 @@ def _view(t, name, source="events"):
 
 @query(
     "st1_sliding_requests",
-    f"""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k) AS window_start, status_code FROM v_requests, (SELECT unnest(range(0, 12)) AS k))
+    f"""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) - to_minutes(5 * k) AS window_start, status_code, duration_ms FROM v_requests, (SELECT unnest(range(0, 12)) AS k))
       SELECT window_start, count(*) AS requests_total, count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) AS status_2xx, count(*) FILTER (WHERE status_code BETWEEN 400 AND 499) AS status_4xx, count(*) FILTER (WHERE status_code >= 500) AS status_5xx,
-        {s.pct('count(*) FILTER (WHERE status_code >= 500)', 'count(*)')} AS error_rate_percent FROM w GROUP BY 1 HAVING window_start + INTERVAL 60 MINUTES <= {_MARK}""",
+        {s.pct('count(*) FILTER (WHERE status_code >= 500)', 'count(*)')} AS error_rate_percent, quantile_disc(duration_ms, 0.95) AS p95 FROM w GROUP BY 1 HAVING window_start + INTERVAL 60 MINUTES <= {_MARK}""",
 )
 def _(t):
-    return settle(windows.sliding_requests(_view(t, "v_requests")), "st1").drop("p95_approx")
+    # a window here holds fewer samples than the accuracy of the percentile, so it is the nearest rank
+    return settle(windows.sliding_requests(_view(t, "v_requests")), "st1").withColumnRenamed("p95_approx", "p95")
 
 
 @query("st2_unseen_entities", "SELECT scope, key, count(*) AS n FROM (SELECT DISTINCT event_type AS scope, 'u' || user_id AS key FROM events WHERE user_id > 2 UNION ALL SELECT event_type, '' FROM events WHERE user_id <= 2) GROUP BY 1, 2")
@@ -41,6 +43,31 @@ def _(t):
     return settle(windows.unseen_entities(e, "scope", "key", "ts"), "st2").groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RUNS = "SELECT event_id, event_type AS scope, CASE WHEN user_id > 2 THEN 'u' || user_id ELSE '' END AS key, (day(ts) - 1) // 8 AS run FROM events"
+
+
+#: four runs over arriving files, with a memory of the newest 100 entities of a scope
+@query(
+    "st2_seen_memory",
+    f"""WITH RECURSIVE e AS ({_RUNS}), f AS (SELECT scope, run, key, min(event_id) AS at FROM e WHERE key <> '' GROUP BY ALL), k AS (SELECT scope, run, list(key ORDER BY at) AS keys FROM f GROUP BY 1, 2),
+      n AS (SELECT scope, run, count(*) AS n, count(*) FILTER (WHERE key = '') AS blank FROM e GROUP BY 1, 2),
+      m AS (SELECT scope, -1 AS run, CAST([] AS VARCHAR[]) AS mem, CAST(0 AS BIGINT) AS fresh FROM (SELECT DISTINCT scope FROM e)
+        UNION ALL SELECT scope, run, mem[greatest(1, len(mem) - 99):], fresh FROM (
+          SELECT m.scope, m.run + 1 AS run, list_concat(m.mem, list_filter(coalesce(k.keys, []), lambda x: NOT list_contains(m.mem, x))) AS mem, CAST(len(list_filter(coalesce(k.keys, []), lambda x: NOT list_contains(m.mem, x))) AS BIGINT) AS fresh
+          FROM m LEFT JOIN k ON k.scope = m.scope AND k.run = m.run + 1 WHERE m.run < 3))
+      SELECT CAST(run AS INT) AS run, scope, fresh + blank AS accepted, n - fresh - blank AS skipped FROM m JOIN n USING (scope, run)""",
+)
+def _(t):
+    key = F.when(c("user_id") > 2, F.concat(F.lit("u"), "user_id")).otherwise("")
+    e = t.events.select("event_id", c("event_type").alias("scope"), key.alias("key"), F.expr("(dayofmonth(ts) - 1) div 8").alias("run"))
+    arriving, base = scratch_path(t.spark, "arriving"), scratch_path(t.spark, "memory")
+    for run in range(4):
+        e.filter(c("run") == run).drop("run").write.mode("append").parquet(arriving)
+        memory.seen_memory(t.spark.readStream.schema("event_id long, scope string, key string").parquet(arriving), base, "scope", "key", "event_id", limit=100)
+    counters = t.spark.read.schema("scope string, accepted long, skipped long, batch_id int").parquet(f"{base}/counters")
+    return counters.select(c("batch_id").alias("run"), "scope", "accepted", "skipped")
+
+
 @query("st3_monitor_runs", f"{_HIST} SELECT run_id, account_id, monitor_key, first_run, changed, row_number() OVER w AS run_count, CAST(sum(CAST(changed AS INT)) OVER w AS BIGINT) AS change_count FROM f WINDOW w AS (PARTITION BY account_id, monitor_key ORDER BY run_at, run_id ROWS UNBOUNDED PRECEDING)")
 def _(t):
     v = _view(t, "v_monitor")

@@ -1,11 +1,13 @@
-"""Render row tables as text lines and write them. Lines are made in parallel; nothing is gathered."""
+"""Render row tables as text lines and write them as one ordered file. Lines are made in parallel; nothing is gathered."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagegrid.functions.text import csv_cell, tsv_cell
+from pagegrid.plans.lineage import scratch_path
 
 BOM = "﻿"
 
@@ -25,30 +27,53 @@ def csv_header(columns: Sequence[str]) -> str:
     return BOM + ",".join(cell(n) for n in columns)
 
 
-def write_lines(df: DataFrame, line: Column, path: str, header: str | None = None) -> None:
-    """Text parts under ``path``; the header is its own part, named so that it sorts first when joined.
+def _append(spark: SparkSession, parts: str, path: str, head: str, between: str, tail: str) -> None:
+    """One file of ``head``, the part files under ``parts`` in order without the last ``between``, and ``tail``.
 
-    Both writes go through the normal commit protocol, so a lost executor leaves no half file.
+    Parts are appended by the file system's streams, some kilobytes at a time. The file gets its name when it is complete.
     """
-    if header is not None:
-        df.sparkSession.range(1).select(F.lit(header).alias("value")).write.mode("overwrite").text(f"{path}/part=0header")
-    df.select(line.alias("value")).write.mode("overwrite").text(f"{path}/part=1rows" if header is not None else path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda text: jvm.org.apache.hadoop.fs.Path(text)
+    files = at(path).getFileSystem(conf)
+    listed = sorted((s.getPath().getName(), s.getLen(), s.getPath()) for s in at(parts).getFileSystem(conf).listStatus(at(parts)) if s.getPath().getName().startswith("part-") and s.getLen())
+    unfinished = at(f"{path}.{uuid.uuid4().hex}.part")
+    out = files.create(unfinished)
+    out.write(bytearray((head if listed or not head.endswith("\n") else head[:-1]).encode()))
+    for i, (_, size, part) in enumerate(listed):
+        source = part.getFileSystem(conf).open(part)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size - (len(between.encode()) if i == len(listed) - 1 else 0))
+        source.close()
+    out.write(bytearray(tail.encode()))
+    out.close()
+    files.delete(at(path), True)
+    if not files.rename(unfinished, at(path)):
+        raise OSError(f"cannot name the export {path}")
+
+
+def write_lines(df: DataFrame, line: Column, path: str, head: str = "", between: str = "\n", tail: str = "") -> None:
+    """One file: ``head``, the lines of ``df`` in its order with ``between`` between them, ``tail``.
+
+    Lines are made and written in parallel, in parts that the commit protocol keeps whole; the parts are then appended.
+    """
+    parts = scratch_path(df.sparkSession, "export")
+    df.select(line.alias("value")).write.option("lineSep", between).text(parts)
+    _append(df.sparkSession, parts, path, head, between, tail)
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     columns = list(columns or df.columns)
-    write_lines(df, csv_line(columns), path, csv_header(columns))
+    write_lines(df, csv_line(columns), path, csv_header(columns) + "\n")
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     columns = list(columns or df.columns)
-    write_lines(df, tsv_line(columns), path, "\t".join(" ".join(n.split("\t")) for n in columns))
+    write_lines(df, tsv_line(columns), path, "\t".join(" ".join(n.split("\t")) for n in columns) + "\n")
 
 
 def write_json(df: DataFrame, path: str, data: str | None = None, columns: Sequence[str] | None = None) -> None:
-    """One JSON object per line: a dynamic map column as is (own keys only), or typed columns."""
+    """An array with an object per row: a dynamic map column as is (own keys only), or typed columns."""
     body = F.to_json(F.col(data)) if data else F.to_json(F.struct(*(columns or df.columns)))
-    write_lines(df, body, path)
+    write_lines(df, body, path, "[", ",\n", "]")
 
 
 def export_table(df: DataFrame, columns: Sequence[str], path: str, fmt: str = "csv", order: Sequence[Column] = (), limit: int | None = None, needle: str = "", column: str = "", value: str = "") -> DataFrame:

@@ -132,6 +132,24 @@ def test_deep_scan_query_follows_every_link(spark):
     assert {r["scanned_pages"] for r in links.deep_scan(pages_, cap=20).collect()} == {19, 20}
 
 
+def test_deep_scan_with_hubs_equals_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(links, "_HUB", 5)
+    monkeypatch.setattr(links, "_MOST_HUBS", 10)
+    rng = random.Random(11)
+    out = {i: {0, *(rng.randrange(130) for _ in range(rng.randrange(4)))} for i in range(120)}  # every page links to 0; pages over 119 are not stored
+    rows = [(i, f"https://h{i % 2}.example/p{i}", f"<body>m{i % 7}@h.example " + "".join(f'<a href="https://h{j % 2}.example/p{j}">x</a>' for j in sorted(to)) + "</body>") for i, to in out.items()]
+    pages_ = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    for depth in (1, 2, 4):
+        want = {}
+        for seed in out:
+            seen, front = {seed}, {seed}
+            for _ in range(depth):
+                front = {j for i in front for j in out[i] if j in out and j % 2 == i % 2} - seen
+                seen |= front
+            want[f"https://h{seed % 2}.example/p{seed}"] = (len(seen) - 1, len({i % 7 for i in seen}))
+        assert {r["url"]: (r["scanned_pages"], r["email_count"]) for r in links.deep_scan(pages_, depth=depth).collect()} == want
+
+
 CARDS = "".join(f'<article class="result-card x{i % 2}"><h2>Name {i}</h2><p>City <em>{i}</em></p><a href="/item/{i}">more</a></article>' for i in range(1, 7))
 LIST = f"<html><body><div id='main'><section>{CARDS}</section></div><p hidden>secret<p style='display: none'>also<footer><button>Show more</button><a class=next href='?page=2'>Next</a></footer></body></html>"
 

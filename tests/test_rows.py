@@ -1,4 +1,6 @@
 """Row-table fixtures: storage, cleanup, export, url lists, recovery."""
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def test_export_text(spark, tmp_path):
     sinks.write_tsv(df, str(tmp_path / "t"))
     written = [r[0] for r in spark.read.text(str(tmp_path / "t"), recursiveFileLookup=True).collect()]
     assert len(written) == 3 and "name\tprice\tinStock\tnotes" in written
+    sinks.write_csv(df.repartition(2).orderBy("name"), str(tmp_path / "c"))
+    assert (tmp_path / "c").read_bytes().decode() == '\ufeffname,price,inStock,notes\n"A ""quoted""",1.5,true,"line1\nline2"\nB,2.0,false,"a,b\tc"'
+    sinks.write_csv(df.limit(0), str(tmp_path / "c"))  # replaces the file
+    assert (tmp_path / "c").read_bytes().decode() == "\ufeffname,price,inStock,notes"
+    many = spark.range(1000).selectExpr("id", "repeat('x', cast(id % 50 as int)) AS b").repartition(5)
+    sinks.write_json(many.orderBy("id"), str(tmp_path / "a"))
+    assert json.loads((tmp_path / "a").read_text()) == [{"id": i, "b": "x" * (i % 50)} for i in range(1000)]
+    sinks.write_json(many.limit(0), str(tmp_path / "a"))
+    assert json.loads((tmp_path / "a").read_text()) == []
     out = sinks.export_table(df, cols, str(tmp_path / "j"), fmt="json", needle="QUOTED")
     assert out.count() == 1 and spark.read.text(str(tmp_path / "j")).count() == 1
 

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: words that are remembered, and their longest length in characters
-_KNOWN, _LONG = 250_000, 40
+_KNOWN, _LONG = 500_000, 40
 #: the split pattern whose words are known to be those of the library (fixed value of the vocabulary)
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: what sends a text to the library as a whole
@@ -35,10 +35,26 @@ class ByteLevel:
         self.specials = [] if plain_specials else [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall if pattern == SPLIT else None
         self.known: dict[str, bytes] = {}
+        self.line = self.model.encode("\n", add_special_tokens=False).ids[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_raw(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many of them in one text: between words without a line break, a line break is a word of its own."""
+        out: dict[str, bytes] = {}
+        joined = [w for w in words if not w.isspace() and "\n" not in w]
+        for lo in range(0, len(joined), 4096):
+            part = joined[lo : lo + 4096]
+            ids = np.array(self.model.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(part) - 1:
+                out.update(zip(part, (x.tobytes() for x in np.split(np.delete(ids, ends), ends - np.arange(len(ends)))), strict=True))
+        rest = [w for w in words if w not in out]
+        for lo in range(0, len(rest), 4096):
+            out.update(zip(rest[lo : lo + 4096], self._encode(rest[lo : lo + 4096]), strict=True))
+        return [out[w] for w in words]
+
     def words(self, text: str) -> list[str] | None:
         """The words of a text; None where it has to be encoded as a whole."""
         if self.split is None or _BEYOND.search(text) or any(s in text for s in self.specials):
@@ -55,8 +71,7 @@ class ByteLevel:
             # words of the texts at hand are those likely to come again
             self.known = {w: self.known[w] for w in every.intersection(self.known)}
         here = self.known
-        for lo in range(0, len(new), 4096):
-            here.update(zip(new[lo : lo + 4096], self._encode(new[lo : lo + 4096]), strict=True))
+        here.update(zip(new, self._words(new), strict=True))
         out = [next(whole) if s is None else b"".join(map(here.__getitem__, s)) for s in split]
         for word in new:
             if len(word) > _LONG:

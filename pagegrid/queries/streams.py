@@ -49,7 +49,7 @@ _RUNS = "SELECT event_id, event_type AS scope, CASE WHEN user_id > 2 THEN 'u' ||
 #: four runs over arriving files, with a memory of the newest 100 entities of a scope
 @query(
     "st2_seen_memory",
-    f"""WITH RECURSIVE e AS ({_RUNS}), f AS (SELECT scope, run, key, min(event_id) AS at FROM e WHERE key <> '' GROUP BY ALL), k AS (SELECT scope, run, list(key ORDER BY at) AS keys FROM f GROUP BY 1, 2),
+    f"""WITH RECURSIVE e AS ({_RUNS}), f AS (SELECT scope, run, key, min(event_id) AS first_at FROM e WHERE key <> '' GROUP BY ALL), k AS (SELECT scope, run, list(key ORDER BY first_at) AS keys FROM f GROUP BY 1, 2),
       n AS (SELECT scope, run, count(*) AS n, count(*) FILTER (WHERE key = '') AS blank FROM e GROUP BY 1, 2),
       m AS (SELECT scope, -1 AS run, CAST([] AS VARCHAR[]) AS mem, CAST(0 AS BIGINT) AS fresh FROM (SELECT DISTINCT scope FROM e)
         UNION ALL SELECT scope, run, mem[greatest(1, len(mem) - 99):], fresh FROM (
@@ -87,7 +87,7 @@ _CHAIN = """WITH RECURSIVE e AS (SELECT event_id, {key} AS k, (epoch_us(ts) // 1
 )
 def _(t):
     e = file_stream(t.spark, t.sf_dir, "events").select(c("event_id").alias("request_id"), F.lit("api").alias("scope"), c("user_id").alias("key"), F.unix_millis("ts").alias("at_ms"), F.sha2("event_type", 256).alias("request_hash"))
-    return settle(stateful.idempotent_requests(e), "st4")
+    return settle(stateful.idempotent_requests(e, late="0 seconds"), "st4")
 
 
 @query("st5_rate_limit", _CHAIN.format(key="user_id", extra="0", length=7_200_000) + " SELECT event_id AS request_id, rn AS request_no, rn > 2 AS limited FROM n")
@@ -108,7 +108,7 @@ def _(t):
 @query("st7_alert_throttle", _CHAIN.format(key="event_type", extra="0", length=1_800_000) + " SELECT event_id AS alert_id, k AS key, tm AS at_ms FROM n WHERE rn = 1")
 def _(t):
     e = file_stream(t.spark, t.sf_dir, "events").select(c("event_id").alias("alert_id"), c("event_type").alias("key"), F.unix_millis("ts").alias("at_ms"))
-    return settle(stateful.throttle_alerts(e, 1_800_000), "st7")
+    return settle(stateful.throttle_alerts(e, 1_800_000, "0 seconds"), "st7")
 
 
 @query("st8_daily_usage", f'SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS period_start, count(*) AS "count" FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {_MARK}')

@@ -35,23 +35,64 @@ def monitor_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("account_id", "monitor_key").applyInPandasWithState(step, out, "snapshot_hash string, run_count long, change_count long", "append", GroupStateTimeout.NoTimeout)
 
 
-def idempotent_requests(requests: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
-    """Label requests of (scope, key): first, replay (same hash) or conflict; an expired key starts anew."""
+def _in_order(state: GroupState, pdfs: Iterator[pd.DataFrame], width: int) -> tuple[tuple, list[tuple], list[tuple]]:
+    """(values, ready, waiting): what the state holds besides rows, and the rows held or new, as (at_ms, id, ..) of
+    ``width`` values. Rows are ready, in order, when the watermark has reached them, so that a row which comes late in a later
+    batch still takes its place.
+    """
+    held = state.get if state.exists else (None,)
+    rows = [tuple(r) for r in zip(*held[1:], strict=True)] if len(held) > 1 else []
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            rows += [tuple(r[:width]) for r in pdf.itertuples(index=False)]
+    rows.sort(key=lambda r: r[:2])
+    mark = state.getCurrentWatermarkMs()
+    return held[0], [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark]
+
+
+def _keep(state: GroupState, value: str | None, waiting: list[tuple], width: int, until: int | None) -> None:
+    """Stores ``value`` and the waiting rows, and wakes the key when the first of them is ready or else at ``until``; without
+    either the key is forgotten.
+    """
+    if not waiting and until is None:
+        if state.exists:
+            state.remove()
+        return
+    state.update((value, *([r[i] for r in waiting] for i in range(width))))
+    # a timeout fires once the watermark is past it
+    state.setTimeoutTimestamp(max(waiting[0][0] - 1 if waiting else until, state.getCurrentWatermarkMs() + 1))
+
+
+def idempotent_requests(requests: DataFrame, ttl_ms: int = 24 * 3_600_000, late: str = "10 minutes") -> DataFrame:
+    """Label requests of (scope, key): first, replay (same hash) or conflict; an expired key starts anew.
+
+    Requests are labelled in the order of their times, once the watermark (newest time less ``late``) has reached them. A
+    key is forgotten when its time is over.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        digest, since = state.get if state.exists else (None, None)
-        pdf = _ordered(pdfs, ["at_ms", "request_id"])
+        value, ready, waiting = _in_order(state, pdfs, 3)
+        digest, since = (value.split(" ")[0], int(value.split(" ")[1])) if value else (None, None)
         out = []
-        for request_id, at, h in zip(pdf["request_id"], pdf["at_ms"], pdf["request_hash"]):
+        for at, request_id, h in ready:
             if since is None or at >= since + ttl_ms:
                 digest, since, label = h, int(at), "first"
             else:
                 label = "replay" if h == digest else "conflict"
             out.append((request_id, label))
-        state.update((digest, since))
+        over = since is None or state.getCurrentWatermarkMs() >= since + ttl_ms
+        _keep(state, None if over else f"{digest} {since}", waiting, 3, None if over else since + ttl_ms)
         yield pd.DataFrame(out, columns=["request_id", "label"])
 
-    return requests.groupBy("scope", "key").applyInPandasWithState(step, "request_id long, label string", "request_hash string, since long", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late).select("scope", "key", "at_ms", "request_id", "request_hash", "ts")
+    # the keys come first in what a group hands over, so the rows are read by name
+    schema = "value string, at_ms array<bigint>, request_id array<bigint>, request_hash array<string>"
+    return timed.groupBy("scope", "key").applyInPandasWithState(_rows_only(step, ["at_ms", "request_id", "request_hash"]), "request_id long, label string", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _rows_only(step, names: list[str]):
+    """``step`` on frames of the named columns."""
+    return lambda key, pdfs, state: step(key, (pdf[names] for pdf in pdfs), state)
 
 
 def rate_limit(requests: DataFrame, window_ms: int, max_requests: int) -> DataFrame:
@@ -76,23 +117,27 @@ def rate_limit(requests: DataFrame, window_ms: int, max_requests: int) -> DataFr
     return requests.groupBy("key").applyInPandasWithState(step, "request_id long, request_no long, limited boolean", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttle_alerts(alerts: DataFrame, interval_ms: int = 15_000) -> DataFrame:
-    """Alerts kept at most once per interval and key; the rest drop."""
+def throttle_alerts(alerts: DataFrame, interval_ms: int = 15_000, late: str = "10 minutes") -> DataFrame:
+    """Alerts kept at most once per interval and key; the rest drop. Alerts count in the order of their times, once the
+    watermark has reached them; a key is forgotten when its interval is over.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = _ordered(pdfs, ["at_ms", "alert_id"])
+        value, ready, waiting = _in_order(state, pdfs, 2)
+        last = int(value) if value else None
         kept = []
-        for alert_id, at in zip(pdf["alert_id"], pdf["at_ms"]):
+        for at, alert_id in ready:
             if last is None or at - last >= interval_ms:
                 last = int(at)
                 kept.append((alert_id, key[0], last))
-        if last is not None:
-            state.update((last,))
+        over = last is None or state.getCurrentWatermarkMs() >= last + interval_ms
+        _keep(state, None if over else str(last), waiting, 2, None if over else last + interval_ms)
         yield pd.DataFrame(kept, columns=["alert_id", "key", "at_ms"])
 
+    timed = alerts.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late).select("key", "at_ms", "alert_id", "ts")
     key_type = alerts.schema["key"].dataType.simpleString()
-    return alerts.groupBy("key").applyInPandasWithState(step, f"alert_id long, key {key_type}, at_ms long", "last long", "append", GroupStateTimeout.NoTimeout)
+    schema = "value string, at_ms array<bigint>, alert_id array<bigint>"
+    return timed.groupBy("key").applyInPandasWithState(_rows_only(step, ["at_ms", "alert_id"]), f"alert_id long, key {key_type}, at_ms long", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_locks(job_events: DataFrame, timeout_ms: int = 300_000) -> DataFrame:

@@ -86,3 +86,10 @@ def test_library_stands_without_the_corpus_part(tmp_path):
     copy = shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), len(e.queries()) > 200, 'pipeline' in e.oracle_sql())"], cwd=copy, capture_output=True, text=True, timeout=120)
     assert done.stdout.split() == ["0", "True", "False"], done.stderr[-1500:]
+
+
+def test_queries_stand_without_the_tokenizers(tmp_path):
+    copy = shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), len(e.queries()) > 200, len(e.oracle_sql()) > 200)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["0", "True", "True"], done.stderr[-1500:]

@@ -65,43 +65,31 @@ def _per_text(walk, kind: str):
     return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else walk(_load(t))), kind)
 
 
-def _field_leaves(value) -> list[dict]:
-    """Members that are not objects, at any depth; arrays stay whole."""
-    found, todo = [], [("", None, value)]
-    while todo:
-        path, key, v = todo.pop()
-        if isinstance(v, dict):
-            todo += [(f"{path}.{k}" if path else k, k, x) for k, x in reversed(v.items())]
-        elif key is not None:
-            found.append({"path": path, "key": key, "value": _dump(v)})
-    return found
-
-
-def _all_paths(value) -> list[dict]:
-    """Every member and array item, at any depth, without values."""
-    found, todo = [], [("", value)]
-    while todo:
-        path, v = todo.pop()
-        if isinstance(v, dict):
-            inner = [(f"{path}.{k}" if path else k, k, x) for k, x in v.items()]
-        elif isinstance(v, list):
-            inner = [(f"{path}[{i}]", None, x) for i, x in enumerate(v)]
-        else:
-            continue
-        found += [{"path": p, "key": k, "value": None} for p, k, _ in inner]
-        todo += [(p, x) for p, _, x in reversed(inner)]
-    return found
-
-
 def flatten_paths(df: DataFrame, value: str, keys: list[str], open_arrays: bool = False) -> DataFrame:
-    """(keys.., path, key, value) of a VARIANT column, at any depth, in one pass inside the row.
+    """(keys.., path, key, value) of a VARIANT column, at any depth.
+
+    Arrays stay whole (change diffs) and only members that are not objects are given; with ``open_arrays`` (policy audits)
+    arrays open as ``[i]`` and the inner members are given too, without values. Null members are kept.
 
-    Arrays stay whole (change diffs) and only leaves are given; with ``open_arrays`` (policy audits) arrays open as ``[i]``
-    and the inner members are given too, without values. Null members are kept.
+    Values are opened level by level: a level holds the members of the objects (and arrays) of the one before, written once,
+    so the work of a level is that of what is still nested there.
     """
-    walk = _per_text(_all_paths if open_arrays else _field_leaves, "array<struct<path:string,key:string,value:string>>")
-    opened = df.select(*keys, F.explode(walk(F.to_json(c(value)))).alias("x"))
-    return opened.select(*keys, "x.path", "x.key", F.parse_json("x.value").alias("value"))
+    from pagegrid.plans.lineage import stage
+
+    kind = F.schema_of_variant(c("value"))
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY") if open_arrays else kind.startswith("OBJECT")
+    step = F.when(c("key").isNull(), F.concat("above", F.lit("["), "pos", F.lit("]"))).when(c("above") == "", c("key")).otherwise(F.concat("above", F.lit("."), "key"))
+    level = df.select(*keys, F.lit("").alias("path"), c(value).alias("value")).filter(nested)
+    found = None
+    while True:
+        outer = level.select(*keys, c("path").alias("above"), c("value").alias("opened"))
+        members = outer.lateralJoin(df.sparkSession.tvf.variant_explode(c("opened").outer())).select(*keys, step.alias("path"), "key", "value")
+        members = stage(members.withColumn("nested", nested), "members")
+        here = members.select(*keys, "path", "key", F.lit(None).cast("variant").alias("value")) if open_arrays else members.filter("NOT nested").select(*keys, "path", "key", "value")
+        found = here if found is None else found.unionByName(here)
+        level = members.filter("nested")
+        if level.isEmpty():
+            return found
 
 
 def _graph_objects(value) -> list[dict]:

@@ -402,14 +402,16 @@ def policy_audit(payloads: DataFrame, key: str, max_bytes: int = 32_768) -> Data
     """(key, ok, code, blocked_paths): keys are matched inside words; the size check comes first."""
     from pagegrid.functions.jsonx import flatten_paths
 
-    parsed = payloads.select(key, F.octet_length("payload").alias("size_bytes"), F.try_parse_json("payload").alias("v"))
-    paths = flatten_paths(parsed, "v", [key], open_arrays=True)
-    name = F.regexp_replace(F.lower(trim_ws(to_text(c("key")))), r"[\s-]+", "_")
-    bad = F.lit(False)
+    fold = lambda text: F.regexp_replace(F.lower(text), r"[\s-]+", "_")
+    bad, named = F.lit(False), c("payload").contains("\\")  # an escaped key is only known when it is read
     for word in BLOCKED_WORDS:
-        bad = bad | name.contains(word)
+        bad, named = bad | c("name").contains(word), named | c("folded").contains(word)
+    sized = payloads.select(key, F.octet_length("payload").alias("size_bytes"), "payload")
+    # only payloads whose text has one of the words at all are opened
+    suspects = sized.withColumn("folded", fold(c("payload"))).filter(named).select(key, F.try_parse_json("payload").alias("v"))
+    paths = flatten_paths(suspects, "v", [key], open_arrays=True).withColumn("name", fold(trim_ws(to_text(c("key")))))
     blocked = paths.filter(bad).groupBy(key).agg(F.sort_array(F.collect_list("path")).alias("blocked_paths"))
-    j = parsed.select(key, "size_bytes").join(blocked, key, "left")
+    j = sized.select(key, "size_bytes").join(blocked, key, "left")
     code = F.when(c("size_bytes") > max_bytes, "METADATA_PAYLOAD_TOO_LARGE").when(c("blocked_paths").isNotNull(), "METADATA_ONLY_POLICY_VIOLATION")
     return j.select(key, code.isNull().alias("ok"), code.alias("code"), F.coalesce("blocked_paths", F.array().cast("array<string>")).alias("blocked_paths"))
 

@@ -387,14 +387,17 @@ class _Selection:
 
     def add(self, name: str, selector: str, scope: Column | None = None) -> None:
         """Adds the column ``name``: whether the element matches ``selector``."""
-        found = F.lit(False)
-        for k, steps in enumerate(self.parsed[selector]):
-            state = f"{name}_{k}"
+        alternatives = self.parsed[selector]
+        states = [f"{name}_{k}" for k in range(len(alternatives))] if len(alternatives) > 1 else [name]
+        for state, steps in zip(states, alternatives, strict=True):
             self.frame = self.frame.withColumn(state, compound(steps[0][1], scope))
             for combinator, token in steps[1:]:
                 self._step(state, combinator, compound(token, scope))
-            found = found | c(state)
-        self.frame = self.frame.withColumn(name, found).drop(*[f"{name}_{k}" for k in range(len(self.parsed[selector]))])
+        if len(states) > 1:
+            found = F.lit(False)
+            for state in states:
+                found = found | c(state)
+            self.frame = self.frame.withColumn(name, found)
 
     def _step(self, state: str, combinator: str, hit: Column) -> None:
         if combinator == " ":
@@ -410,10 +413,9 @@ class _Selection:
             family = Window.partitionBy("page_id", "family").orderBy("child").rowsBetween(*_UP_TO_HERE)
             last = F.max(F.when(c(state), c("child"))).over(family)
             around = (last == c("child") - 1) if combinator == "+" else last.isNotNull()
-        self.frame = self.frame.withColumn("around", F.coalesce(around, F.lit(False)))
+        self.frame = self.frame.withColumn(state, hit & F.coalesce(around, F.lit(False)))
         if combinator == ">":
-            self.frame = self.frame.filter(~c("role.up")).drop("role")
-        self.frame = self.frame.withColumn(state, hit & c("around")).drop("around")
+            self.frame = self.frame.filter(~c("role.up"))
 
 
 def select(nodes: DataFrame, selector: str, scope: DataFrame | None = None) -> DataFrame:
@@ -477,12 +479,13 @@ def extract_list(pages: DataFrame, container: str, fields: list[dict], nodes: Da
         if selector:
             made.add(f"field{k}", selector, c("box"))
     back = Window.partitionBy("page_id").orderBy(c("node_id").desc()).rowsBetween(*_UP_TO_HERE)
-    found = made.frame
+    hits = {}
     for k, selector in enumerate(sought):
         if selector:
             raw = c("attrs")[_attribute(modes[k], fields[k].get("attribute", ""))] if modes[k] != "text" else F.lit(None).cast("string")
             hit = F.struct("node_id", "t0", "t1", raw.alias("raw"))
-            found = found.withColumn(f"hit{k}", F.last(F.when(c(f"field{k}"), hit), ignorenulls=True).over(back))
+            hits[f"hit{k}"] = F.last(F.when(c(f"field{k}"), hit), ignorenulls=True).over(back)
+    found = made.frame.withColumns(hits) if hits else made.frame
     used = [k for k, selector in enumerate(sought) if selector]
     boxes = found.filter("box").select("page_id", c("node_id").alias("container"), *[F.when(c(f"hit{k}.node_id") <= c("post"), c(f"hit{k}")).alias(f"hit{k}") for k in used])
     if any(modes[k] == "text" for k in used):

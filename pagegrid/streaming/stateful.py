@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 c = F.col
@@ -16,6 +17,14 @@ def _ordered(pdfs: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
+#: keys are dealt into this many buckets with one state each, so that a call of the worker handles many keys
+_BUCKETS = 1024
+
+
+def _bucket(*keys: str, buckets: int = _BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(max(1, int(buckets)))).cast("int")
+
+
 def monitor_runs(runs: DataFrame) -> DataFrame:
     """Label each monitor run: first run, changed, counters. Keys (account_id, monitor_key)."""
 
@@ -140,33 +149,44 @@ def throttle_alerts(alerts: DataFrame, interval_ms: int = 15_000, late: str = "1
     return timed.groupBy("key").applyInPandasWithState(_rows_only(step, ["at_ms", "alert_id"]), f"alert_id long, key {key_type}, at_ms long", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def expired_locks(job_events: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
-    """Jobs running without a terminal event within the timeout. Input (job_id, at_ms, running) with event time watermarked."""
+def expired_locks(job_events: DataFrame, timeout_ms: int = 300_000, buckets: int = _BUCKETS) -> DataFrame:
+    """Jobs running without a terminal event within the timeout. Input (job_id, at_ms, running) with event time
+    watermarked. A bucket of jobs shares a state, which holds the open locks alone; a release at the time of its start counts
+    as after it.
+    """
     timeout_ms = max(60_000, int(timeout_ms))
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            since = state.get[0]
+    def step(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # an event: job known, job, time it sorts by, not running, time known, time
+        held = np.frombuffer(state.get[0], np.int64).reshape(-1, 3) if state.exists else np.empty((0, 3), np.int64)
+        none = np.zeros(len(held), np.int64)
+        rows = [np.column_stack((held[:, 0], held[:, 1], none + np.iinfo(np.int64).min, none, none + 1, held[:, 2]))]
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                known, job, timed, at, running = (pdf[n].to_numpy(np.int64) for n in ("known", "job", "timed", "at", "held"))
+                rows.append(np.column_stack((known, job, np.where(timed, at, np.iinfo(np.int64).max), 1 - running, timed, at)))
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        start = rows[:, 3] == 0
+        follows = np.zeros(len(rows), bool)  # the next event is of the same job
+        follows[:-1] = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+        over = np.zeros(len(rows), bool)
+        over[:-1] = (rows[1:, 4] == 1) & (rows[1:, 5] > rows[:-1, 5] + timeout_ms)
+        mark = state.getCurrentWatermarkMs()
+        late = start & np.where(follows, over, mark > rows[:, 5] + timeout_ms)
+        still = rows[start & ~follows & ~late]
+        if len(still):
+            state.update((still[:, [0, 1, 5]].tobytes(),))
+            state.setTimeoutTimestamp(max(int(still[:, 5].min()) + timeout_ms, mark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], since)], columns=["job_id", "locked_ms"])
-            return
-        since = state.get[0] if state.exists else None
-        pdf = _ordered(pdfs, ["at_ms"])
-        out = []
-        for at, is_running in zip(pdf["at_ms"], pdf["running"]):
-            if since is not None and at > since + timeout_ms:
-                out.append((key[0], since))
-                since = None
-            if is_running:
-                since = int(at)
-            else:
-                since = None
-        if since is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((since,))
-            state.setTimeoutTimestamp(max(since + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "locked_ms"])
-
-    return job_events.groupBy("job_id").applyInPandasWithState(step, "job_id long, locked_ms long", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+        yield pd.DataFrame({"known": rows[late, 0] == 1, "job": rows[late, 1], "locked_ms": rows[late, 5]})
+
+    # a null job is a key of its own; an event without a time ends a lock and starts none
+    timed = c("at_ms").isNotNull()
+    keyed = job_events.select(
+        _bucket("job_id", buckets=buckets).alias("bucket"), c("job_id").isNotNull().alias("known"), F.coalesce("job_id", F.lit(0)).cast("long").alias("job"), timed.alias("timed"), F.coalesce("at_ms", F.lit(0)).cast("long").alias("at"),
+        (timed & F.coalesce("running", F.lit(False))).alias("held"), "ts",
+    )
+    found = keyed.groupBy("bucket").applyInPandasWithState(step, "known boolean, job long, locked_ms long", "locks binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.when(c("known"), c("job")).alias("job_id"), "locked_ms")

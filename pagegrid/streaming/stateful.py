@@ -25,23 +25,34 @@ def _bucket(*keys: str, buckets: int = _BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(max(1, int(buckets)))).cast("int")
 
 
-def monitor_runs(runs: DataFrame) -> DataFrame:
-    """Label each monitor run: first run, changed, counters. Keys (account_id, monitor_key)."""
+def monitor_runs(runs: DataFrame, buckets: int = _BUCKETS) -> DataFrame:
+    """Label each monitor run: first run, changed, counters. Monitors are told apart by (account_id, monitor_key); a
+    bucket of them shares a state.
+    """
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, runs_, changes = state.get if state.exists else (None, 0, 0)
+    def step(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        monitors = {row[:3]: row[3:] for row in zip(*state.get, strict=True)} if state.exists else {}
         pdf = _ordered(pdfs, ["run_at", "run_id"])
         out = []
-        for run_id, digest in zip(pdf["run_id"], pdf["snapshot_hash"]):
+        for run_id, known, account, monitor, digest in zip(*(pdf[n].tolist() for n in ("run_id", "known", "account", "monitor_key", "snapshot_hash")), strict=True):
+            key = (known, account, monitor)
+            seen, runs_, changes = monitors.get(key, (None, 0, 0))
             first = seen is None
             changed = not first and digest != seen
-            seen, runs_, changes = digest, runs_ + 1, changes + int(changed)
-            out.append((run_id, key[0], key[1], first, changed, runs_, changes))
-        state.update((seen, runs_, changes))
-        yield pd.DataFrame(out, columns=["run_id", "account_id", "monitor_key", "first_run", "changed", "run_count", "change_count"])
-
-    out = "run_id long, account_id long, monitor_key string, first_run boolean, changed boolean, run_count long, change_count long"
-    return runs.groupBy("account_id", "monitor_key").applyInPandasWithState(step, out, "snapshot_hash string, run_count long, change_count long", "append", GroupStateTimeout.NoTimeout)
+            monitors[key] = (digest, runs_ + 1, changes + int(changed))
+            out.append((run_id, known, account, monitor, first, changed, runs_ + 1, changes + int(changed)))
+        state.update(tuple(list(x) for x in zip(*(k + v for k, v in monitors.items()), strict=True)))
+        yield pd.DataFrame(out, columns=["run_id", "known", "account", "monitor_key", "first_run", "changed", "run_count", "change_count"])
+
+    # a null account is a key of its own; frames have no whole numbers with nulls
+    keyed = runs.select(
+        _bucket("account_id", "monitor_key", buckets=buckets).alias("bucket"), c("account_id").isNotNull().alias("known"), F.coalesce("account_id", F.lit(0)).cast("long").alias("account"),
+        "monitor_key", "run_at", "run_id", "snapshot_hash",
+    )
+    out = "run_id long, known boolean, account long, monitor_key string, first_run boolean, changed boolean, run_count long, change_count long"
+    held = "known array<boolean>, account array<bigint>, monitor_key array<string>, snapshot_hash array<string>, run_count array<bigint>, change_count array<bigint>"
+    labelled = keyed.groupBy("bucket").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
+    return labelled.select("run_id", F.when(c("known"), c("account")).alias("account_id"), "monitor_key", "first_run", "changed", "run_count", "change_count")
 
 
 def _in_order(state: GroupState, pdfs: Iterator[pd.DataFrame], width: int) -> tuple[tuple, list[tuple], list[tuple]]:

@@ -143,21 +143,37 @@ def throttle_alerts(alerts: DataFrame, interval_ms: int = 15_000, late: str = "1
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, ready, waiting = _in_order(state, pdfs, 2)
-        last = int(value) if value else None
-        kept = []
-        for at, alert_id in ready:
-            if last is None or at - last >= interval_ms:
-                last = int(at)
-                kept.append((alert_id, key[0], last))
-        over = last is None or state.getCurrentWatermarkMs() >= last + interval_ms
-        _keep(state, None if over else str(last), waiting, 2, None if over else last + interval_ms)
+        last, held = state.get if state.exists else (None, b"")
+        rows = [np.frombuffer(held, np.int64).reshape(-1, 2)]
+        if not state.hasTimedOut:
+            rows += [pdf.to_numpy(np.int64) for pdf in pdfs]
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        # of alerts at one time only that of the least id can be kept
+        rows = rows[np.diff(rows[:, 0], prepend=rows[:1, 0] - 1) != 0] if interval_ms > 0 else rows
+        mark = state.getCurrentWatermarkMs()
+        ready, waiting = np.split(rows, [np.searchsorted(rows[:, 0], mark, "right")])
+        kept, at = [], 0
+        while True:
+            # from an alert that is kept straight to the next one that is
+            at = max(at, int(np.searchsorted(ready[:, 0], last + interval_ms))) if last is not None else at
+            if at >= len(ready):
+                break
+            last = int(ready[at, 0])
+            kept.append((int(ready[at, 1]), key[0], last))
+            at += 1
+        until = None if last is None or mark >= last + interval_ms else last + interval_ms
+        if len(waiting) or until is not None:
+            state.update((None if until is None else last, waiting.tobytes()))
+            # a timeout fires once the watermark is past it
+            state.setTimeoutTimestamp(max(int(waiting[0, 0]) - 1 if len(waiting) else until, mark + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(kept, columns=["alert_id", "key", "at_ms"])
 
-    timed = alerts.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late).select("key", "at_ms", "alert_id", "ts")
+    timed = alerts.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late).select("key", "at_ms", "alert_id", "ts").filter("at_ms IS NOT NULL")
     key_type = alerts.schema["key"].dataType.simpleString()
-    schema = "value string, at_ms array<bigint>, alert_id array<bigint>"
-    return timed.groupBy("key").applyInPandasWithState(_rows_only(step, ["at_ms", "alert_id"]), f"alert_id long, key {key_type}, at_ms long", schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("key").applyInPandasWithState(_rows_only(step, ["at_ms", "alert_id"]), f"alert_id long, key {key_type}, at_ms long", "last long, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_locks(job_events: DataFrame, timeout_ms: int = 300_000, buckets: int = _BUCKETS) -> DataFrame:

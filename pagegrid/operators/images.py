@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegrid.functions.text import WS, decode_entities, to_text, trim_ws
-from pagegrid.functions.urls import absolute, let, parts
+from pagegrid.functions.urls import let, parts, resolve_on
 from pagegrid.plans.ordered import running
 
 c = F.col
@@ -27,14 +27,17 @@ def inventory(pages: DataFrame) -> DataFrame:
     """(page_id, pos, url, alt, width, height, ext, size_class): first of each http(s) image per page."""
     tags = F.regexp_extract_all(c("html"), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
 
-    def attr(name: str) -> Column:
-        return decode_entities(F.regexp_extract("tag", rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']""", 1))
+    def attr(tag: Column, name: str) -> Column:
+        return decode_entities(F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']""", 1))
 
-    def size(name: str) -> Column:
-        return F.greatest(F.lit(0), F.coalesce(attr(name).try_cast("int"), F.lit(0)))
+    def size(tag: Column, name: str) -> Column:
+        return F.greatest(F.lit(0), F.coalesce(attr(tag, name).try_cast("int"), F.lit(0)))
 
-    found = pages.select("page_id", c("url").alias("page_url"), F.posexplode(tags).alias("pos", "tag"))
-    rows = found.select("page_id", "pos", absolute(attr("src"), c("page_url")).alias("url"), trim_ws(attr("alt")).alias("alt"), size("width").alias("width"), size("height").alias("height")).filter((c("url") != "") )
+    # addresses are made inside the row, the page's own once, and the other facts only for images that have one
+    based = pages.select("page_id", parts(c("url")).alias("base"), tags.alias("tags"))
+    linked = F.transform("tags", lambda tag, i: F.struct(i.alias("pos"), tag.alias("tag"), resolve_on(attr(tag, "src"), c("base")).alias("url")))
+    found = based.select("page_id", F.explode(F.filter(linked, lambda x: x["url"] != "")).alias("x")).select("page_id", "x.*")
+    rows = found.select("page_id", "pos", "url", trim_ws(attr(c("tag"), "alt")).alias("alt"), size(c("tag"), "width").alias("width"), size(c("tag"), "height").alias("height"))
     first = rows.groupBy("page_id", "url").agg(F.min(F.struct("pos", "alt", "width", "height")).alias("r")).select("page_id", "url", "r.*")
     return first.select("page_id", "pos", "url", "alt", "width", "height", image_ext(c("url")).alias("ext"), size_class(c("width"), c("height")).alias("size_class"))
 

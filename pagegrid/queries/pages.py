@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagegrid.functions import text
 from pagegrid.operators import images, pages, places
 from pagegrid.plans.registry import query
+from pagegrid.plans.tables import spread
 from pagegrid.queries import sqltext as s
 
 c = F.col
@@ -109,7 +110,7 @@ def _(t):
 )
 def _(t):
     search = F.concat(F.lit("https://www.google.com/maps/search/"), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit("/@1.5,2.5,12z?entry=ttu&q=1#x"))
-    return t.part.select("p_partkey", places.result_url(_place_url(), F.lit("https://www.google.com/")).alias("result_url"), places.scope_url(search).alias("scope_url"), places.scope_url(_place_url()).alias("no_scope"))
+    return spread(t.part, "p_partkey").select("p_partkey", places.result_url(_place_url(), F.lit("https://www.google.com/")).alias("result_url"), places.scope_url(search).alias("scope_url"), places.scope_url(_place_url()).alias("no_scope"))
 
 
 @query(
@@ -137,7 +138,7 @@ def _with_images(t):
     """Part rows as small pages holding images, the corpus having none."""
     ext = F.element_at(F.array(*[F.lit(x) for x in (".JPG?v=1", ".png", "")]), (c("p_partkey") % 3 + 1).cast("int"))
     tag = F.concat(F.lit('<p><img src="/i/'), "p_partkey", ext, F.lit('" alt="'), F.when(c("p_size") > 20, c("p_name")).otherwise(""), F.lit('" width="'), c("p_size") * 20, F.lit('" height="'), c("p_size") * 15, F.lit('"><img alt="x" src="data:image/png;base64,AA"></p>'))
-    return t.part.select(c("p_partkey").alias("page_id"), F.lit("https://shop.example.com/list/").alias("url"), F.concat(tag, tag).alias("html"))
+    return spread(t.part, "p_partkey").select(c("p_partkey").alias("page_id"), F.lit("https://shop.example.com/list/").alias("url"), F.concat(tag, tag).alias("html"))
 
 
 _IMG = f"""SELECT p_partkey AS page_id, CAST(0 AS INT) AS pos, 'https://shop.example.com/i/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.JPG?v=1' WHEN 1 THEN '.png' ELSE '' END AS url, CASE WHEN p_size > 20 THEN p_name ELSE '' END AS alt,
@@ -207,7 +208,7 @@ def _place_pages(t):
     )
     even = c("p_partkey") % 2 == 0
     url = F.when(even, F.concat(F.lit("https://maps.example.com/maps/place/"), "p_partkey", F.lit("/@3.5,-"), c("p_partkey") % 90, F.lit(".25,17z"))).otherwise("https://maps.example.com/maps/search/x")
-    return t.part.select(c("p_partkey").alias("page_id"), url.alias("url"), F.when(even, detail).otherwise(card).alias("html"))
+    return spread(t.part, "p_partkey").select(c("p_partkey").alias("page_id"), url.alias("url"), F.when(even, detail).otherwise(card).alias("html"))
 
 
 @query(

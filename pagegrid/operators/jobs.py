@@ -180,6 +180,9 @@ def duplicate_groups(schedules: DataFrame, keep: str = "oldest", redact: bool =
 
 def duplicate_members(schedules: DataFrame, keep: str = "oldest") -> DataFrame:
     """Members of duplicate groups, one row each, with the kept one marked."""
+    from pagegrid.plans.lineage import stage
+
+    schedules = stage(schedules, "schedules")  # the groups and the join read it: signatures are made once
     g = duplicate_groups(schedules, keep)
     return schedules.join(g, "signature").withColumn("keeps", c("id") == c("keep_id"))
 

@@ -165,6 +165,9 @@ def test_waiting_alerts_are_few_numbers(spark):
         def update(self, value):
             self.get, self.exists = value, True
 
+        def remove(self):
+            self.exists = False
+
         def setTimeoutTimestamp(self, at):
             assert at > self.mark
 

@@ -24,8 +24,19 @@ from pagegrid.llm.common import running_before, slices_for, spread_position, tex
 from pagegrid.llm.tokens import byte_level
 from pagegrid.plans.lineage import cut, stage
 
-#: rows encoded at a time
-_ROWS = 256
+#: characters encoded at a time, or one longer text
+_CHARS = 1_500_000
+
+
+def _parts(batch: pa.RecordBatch):
+    """Slices of about ``_CHARS`` characters of text."""
+    behind = np.cumsum([len(t) for t in batch.column("text").to_pylist()])
+    lo = 0
+    while lo < batch.num_rows:
+        done = behind[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(behind, done + _CHARS, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_row: bool = False) -> DataFrame:
@@ -37,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end
 
     def pieces(batches):
         model = byte_level(*tokenizer)
-        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, max(b.num_rows, 1), _ROWS)):
+        for batch in (part for b in batches for part in _parts(b)):
             at, out, cuts = [], [], []
             for row, raw in enumerate(model.raw(batch.column("text").to_pylist())):
                 ids = np.append(np.frombuffer(raw, np.int32).astype("<u4"), np.array([end_id], "<u4"))
@@ -47,10 +58,12 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str], capacity: int, end
                     at.append(row)
                     out.append((n, a, b - a, zlib.crc32(ids[a:b].tobytes())))
                     if with_ids:
-                        cuts.append(ids[a:b].tolist())
+                        cuts.append(ids[a:b])
             columns = [batch.column("id").take(pa.array(at, pa.int64()))]
             columns += [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            columns += [pa.array(cuts, pa.list_(pa.int64()))] if with_ids else []
+            if with_ids:
+                ends = np.cumsum([0, *map(len, cuts)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts).astype(np.int64))))
             columns += [batch.column("row").take(pa.array(at, pa.int64()))] if with_row else []
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["row"] * with_row])
 

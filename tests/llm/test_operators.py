@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pagegrid.llm import (
@@ -435,6 +436,27 @@ def test_words_have_the_ids_of_the_library():
             assert [np.frombuffer(x, np.int32).tolist() for x in tokens.merges(*TOKENIZER).raw(texts)] == want
 
 
+def test_words_have_the_ids_of_the_library_when_memory_is_short(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "and", "é", "x1", "".join(rng.choices("abcdé'-", k=6))]) for _ in range(40)) for _ in range(300)]
+    model = tokens.ByteLevel(*TOKENIZER, plain_specials=False)
+    asked, encode = [], model._words
+    monkeypatch.setattr(tokens, "_KNOWN", 600)
+    monkeypatch.setattr(model, "_words", lambda words: asked.extend(words) or encode(words))
+    want = [e.ids for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    got = [x for lo in range(0, 300, 5) for x in model.raw(texts[lo : lo + 5])]
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == want
+    assert len(model.known) + len(model.older) < 600 + 400  # the bound, and the words of one call
+    assert asked.count(" the") == asked.count(" and") == 1  # words that come again and again stay known
+
+
+def test_texts_are_encoded_in_parts_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_CHARS", 30)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, "b" * 20, "", "c" * 40, "d", "e" * 29, "f"]})
+    assert [p.num_rows for p in packing._parts(batch)] == [3, 1, 2, 1]
+    assert list(packing._parts(batch.slice(0, 0))) == []
+
+
 def _aligned(text):
     """Tokens of both, groups, links and the groups as written, by walking over all ends."""
     from sentencepiece import SentencePieceProcessor

@@ -195,6 +195,15 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(contacts.phones(c("text"), patterns=["([", _USER], validate=False), "|").alias("phones"))
 
 
+#: pages that are parsed and put together by one task
+_TASK_PAGES = 20_000
+
+
+def _place_tasks(t) -> int:
+    """Nodes take few bytes in a file and many in a sort: a task gets a bounded number of pages, however many there are."""
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.part.count() // _TASK_PAGES))
+
+
 def _place_pages(t):
     """Part rows as place pages: even keys are detail pages, odd keys search pages with one card."""
     name, price = c("p_name"), F.format_number(c("p_partkey") * 7 + 1000, 0)
@@ -218,10 +227,10 @@ def _place_pages(t):
 )
 def _(t):
     from pagegrid.operators import nodes as nt
-    from pagegrid.plans.lineage import stage
+    from pagegrid.plans.lineage import stage_by
 
-    p = _place_pages(t).filter("page_id % 2 = 0")
-    return places.detail_rows(p, stage(nt.node_table(p), "nodes")).drop("url")
+    p, n = _place_pages(t).filter("page_id % 2 = 0"), _place_tasks(t)
+    return stage_by(places.detail_rows(p, nt.nodes_by_page(p, n)).drop("url"), "details", "page_id", parts=n)
 
 
 @query(
@@ -231,8 +240,8 @@ def _(t):
 )
 def _(t):
     from pagegrid.operators import nodes as nt
-    from pagegrid.plans.lineage import stage
+    from pagegrid.plans.lineage import stage_by
 
-    p = _place_pages(t).filter("page_id % 2 = 1")
-    r = places.result_cards(p, stage(nt.node_table(p), "nodes"))
+    p, n = _place_pages(t).filter("page_id % 2 = 1"), _place_tasks(t)
+    r = stage_by(places.result_cards(p, nt.nodes_by_page(p, n)), "cards", "page_id", parts=n)
     return r.select("page_id", "url", "map_name", "map_rating", "map_address", "map_latitude", "map_review_count", "map_image_count")

@@ -1,4 +1,5 @@
 """Page fixtures: tags, contacts, JSON-LD, images, places, links, node table, lists."""
+import os
 import random
 import time
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagegrid.functions import contacts, labels, text, urls
 from pagegrid.operators import autodetect, images, links, nodes, pages, places
+from pagegrid.plans import lineage
 from pagegrid.plans.lineage import stage
 
 c = F.col
@@ -341,3 +343,49 @@ def test_plain_pages_take_no_tolerant_parser(monkeypatch):
 
     monkeypatch.setattr(nt._Tree, "feed", refused)
     assert fields(nt._read(nt._Tree(), plain)) == want
+
+
+def _card_pages(spark, pages):
+    html = "concat('<body><div><ul>', array_join(transform(sequence(1, 4), k -> concat('<li><a href=\"/p/', id * 10 + k, '\">Part ', k, '</a><b>', k, ' pcs</b></li>')), ''), '</ul></div></body>')"
+    return spark.range(pages).selectExpr("CASE WHEN id < 39 THEN id END AS page_id", "'https://shop.example.com/o' AS url", f"{html} AS html")
+
+
+def test_nodes_by_page_need_no_exchange(spark):
+    pages = _card_pages(spark, 40)
+    n = nodes.nodes_by_page(pages)
+    assert sorted(map(repr, n.collect())) == sorted(map(repr, nodes.node_table(pages).collect()))  # a page without an id too
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = nodes.elements(n).join(n.filter("tag = 'a'").select("page_id", "node_id", "attrs"), ["page_id", "node_id"]).groupBy("page_id", "parent_id").count()
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == 39 * 4
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_detection_from_nodes_by_page(spark):
+    pages = _card_pages(spark, 39)
+    plain, laid = (autodetect.detect(pages, n).orderBy("page_id").collect() for n in (stage(nodes.node_table(pages), "nodes"), nodes.nodes_by_page(pages)))
+    assert plain == laid and len(laid) == 39 and all(r["ok"] and len(r["fields"]) == 2 for r in laid)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"  # as it was
+
+
+def test_released_buckets_are_gone(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "_STAGED", [])
+    monkeypatch.setattr(lineage, "_TABLES", [])
+    kept = lineage.stage_by(spark.range(10), "kept", "id", parts=3)
+    assert kept.rdd.getNumPartitions() <= 3 and kept.count() == 10
+    (_, name), (_, path) = lineage._TABLES[0], lineage._STAGED[0]
+    lineage.release()
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path)
+
+
+def test_place_pages_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from pagegrid.plans.tables import Tables
+    from pagegrid.queries import pages as place_queries
+
+    spark.range(1, 101).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(place_queries, "_TASK_PAGES", 7)
+    assert place_queries._place_tasks(Tables(spark, str(tmp_path))) == 15

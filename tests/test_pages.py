@@ -389,3 +389,36 @@ def test_place_pages_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     spark.range(1, 101).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     monkeypatch.setattr(place_queries, "_TASK_PAGES", 7)
     assert place_queries._place_tasks(Tables(spark, str(tmp_path))) == 15
+
+
+def test_staged_pages_are_never_broadcast(spark):
+    """Rows of repeating keys lie in small files: joins by page must not take them for small tables."""
+    kept = lineage.stage_by(spark.range(1000), "kept", "id", parts=3)
+    some = kept.filter("id > 5").groupBy("id").agg(F.max("id").alias("most"))
+    plan = spark.range(50).join(some, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+    lists = spark.createDataFrame(
+        [(i, "https://e.example/p", f"<body><div><ul>{''.join(f'<li class=card><a href=/p/{k}>Part {k}</a><b>{k} pcs</b></li>' for k in range(i, i + 4))}</ul></div><button>Load more</button></body>") for i in range(1, 6)],
+        "page_id long, url string, html string",
+    )
+    made = {}
+    staged = lineage.stage_by
+
+    def noted(df, label, *rest, **options):
+        made[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label, *rest, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(autodetect, "stage_by", noted)
+        found = autodetect.detect(lists)
+        nodes_ = nodes.nodes_by_page(lists)
+        groups, items = autodetect.repeating_groups(nodes_)
+        hit = nodes.select(nodes_, "li")
+        anchors = hit.join(nodes.first_match(hit), ["page_id", "node_id"]).select("page_id", c("node_id").alias("anchor_id"), c("post").alias("anchor_post"))
+        made["anchored"] = autodetect.best_group(groups, items, anchors)._jdf.queryExecution().executedPlan().toString()
+        made["detected"] = found._jdf.queryExecution().executedPlan().toString()
+    assert {"items", "held", "inside", "candidates", "targets", "values", "best", "groups", "fields", "controls"} <= set(made)
+    assert [label for label, plan in made.items() if "Broadcast" in plan] == []
+    rows = found.orderBy("page_id").collect()
+    assert [(r["ok"], r["container_selector"], r["item_count"], r["load_more"]) for r in rows] == [(True, "body > div > ul > li.card", 4, "click_button")] * 5

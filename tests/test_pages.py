@@ -422,3 +422,11 @@ def test_staged_pages_are_never_broadcast(spark):
     assert [label for label, plan in made.items() if "Broadcast" in plan] == []
     rows = found.orderBy("page_id").collect()
     assert [(r["ok"], r["container_selector"], r["item_count"], r["load_more"]) for r in rows] == [(True, "body > div > ul > li.card", 4, "click_button")] * 5
+
+
+def test_texts_of_known_spans(spark):
+    n = stage(nodes.node_table(page(spark, "<body><ul><li>é <b>two</b></li><li hidden>no</li><li></li></ul><button> Load  more</button></body>")), "nodes")
+    known = nodes.elements(n).filter("tag IN ('li', 'button')")
+    found = {(r["node_id"], r["content"]) for r in nodes.span_texts(n, known).collect()}
+    assert found == {(r["node_id"], r["content"]) for r in nodes.subtree_texts(n, known).collect()}
+    assert {text for _, text in found} == {"é two", "Load more"}
